@@ -27,7 +27,8 @@ def candidates(segments: DataFrame) -> DataFrame:
     """Segments whose class occurs more than once: plus ``multi``, whether the class has distinct segments."""
     segments = stash(segments, "segments")
     classes = segments.groupBy("cls").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-    classes = classes.where("c > 1").select("cls", (F.col("a") != F.col("b")).alias("multi"))
+    # written before it is joined: a join of two plain exchanges can split the rows of a very common class
+    classes = stash(classes.where("c > 1").select("cls", (F.col("a") != F.col("b")).alias("multi")), "classes")
     return stash(segments.join(classes, "cls"), "candidates")
 
 
