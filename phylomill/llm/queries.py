@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phylomill.llm import suffix_dedup
+from phylomill.llm import automaton_dedup, line_dedup, near_dedup, quality_rules, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_suffix_dedup": suffix_dedup.op2_suffix_dedup}
+    return {
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op4_automaton_dedup": automaton_dedup.op4_automaton_dedup,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
