@@ -9,7 +9,7 @@ words, and only the segments of those classes are streamed over it, in the order
 where the matching statistic reaches ``length`` ends a window that was there before; maximal runs of such windows
 are removed. Segments that add something then extend the automaton.
 
-Defined cases: a null or empty text has no words; equal documents lose everything but the first; white space is
+Defined cases: a row without a doc_id is left alone; a null or empty text has no words; equal documents lose everything but the first; white space is
 ASCII only; repeated rows of one doc_id are one document, and both rows keep what that document keeps.
 """
 
@@ -28,7 +28,7 @@ from phylomill.llm import repeats
 from phylomill.llm import textscan as ts
 
 SHARD = 100_000  # words of reference in one automaton; a shard ends with a class
-GRAM = 3
+GRAM = 5
 
 
 class SuffixAutomaton:
@@ -177,7 +177,7 @@ def _remove(length: int):
 def dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row of ``docs``."""
     k = min(GRAM, length)
-    found = repeats.candidates(repeats.texts(docs).mapInArrow(_segments(length, k), repeats.SEGMENTS))
+    found = repeats.candidates(repeats.named(docs).mapInArrow(_segments(length, k), repeats.SEGMENTS), keep=False)
     counted = repeats.weighted(found)
     copied = counted.where("copies > 1").select("cls", "seg", F.col("first.doc_id").alias("d0"), F.col("first.lo").alias("lo0"))
     later = found.join(copied, ["cls", "seg"]).where("doc_id != d0 OR lo != lo0").select("doc_id", F.col("lo").alias("start"), F.col("n").cast("long").alias("n"))
@@ -185,7 +185,7 @@ def dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = bodies.repartition(parts, "cls").sortWithinPartitions("cls", "doc_id", "lo").mapInArrow(_stream(length), "doc_id long, start long, n long")
     spans = repeats.spans_by_doc(later.unionByName(streamed))
-    return repeats.texts(docs).join(spans, "doc_id", "left").mapInArrow(_remove(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return repeats.restored(repeats.texts(docs).join(spans, "doc_id", "left").mapInArrow(_remove(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"))
 
 
 def op4_automaton_dedup(spark, sf_dir: str) -> DataFrame:

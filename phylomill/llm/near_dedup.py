@@ -9,7 +9,8 @@ enumerated: every member meets the bucket's first and then its last member; what
 components, and only members of a bucket that still lie in different components are compared one by one.
 
 Defined cases: a null, empty or wordless text has no shingles and no links; a text with fewer words than a shingle
-is one shingle; copies link at any length; repeated rows share doc_id and component.
+is one shingle; copies link at any length; repeated rows share doc_id and component;
+a row without a doc_id has no component and is kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylomill.llm import textscan as ts
-from phylomill.llm.repeats import texts
+from phylomill.llm.repeats import named
 from phylomill.operators.components import connected_components
 from phylomill.stash import stash
 
@@ -111,7 +112,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, th
     near = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % threshold)
     near = stash(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike, "a long, b long, na long, nb long"), "pairs")
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts(docs).join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
+    sets = named(docs).join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     return near.join(side("a"), "a").join(side("b"), "b").withColumn("common", common).where(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -119,7 +120,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, th
 
 def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    sketch = stash(texts(docs).mapInArrow(_sketch(width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "sketch")
+    sketch = stash(named(docs).mapInArrow(_sketch(width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "sketch")
     same = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     member = stash(sketch.join(same, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "member")
     nodes = stash(sketch.where("n_shingles > 0").join(same.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "signature"), "nodes")
@@ -146,7 +147,9 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
         label = stash(connected_components(links.unionByName(new), "a", "b"), "labels")
     out = member.join(label.withColumnRenamed("node", "n0"), F.col("node") == F.col("n0"), "left")
     component = F.coalesce("component", "node")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    nameless = docs.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, shingles array<long>")
+    return out.unionByName(nameless.select("doc_id", F.size("shingles").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:

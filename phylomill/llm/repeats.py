@@ -18,14 +18,33 @@ from phylomill.stash import stash
 SEGMENTS = "cls long, seg long, doc_id long, lo long, n int"
 
 
+NO_ID = -(2**63)
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with a null text as empty; all other columns are dropped before anything is shuffled."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, text) with a null text as empty; all other columns are dropped before anything is shuffled.
+
+    A null doc_id becomes NO_ID. As no column can be null, an inner and an outer join with these rows read one and
+    the same exchange.
+    """
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that have a doc_id; the others have no place among the documents."""
+    return texts(docs).where(F.col("doc_id") != NO_ID)
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+
 
+def candidates(segments: DataFrame, keep: bool = True) -> DataFrame:
+    """Segments whose class occurs more than once: plus ``multi``, whether the class has distinct segments.
 
-def candidates(segments: DataFrame) -> DataFrame:
-    """Segments whose class occurs more than once: plus ``multi``, whether the class has distinct segments."""
-    segments = stash(segments, "segments")
+    ``keep``: write the segments, else make them twice (where they take much disk).
+    """
+    segments = stash(segments, "segments") if keep else segments
     classes = segments.groupBy("cls").agg(F.count("*").alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b"))
     # written before it is joined: a join of two plain exchanges can split the rows of a very common class
     classes = stash(classes.where("c > 1").select("cls", (F.col("a") != F.col("b")).alias("multi")), "classes")

@@ -8,7 +8,7 @@ A suffix array of the whole corpus fits nowhere, so the suffixes that can't shar
 set aside first (see ``repeats``): Spark groups segments by the hash of their anchor, and a suffix array is built
 for blocks of whole anchor classes. Bytes are compared through 64-bit hashes of two independent kinds.
 
-Defined cases: a null or empty text has no bytes; a document shorter than ``length`` keeps all; equal documents
+Defined cases: a row without a doc_id is left alone; a null or empty text has no bytes; a document shorter than ``length`` keeps all; equal documents
 lose all of their bytes when long enough, the first included. A doc_id names one text; repeated rows are copies.
 """
 
@@ -195,7 +195,7 @@ def _remove(length: int):
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``."""
-    found = repeats.candidates(repeats.texts(docs).mapInArrow(_segments(length), repeats.SEGMENTS))
+    found = repeats.candidates(repeats.named(docs).mapInArrow(_segments(length), repeats.SEGMENTS))
     counted = repeats.weighted(found)
     copied = counted.where("copies > 1").select("cls", "seg")
     whole = found.join(copied, ["cls", "seg"]).select("doc_id", F.col("lo").alias("start"), F.col("n").cast("long").alias("n"))
@@ -204,7 +204,7 @@ def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     refined = bodies.repartition(parts, "cls").sortWithinPartitions("cls").mapInArrow(_refine(length), "doc_id long, start long, n long")
     spans = repeats.spans_by_doc(whole.unionByName(refined))
-    return repeats.texts(docs).join(spans, "doc_id", "left").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return repeats.restored(repeats.texts(docs).join(spans, "doc_id", "left").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

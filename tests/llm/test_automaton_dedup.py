@@ -56,3 +56,9 @@ def test_matching_statistics():
         parts = {tuple(x[i:j]) for x in ref for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
         want = [max([0, *(n for n in range(1, i + 2) if tuple(text[i + 1 - n : i + 1]) in parts)]) for i in range(len(text))]
         assert shard.statistics(text) == want
+
+
+def test_rows_without_id_are_left_alone(spark):
+    docs = [(None, "a b " * 300), (None, "a b " * 300), (1, "a b " * 300)]
+    got = {r.doc_id: r for r in automaton_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[None].n_removed == 0 and got[1].n_removed > 0

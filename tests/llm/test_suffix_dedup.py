@@ -46,3 +46,9 @@ def test_contract_length_and_empty_table(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, suffix_dedup.dedup(df).drop("kept").collect())) == brute(docs, 400)
     assert suffix_dedup.dedup(df.where("doc_id < 0")).count() == 0
+
+
+def test_rows_without_id_are_left_alone(spark):
+    docs = [(None, "a b " * 300), (None, "a b " * 300), (1, "a b " * 300)]
+    got = {r.doc_id: r for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[None].n_removed == 0 and got[1].n_removed > 0
