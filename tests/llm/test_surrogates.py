@@ -1,0 +1,44 @@
+import re
+
+from phylomill.llm import surrogates as su
+
+T = "Ask Mrs. Anna Smith or Mr BOB JONES, Dr Ли; mail anna.Smith7@mail3.example.com, ip 10.0.200.7, card 4111 1111 1111 1111 or 4111111111111111, tel +1 (017) 555-7713, ssn 123-45-6789, TOKEN = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\"."
+DOCS = [
+    (1, T), (2, None), (3, ""), (4, "nothing here, in 1999 or 12.5 or v1.2.3"), (5, "again Anna.smith7@mail3.example.com and 10.0.200.7"),
+    (6, "x.1@mail3.example.com"), (7, T), (7, T), (8, "a " * 20000 + "b@c.org"), (9, "password: hunter2hunter2hunter2 ok"), (10, "Frau Мария Иванова und Herr Özil"),
+]
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame([(*d, "k") for d in DOCS], "doc_id long, text string, kind string").repartition(3)
+    out = su.pseudonymise(df)
+    assert out.columns == ["doc_id", "text", "kind", "n_mentions"]
+    rows = out.collect()
+    got = {r.doc_id: r.text for r in rows}
+    assert len(rows) == len(DOCS) and got[2] is None and got[3] == "" and got[4] == DOCS[3][1]
+    t = got[1]
+    m = re.fullmatch(r"Ask Mrs\. ([A-Z][a-z]+) ([A-Z][a-z]+) or Mr ([A-Z]+) ([A-Z]+), Dr (\w+); mail ([a-z]{4}\.[A-Z][a-z]{4}\d@[a-z]{4}\d\.[a-z]{7}\.com), ip (\d+(?:\.\d+){3}), card (\d{4} \d{4} \d{4} \d{4}) or (\d{16}), tel (\+1 \(\d{3}\) \d{3}-\d{4}), ssn (\d{3}-\d{2}-\d{4}), TOKEN = \"([0-9A-F]{40})\"\.", t)
+    assert m, t
+    assert m[1].endswith("a") and m[3].endswith("AN") and re.fullmatch("[а-яА-Я]+", m[5])
+    assert m[8].replace(" ", "") == m[9] and luhn(m[9]) == luhn("4" + "1" * 15)
+    for private in ("Anna", "Smith", "BOB", "JONES", "10.0.200.7", "4111 1111", "555-7713", "123-45", "9233A8"):
+        assert private not in t
+    assert t == got[7] and m[6].lower() in got[5].lower() and m[7] in got[5]
+    assert got[6].split("@")[1] == m[6].split("@")[1] and got[6] != DOCS[5][1]
+    assert got[8].startswith("a " * 20000) and not got[8].endswith("b@c.org")
+    assert "hunter2" not in got[9] and got[9].endswith(" ok")
+    assert re.fullmatch(r"Frau [А-Я][а-я]+ [А-Я][а-я]+ und Herr [A-Z][a-z]+", got[10])
+    assert su.pseudonymise(df, "other").where("doc_id = 1").first().text != t
+    assert su.pseudonymise(df.where("doc_id < 0")).count() == 0
+
+
+def test_collisions_are_resolved(spark):
+    """Two-digit hosts: far more addresses than a first attempt keeps apart."""
+    rows = [("ip", f"10.0.{i}.{j}") for i in range(40) for j in range(60)] + [("email", f"{a}{b}@x.org") for a in "abcdefgh" for b in range(10)] + [("email", f"{a}@x.org") for a in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    table = su.keyed(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    assert len(table) == len(rows) == len({(r.kind, r.surrogate) for r in table})
+    assert not {(r.kind, r.surrogate) for r in table} & set(rows)
