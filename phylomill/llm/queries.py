@@ -1,4 +1,7 @@
-"""One query for each operator of the subpackage, over its whole table."""
+"""One query for each operator of the subpackage, over its whole table.
+
+None has an SQL twin: what their tests hold them against is brute force, a round trip or held-out labels.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +9,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phylomill.llm import automaton_dedup, line_dedup, near_dedup, quality_rules, suffix_dedup, token_counts
+from phylomill.llm import automaton_dedup, decontaminate, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepieces, suffix_dedup, surrogates, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_automaton_dedup": automaton_dedup.op4_automaton_dedup,
+        "op5_surrogates": surrogates.op5_surrogates,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+        "op8_sentencepiece": sentencepieces.op8_sentencepiece,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }

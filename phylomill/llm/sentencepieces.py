@@ -234,5 +234,17 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digest(path), f"doc_id {dict(docs.dtypes)['doc_id']}, n_pieces long, ids_sha256 string, round_trip boolean")
 
 
+def checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """``docs`` with pieces (array<int>) and round_trip (boolean)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in _encode(path, "pieces")(batches):
+            same = [m.decode(x) == (t or "").replace(chr(BLANK), " ") for x, t in zip(batch.column("pieces").to_pylist(), batch.column("text").to_pylist())]
+            yield batch.append_column("round_trip", pa.array(same, pa.bool_()))
+
+    return docs.mapInArrow(run, f"{docs.schema.simpleString()[7:-1]},pieces:array<int>,round_trip:boolean")
+
+
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
