@@ -6,7 +6,8 @@ probability (1 - 0.8**6)**42 < 3e-6, and pairs of 0.85 with 3e-9.
 
 Equal sets are one node from the start, so groups of exact copies cost one row each. Within a bucket no pairs are
 enumerated: every member meets the bucket's first and then its last member; what is verified is joined into
-components, and only members of a bucket that still lie in different components are compared one by one.
+components. Members of a bucket that still lie in different components are compared one by one where the shingles
+that they share with other components at all suffice for a link.
 
 Defined cases: a null, empty or wordless text has no shingles and no links; a text with fewer words than a shingle
 is one shingle; copies link at any length; repeated rows share doc_id and component;
@@ -122,6 +123,7 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     sketch = stash(named(docs).mapInArrow(_sketch(width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, signature binary"), "sketch")
     same = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    same = stash(same, "same")
     member = stash(sketch.join(same, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "member")
     nodes = stash(sketch.where("n_shingles > 0").join(same.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "signature"), "nodes")
     buckets = nodes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
@@ -139,9 +141,10 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     placed = buckets.join(label, buckets.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     left = stash(placed.join(split, "key"), "apart")
-    other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n_shingles")])
-    sizes = f"100 * n_shingles >= {threshold} * n_shingles_b AND 100 * n_shingles_b >= {threshold} * n_shingles"
-    meet = left.join(other, "key").where(f"doc_id < doc_id_b AND component != component_b AND {sizes}").select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    left = left.join(_shareable(left, docs, width), "doc_id").where(f"100 * shareable >= {threshold} * n_shingles")
+    other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n_shingles", "shareable")])
+    most = "least(shareable, shareable_b)"
+    meet = left.join(other, "key").where(f"doc_id < doc_id_b AND component != component_b AND 100 * {most} >= {threshold} * (n_shingles + n_shingles_b - {most})").select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     new = stash(verified(meet, nodes, docs, width, threshold), "links")
     if not new.isEmpty():
         label = stash(connected_components(links.unionByName(new), "a", "b"), "labels")
@@ -152,6 +155,19 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     return out.unionByName(nameless.select("doc_id", F.size("shingles").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
+def _shareable(left: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shareable): shingles that a document has in common with any other component among ``left``.
+
+    No document of another component shares more, which bounds the similarity before any pair is made: copies of
+    one text with changes of their own have too little left in common.
+    """
+    own = left.select("doc_id", "component").distinct()
+    sets = named(docs).join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
+    rows = stash(sets.join(own, "doc_id").select("doc_id", "component", F.explode("shingles").alias("s")), "shingles")
+    common = stash(rows.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("s"), "common")
+    return rows.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("shareable"))
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs that aren't in one component yet."""
     side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
