@@ -24,8 +24,8 @@ def closure(edges: DataFrame) -> DataFrame:
         longer = stash(reached.join(up, ["tree_id", "ancestor"]).select("tree_id", F.col("top").alias("ancestor"), "node", (F.col("distance") + F.col("d")).alias("distance")), "paths")
         if longer.isEmpty():
             return reached
-        lower = jump.withColumnsRenamed({"ancestor": "middle", "node": "low", "distance": "d"})
-        jump = stash(jump.join(lower, (jump.tree_id == lower.tree_id) & (jump.node == lower.middle)).select(jump.tree_id, "ancestor", F.col("low").alias("node"), (F.col("distance") + F.col("d")).alias("distance")), "paths")
+        lower = jump.select("tree_id", F.col("ancestor").alias("node"), F.col("node").alias("low"), F.col("distance").alias("d"))
+        jump = stash(jump.join(lower, ["tree_id", "node"]).select("tree_id", "ancestor", F.col("low").alias("node"), (F.col("distance") + F.col("d")).alias("distance")), "paths")
         reached = stash(reached.unionByName(longer), "paths")
 
 

@@ -131,11 +131,11 @@ def _(spark, d):
 
 @query("s18_containment", f"""
 WITH RECURSIVE c AS ({SMALL}), n AS (SELECT tip_id, count(*) AS k FROM c GROUP BY tip_id),
-p AS (SELECT a.tip_id AS i, b.tip_id AS j FROM c a JOIN c b ON a.site = b.site AND a.state = b.state AND a.tip_id <> b.tip_id GROUP BY 1, 2 HAVING count(*) = (SELECT k FROM n WHERE n.tip_id = i)),
+p AS (SELECT a.tip_id AS i, b.tip_id AS j FROM c a JOIN n u ON u.tip_id = a.tip_id JOIN c b ON a.site = b.site AND a.state = b.state AND a.tip_id <> b.tip_id GROUP BY 1, 2, u.k HAVING count(*) = u.k),
 f AS (SELECT i, min(j) AS j FROM p GROUP BY i),
 g AS (SELECT f.i, f.j FROM f JOIN n x ON x.tip_id = f.i JOIN n y ON y.tip_id = f.j WHERE f.j < f.i OR y.k > x.k),
-w AS (SELECT tip_id, tip_id AS at FROM n UNION ALL SELECT w.tip_id, g.j FROM w JOIN g ON g.i = w.at)
-SELECT tip_id, at AS rep_tip_id FROM w WHERE at NOT IN (SELECT i FROM g)""")
+w AS (SELECT tip_id, tip_id AS here FROM n UNION ALL SELECT w.tip_id, g.j FROM w JOIN g ON g.i = w.here)
+SELECT tip_id, here AS rep_tip_id FROM w WHERE here NOT IN (SELECT i FROM g)""")
 def _(spark, d):
     return du.containing(fx.table(spark, d, SMALL))
 
