@@ -129,7 +129,7 @@ def _(spark, d):
     return tr.origins(tr.gained(edges(spark, d), node_states(spark, d)))
 
 
-@query("s69_evolution_events", f"{CHANGED} SELECT tree_id, count(*) AS events, sum(1 + site % 2) AS weighted FROM c GROUP BY 1")
+@query("s69_evolution_events", f"{CHANGED} SELECT tree_id, count(*) AS events, CAST(sum(1 + site % 2) AS BIGINT) AS weighted FROM c GROUP BY 1")
 def _(spark, d):
     return changed(spark, d).groupBy("tree_id").agg(F.count("*").alias("events"), F.sum(1 + F.col("site") % 2).cast("long").alias("weighted"))
 
