@@ -5,9 +5,8 @@ least ``THRESHOLD`` percent. ``BANDS`` bands of ``ROWS`` universal-hash minima m
 probability (1 - 0.8**6)**42 < 3e-6, and pairs of 0.85 with 3e-9.
 
 Equal sets are one node from the start, so groups of exact copies cost one row each. Within a bucket no pairs are
-enumerated: every member meets the bucket's first and then its last member; what is verified is joined into
-components. Members of a bucket that still lie in different components are compared one by one where the shingles
-that they share with other components at all suffice for a link.
+enumerated: every member meets the bucket's first, and what is verified is joined into components. Where a bucket
+then still holds several components, its documents go through an exact prefix filter across components.
 
 Defined cases: a null, empty or wordless text has no shingles and no links; a text with fewer words than a shingle
 is one shingle; copies link at any length; repeated rows share doc_id and component;
@@ -130,22 +129,14 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     crowd = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("c > 1").drop("c")
     crowd = stash(crowd, "crowd")  # so that the join can split the rows of a very common bucket
     buckets = stash(buckets.join(crowd, "key"), "buckets")
-    links, label = None, None
-    for end in ("low", "high"):
-        meet = buckets.where(F.col(end) != F.col("doc_id")).select(F.col(end).alias("a"), F.col("doc_id").alias("b")).distinct()
-        if label is not None:
-            meet = _apart(meet, label)
-        new = stash(verified(meet, nodes, docs, width, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        label = stash(connected_components(links, "a", "b"), "labels")
-    placed = buckets.join(label, buckets.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "n_shingles")
+    meet = buckets.where("low != doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = stash(verified(meet, nodes, docs, width, threshold), "links")
+    label = stash(connected_components(links, "a", "b"), "labels")
+    placed = buckets.join(label, buckets.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    left = stash(placed.join(split, "key"), "apart")
-    left = left.join(_shareable(left, docs, width), "doc_id").where(f"100 * shareable >= {threshold} * n_shingles")
-    other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n_shingles", "shareable")])
-    most = "least(shareable, shareable_b)"
-    meet = left.join(other, "key").where(f"doc_id < doc_id_b AND component != component_b AND 100 * {most} >= {threshold} * (n_shingles + n_shingles_b - {most})").select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    new = stash(verified(meet, nodes, docs, width, threshold), "links")
+    split = stash(split, "split")
+    left = stash(placed.join(split, "key").select("doc_id", "component").distinct(), "apart")
+    new = stash(verified(_prefix_pairs(left, docs, width, threshold), nodes, docs, width, threshold), "links")
     if not new.isEmpty():
         label = stash(connected_components(links.unionByName(new), "a", "b"), "labels")
     out = member.join(label.withColumnRenamed("node", "n0"), F.col("node") == F.col("n0"), "left")
@@ -155,23 +146,30 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     return out.unionByName(nameless.select("doc_id", F.size("shingles").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _shareable(left: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shareable): shingles that a document has in common with any other component among ``left``.
+def _prefix_pairs(left: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that can still be linked, none left out.
 
-    No document of another component shares more, which bounds the similarity before any pair is made: copies of
-    one text with changes of their own have too little left in common.
+    Prefix filter: shingles are ordered by how many of these documents have them, rarest first. Two sets that reach
+    the threshold share one among the first n - ceil(t * n) + 1 of either, and from their first common one on there
+    is enough left on both sides. So copies of one text that differ too much don't meet by what all copies share.
+    A shingle's largest component isn't joined with itself.
     """
-    own = left.select("doc_id", "component").distinct()
-    sets = named(docs).join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
-    rows = stash(sets.join(own, "doc_id").select("doc_id", "component", F.explode("shingles").alias("s")), "shingles")
-    common = stash(rows.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("s"), "common")
-    return rows.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("shareable"))
-
-
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs that aren't in one component yet."""
-    side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+    sets = named(docs).join(left.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
+    sets = stash(sets, "sets")
+    df = stash(sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "df")
+    rows = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(df, "s", "left")
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s")))
+    first = F.slice(F.col("rare"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
+    rows = rows.groupBy("doc_id", "n").agg(rare.alias("rare")).select("doc_id", "n", F.posexplode(first).alias("i", "x"))
+    rows = rows.where("x.df > 1").select("doc_id", "n", "i", F.col("x.s").alias("s")).join(left, "doc_id")
+    rows = stash(rows, "prefixes")
+    sizes = rows.groupBy("s", "component").agg(F.count("*").alias("m"))
+    large = stash(sizes.groupBy("s").agg(F.max(F.struct("m", "component")).alias("l"), F.count("*").alias("c")).where("c > 1").select("s", F.col("l.component").alias("large")), "large")
+    rows = stash(rows.join(large, "s"), "prefixes")
+    other = rows.select("s", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "i")])
+    need = f"100 * least(n - i, n_b - i_b) * {100 + threshold} >= 100 * {threshold} * (n + n_b)"
+    met = rows.where("component != large").join(other, "s").where(f"component != component_b AND (component_b = large OR doc_id < doc_id_b) AND {need}")
+    return met.select(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")).distinct()
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
