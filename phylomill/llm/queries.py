@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phylomill.llm import automaton_dedup, decontaminate, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepieces, suffix_dedup, surrogates, token_counts
+from phylomill.llm import automaton_dedup, decontaminate, line_dedup, near_dedup, oracles, quality_classifier, quality_rules, sentencepieces, suffix_dedup, surrogates, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix_dedup": oracles.OP2, "op4_automaton_dedup": oracles.OP4, "op6_near_dedup": oracles.OP6, "op10_quality_rules": oracles.OP10}
