@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from phylomill.stash import stash
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are cut into words before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,4 +88,5 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    # written once: the sums read it twice, and encoding is the costly part
+    return suffix_sums(stash(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "histogram"))
