@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
 NORMAL, BYTE = 1, 6
 SLICE = 2_000_000  # characters that are encoded at a time
-CELLS = 1_000_000  # characters of one group of equally long units
+CELLS = 250_000  # characters of one group of equally long units
 
 
 def _hash(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
