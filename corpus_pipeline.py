@@ -16,8 +16,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: blocks of lines that an earlier document has are deleted; n_chars follows the text."""
-    out = line_dedup.dedup(docs).drop("n_deleted")
+    """Operator 9: blocks of lines that an earlier document has are deleted; n_chars follows the text. A document that
+    loses all of its words this way, a copy, goes."""
+    out = line_dedup.dedup(docs)
+    out = out.where((F.col("n_deleted") == 0) | (F.btrim("text", F.lit(quality_rules.BLANK)) != ""))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 
