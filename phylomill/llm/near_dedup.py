@@ -106,13 +106,11 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b", "na", "nb"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that are linked, judged by size, signature and then the full sets."""
     side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(na, nb) >= %d * greatest(na, nb)" % threshold)
     near = stash(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike, "a long, b long, na long, nb long"), "pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = named(docs).join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     return near.join(side("a"), "a").join(side("b"), "b").withColumn("common", common).where(100 * F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
@@ -129,14 +127,17 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     crowd = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("c > 1").drop("c")
     crowd = stash(crowd, "crowd")  # so that the join can split the rows of a very common bucket
     buckets = stash(buckets.join(crowd, "key"), "buckets")
+    # the full sets of all documents that share a bucket, made once for every later step
+    shared = buckets.select("doc_id").distinct()
+    sets = stash(named(docs).join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
     meet = buckets.where("low != doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stash(verified(meet, nodes, docs, width, threshold), "links")
+    links = stash(verified(meet, nodes, sets, threshold), "links")
     label = stash(connected_components(links, "a", "b"), "labels")
     placed = buckets.join(label, buckets.doc_id == label.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     split = stash(split, "split")
     left = stash(placed.join(split, "key").select("doc_id", "component").distinct(), "apart")
-    new = stash(verified(_prefix_pairs(left, docs, width, threshold), nodes, docs, width, threshold), "links")
+    new = stash(verified(_prefix_pairs(left, sets, threshold), nodes, sets, threshold), "links")
     if not new.isEmpty():
         label = stash(connected_components(links.unionByName(new), "a", "b"), "labels")
     out = member.join(label.withColumnRenamed("node", "n0"), F.col("node") == F.col("n0"), "left")
@@ -146,7 +147,7 @@ def components(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     return out.unionByName(nameless.select("doc_id", F.size("shingles").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _prefix_pairs(left: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+def _prefix_pairs(left: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of documents in different components that can still be linked, none left out.
 
     Prefix filter: shingles are ordered by how many of these documents have them, rarest first. Two sets that reach
@@ -154,8 +155,7 @@ def _prefix_pairs(left: DataFrame, docs: DataFrame, width: int, threshold: int)
     is enough left on both sides. So copies of one text that differ too much don't meet by what all copies share.
     A shingle's largest component isn't joined with itself.
     """
-    sets = named(docs).join(left.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, shingles array<long>")
-    sets = stash(sets, "sets")
+    sets = sets.join(left.select("doc_id"), "doc_id", "left_semi")
     df = stash(sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "df")
     rows = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(df, "s", "left")
     rare = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s")))
