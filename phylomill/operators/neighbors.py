@@ -25,15 +25,26 @@ def weighted(mutations: DataFrame, weights: DataFrame | None = None) -> DataFram
 
 
 def within_radius(mutations: DataFrame, radius: float, keys: list[str] | None = None) -> DataFrame:
-    """(keys.., a, b, shared): pairs whose shared weight is ``radius`` or more.
+    """(keys.., a, b, shared): pairs whose shared weight is ``radius`` or more, a mutation's weight being one number.
 
-    Prefix filter: a tip's mutations are ordered by how many tips have them, rarest first. A pair that reaches the
-    radius must share a mutation before the point where the remaining weight of either falls short of it, so only
-    these prefixes are joined; very common mutations are rarely among them. Candidates are then weighed in full.
-    Within ``keys`` (replicates, clusters) all happens at once.
+    Both ways of finding them are exact; the cheaper one is taken by a count of the pairs that meet in a mutation.
+    Rare mutations: a prefix filter. Mutations that a good part of all tips have: products of blocks of tips. Within
+    ``keys`` (replicates, clusters) all happens at once.
     """
     keys = keys or []
     rows = mutations.groupBy(*keys, "tip_id", "mut_id").agg(F.max("weight").alias("weight"))
+    meet = rows.groupBy(*keys, "mut_id").agg(F.count("*").alias("f")).groupBy(*keys).agg(F.sum(F.col("f") * F.col("f")).alias("met"))
+    size = rows.groupBy(*keys).agg(F.approx_count_distinct("tip_id").alias("n"))
+    cost = (meet.join(size, keys) if keys else meet.crossJoin(size)).agg(F.sum("met").alias("met"), F.sum(F.col("n") * F.col("n")).alias("all")).first()
+    dense = cost.met is not None and cost.met > cost["all"] / 4
+    half = (_by_blocks if dense else _by_prefixes)(rows, radius, keys)
+    return half.unionByName(half.where("a < b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+
+
+def _by_prefixes(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Pairs a <= b. A tip's mutations are ordered by how many tips have them, rarest first. A pair that reaches the
+    radius must share a mutation before the point where the remaining weight of either falls short of it, so only
+    these prefixes are joined; candidates are then weighed in full."""
     common = rows.groupBy(*keys, "mut_id").agg(F.count("*").alias("f"))
     rows = rows.join(common, [*keys, "mut_id"])
     rest = W.partitionBy(*keys, "tip_id").orderBy("f", "mut_id").rowsBetween(W.currentRow, W.unboundedFollowing)
@@ -46,8 +57,40 @@ def within_radius(mutations: DataFrame, radius: float, keys: list[str] | None =
     pairs = pairs.join(bags.withColumnsRenamed({"tip_id": "a", "bag": "x"}), [*keys, "a"]).join(bags.withColumnsRenamed({"tip_id": "b", "bag": "y"}), [*keys, "b"])
     both = F.array_intersect(F.map_keys("x"), F.map_keys("y"))
     shared = F.aggregate(both, F.lit(0.0), lambda s, m: s + F.element_at("x", m))
-    half = pairs.select(*keys, "a", "b", shared.alias("shared")).where(F.col("shared") >= radius)
-    return half.unionByName(half.where("a < b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    return pairs.select(*keys, "a", "b", shared.alias("shared")).where(F.col("shared") >= radius)
+
+
+def _by_blocks(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
+    """Pairs a <= b. Tips are dealt into blocks of about BLOCK by a hash; each pair of blocks is one numpy product."""
+    blocks = max(1, rows.select("tip_id").distinct().count() // BLOCK)
+    bags = rows.groupBy(*keys, "tip_id").agg(F.collect_list("mut_id").alias("m"), F.collect_list("weight").alias("w"), F.sum("weight").alias("own")).where(F.col("own") >= radius)
+    dealt = bags.groupBy(*keys, F.pmod(F.xxhash64("tip_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("tip_id", "m", "w")).alias("rows"))
+    left = dealt.select(*keys, F.col("block").alias("x"), F.col("rows").alias("left"))
+    right = dealt.select(*keys, F.col("block").alias("y"), F.col("rows").alias("right"))
+    pairs = (left.join(right, keys) if keys else left.crossJoin(right)).where("x <= y")
+    schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
+
+    def matrix(rows_: list, at: dict[int, int], weigh: bool) -> np.ndarray:
+        out = np.zeros((len(rows_), len(at)))
+        for i, r in enumerate(rows_):
+            out[i, [at[m] for m in r["m"]]] = r["w"] if weigh else 1.0
+        return out
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                names = {int(m) for r in row.left for m in r["m"]} | {int(m) for r in row.right for m in r["m"]}
+                at = {m: i for i, m in enumerate(sorted(names))}
+                total = matrix(row.left, at, True) @ matrix(row.right, at, False).T
+                i, j = np.nonzero(total >= radius)
+                a, b = np.array([r["tip_id"] for r in row.left])[i], np.array([r["tip_id"] for r in row.right])[j]
+                keep = a <= b if row.x == row.y else np.ones(len(a), bool)
+                out = pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "shared": total[i, j][keep]})
+                for n, k in enumerate(keys):
+                    out.insert(n, k, getattr(row, k))
+                yield out
+
+    return pairs.mapInPandas(products, f"{schema + ', ' if schema else ''}a long, b long, shared double")
 
 
 def counts(neighbors: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -53,6 +53,10 @@ def test_prefix_filter_equals_naive(spark):
         want = sorted((a, b, s) for a in bags for b in bags if (s := sum(weight[m] for m in bags[a] & bags[b])) >= radius)
         got = rows(nb.within_radius(df, radius))
         assert got == want
+        for way in (nb._by_prefixes, nb._by_blocks):
+            assert rows(way(df, radius, [])) == [x for x in want if x[0] <= x[1]]
+            two = df.crossJoin(spark.createDataFrame([(1,), (2,)], "rep int"))
+            assert rows(way(two, radius, ["rep"])) == [(k, *x) for k in (1, 2) for x in want if x[0] <= x[1]]
         assert {(a, b) for a, b, _ in got} == {(b, a) for a, b, _ in got}
 
 
