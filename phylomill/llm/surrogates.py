@@ -47,8 +47,16 @@ CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
 PHONE = r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\p{L}0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 SECRET = r"(?<![\p{L}0-9])[0-9a-fA-F]{32,128}(?![\p{L}0-9])|(?<=(?:key|token|secret|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{16,}"
 PATTERN = f"{EMAIL}|{SECRET}|{IP}|{SSN}|{CARD}|{PHONE}|{NAME}"
-#: No mention is without one of these.
-HINT = rf"[0-9@]|(?:{TITLES})|(?:key|token|secret|password)"
+#: No mention is without a digit, an @ or one of these.
+HINTS = [*FEMALE, *MALE, *NEUTRAL, "key", "token", "secret", "password"]
+
+
+def _hinted(text: Column) -> Column:
+    """Whether a text may have a mention: plain searches, many times as fast as the pattern."""
+    out = text.rlike("[0-9@]")
+    for word in HINTS:
+        out = out | text.contains(word)
+    return out
 
 
 def _kind(m: Column) -> Column:
@@ -168,7 +176,7 @@ def keyed(entities: DataFrame, key: str) -> DataFrame:
 
 def mentions(docs: DataFrame) -> DataFrame:
     """(k1, k2, at, kind, mention, entity): all mentions of each distinct text that has some."""
-    found = docs.where(F.col("text").rlike(HINT)).select("text", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    found = docs.where(_hinted(F.col("text"))).select("text", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).where(F.size("found") > 0)
     rows = found.select(*_text_key(), F.posexplode("found").alias("at", "mention")).dropDuplicates(["k1", "k2", "at"])
     rows = rows.withColumn("kind", _kind(F.col("mention")))
     return rows.withColumn("entity", _entity(F.col("kind"), F.col("mention")))
@@ -184,7 +192,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     table = keyed(found.select("kind", "entity").distinct(), key)
     ready = found.join(table, ["kind", "entity"]).select("k1", "k2", "at", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
     by_text = ready.groupBy("k1", "k2").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"))
-    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
+    has = F.coalesce(_hinted(F.col("text")) & F.col("text").rlike(PATTERN), F.lit(False))
     plain = docs.where(~has).withColumn("n_mentions", F.lit(0).cast("long"))
     rich = docs.where(has)
     k1, k2 = _text_key()
