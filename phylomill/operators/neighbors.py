@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BLOCK = 512  # tips of an alignment block
+TILE = 1024  # tips of a block of mutation lists
 
 
 def weighted(mutations: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -61,8 +63,8 @@ def _by_prefixes(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
 
 
 def _by_blocks(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """Pairs a <= b. Tips are dealt into blocks of about BLOCK by a hash; each pair of blocks is one numpy product."""
-    blocks = max(1, rows.select("tip_id").distinct().count() // BLOCK)
+    """Pairs a <= b. Tips are dealt into blocks of about TILE by a hash; each pair of blocks is one numpy product."""
+    blocks = max(1, rows.select("tip_id").distinct().count() // TILE)
     bags = rows.groupBy(*keys, "tip_id").agg(F.collect_list("mut_id").alias("m"), F.collect_list("weight").alias("w"), F.sum("weight").alias("own")).where(F.col("own") >= radius)
     dealt = bags.groupBy(*keys, F.pmod(F.xxhash64("tip_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("tip_id", "m", "w")).alias("rows"))
     left = dealt.select(*keys, F.col("block").alias("x"), F.col("rows").alias("left"))
@@ -70,27 +72,27 @@ def _by_blocks(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     pairs = (left.join(right, keys) if keys else left.crossJoin(right)).where("x <= y")
     schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
 
-    def matrix(rows_: list, at: dict[int, int], weigh: bool) -> np.ndarray:
-        out = np.zeros((len(rows_), len(at)))
-        for i, r in enumerate(rows_):
-            out[i, [at[m] for m in r["m"]]] = r["w"] if weigh else 1.0
-        return out
+    def unpacked(rows_: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        tip, m, w = rows_.flatten()
+        return tip.to_numpy(), np.repeat(np.arange(len(m)), m.value_lengths().to_numpy()), m.flatten().to_numpy(), w.flatten().to_numpy()
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                names = {int(m) for r in row.left for m in r["m"]} | {int(m) for r in row.right for m in r["m"]}
-                at = {m: i for i, m in enumerate(sorted(names))}
-                total = matrix(row.left, at, True) @ matrix(row.right, at, False).T
+            for k in range(len(batch)):
+                p, pi, pm, pw = unpacked(batch.column("left")[k].values)
+                q, qi, qm, _ = unpacked(batch.column("right")[k].values)
+                names = np.unique(np.concatenate([pm, qm]))
+                one, two = np.zeros((len(p), len(names))), np.zeros((len(q), len(names)))
+                one[pi, np.searchsorted(names, pm)] = pw
+                two[qi, np.searchsorted(names, qm)] = 1.0
+                total = one @ two.T
                 i, j = np.nonzero(total >= radius)
-                a, b = np.array([r["tip_id"] for r in row.left])[i], np.array([r["tip_id"] for r in row.right])[j]
-                keep = a <= b if row.x == row.y else np.ones(len(a), bool)
-                out = pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "shared": total[i, j][keep]})
-                for n, k in enumerate(keys):
-                    out.insert(n, k, getattr(row, k))
-                yield out
-
-    return pairs.mapInPandas(products, f"{schema + ', ' if schema else ''}a long, b long, shared double")
+                a, b = p[i], q[j]
+                keep = a <= b if batch.column("x")[k].as_py() == batch.column("y")[k].as_py() else np.ones(len(a), bool)
+                given = {key: pa.array([batch.column(key)[k].as_py()] * int(keep.sum()), batch.column(key).type) for key in keys}
+                yield pa.record_batch(given | {"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "shared": total[i, j][keep]})
+
+    return pairs.mapInArrow(products, f"{schema + ', ' if schema else ''}a long, b long, shared double")
 
 
 def counts(neighbors: DataFrame, keys: list[str] | None = None) -> DataFrame:
