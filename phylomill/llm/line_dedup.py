@@ -1,12 +1,18 @@
 """Operator 9: line dedup by pairwise alignment.
 
-Documents that overlap are found through shared line hashes. The n-th repetition of a line within a document is a
-line of its own, so a line has one place in a document. Each line of a document is matched with the earliest document
-that has it, and rare lines (in at most ``RARE`` documents) with the last earlier document that has them as well, so
-that the pairs are as many as the lines, however common a line is. Within a pair, the lines that occur once on
-either side are aligned as in a patience diff: the longest run of matches in increasing order on both sides are
-the anchors, and matches of repeated lines are added where they fit between them. Runs of aligned adjacent lines
-with ``MIN_WORDS`` words or more are deleted from the later document.
+The n-th repetition of a line within a document is a line of its own, so a line has one place in a document. Any block
+that two documents share and that is long enough to be deleted holds a window of adjacent lines that just reaches
+``MIN_WORDS``, starting or ending at one of its lines. Documents are therefore found through the hashes of such
+windows, however common a line or window is: each document is paired with the first holder of each of its windows,
+and all lines that both have enter the pair's alignment. The lines that occur once on either side are aligned as in a
+patience diff: the longest run of matches in increasing order on both sides are the anchors, and matches of repeated
+lines are added where they fit between them. Runs of aligned adjacent lines with ``MIN_WORDS`` words or more are
+deleted from the later document.
+
+Pairs are as many as the windows, thus linear in the lines. Where the order of lines in a pair leaves a shared window
+out, the document is paired with the other earlier holders of that window as well, the latest first and twice as many
+in each round, until the window is deleted or has no further holder. So what goes is what the alignments with all
+earlier documents would delete.
 
 Defined cases: lines are separated by \\n; lines without a word are neither aligned nor deleted; a null text stays
 null; a row without a doc_id is left alone; equal documents lose all lines but the first's, when long enough; repeated rows of one doc_id are one document.
@@ -14,11 +20,13 @@ null; a row without a doc_id is left alone; equal documents lose all lines but t
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, groupby
+from struct import pack
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,7 +34,6 @@ from pyspark.sql import Window as W
 from phylomill.llm.quality_rules import BLANK
 from phylomill.stash import stash
 
-RARE = 8
 MIN_WORDS = 20
 
 
@@ -40,16 +47,59 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "at", F.when(F.col("nth") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "nth")).alias("key"), "words", "once")
 
 
-def matches(found: DataFrame, rare: int = RARE) -> DataFrame:
-    """(doc_id, other, at, other_at, words, once): lines of a document that an earlier one has, linear in the lines."""
-    keys = found.groupBy("key").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "at", "once")).alias("first")).where("df > 1")
+def _windows(min_words: int):
+    """Rows (doc_id, at, n, hash): the shortest windows with ``min_words`` words that start or end at a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(x).to_pylist() for x in ("doc_id", "at", "key", "words")))
+
+        out: list[tuple[int, int, int, int]] = []
+        for (doc, _), group in groupby(enumerate(rows()), key=lambda r: (r[1][0], r[1][1] - r[0])):
+            group = [r for _, r in group]  # lines that follow each other
+            data, upto = pack(f"<{len(group)}q", *(r[2] for r in group)), [0, *accumulate(r[3] for r in group)]
+            spans = {(i, bisect_left(upto, upto[i] + min_words, i + 1)) for i in range(len(group))}
+            spans |= {(bisect_right(upto, upto[j] - min_words, 0, j) - 1, j) for j in range(1, len(upto))}
+            out += [(doc, group[i][1], j - i, xxhash.xxh3_64_intdigest(data[8 * i : 8 * j]) - 2**63) for i, j in spans if i >= 0 and j < len(upto)]
+            if len(out) >= 10_000:
+                yield _spans(out)
+                out = []
+        yield _spans(out)
+
+    return run
+
+
+def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    doc, at, n, key = zip(*rows) if rows else ((), (), (), ())
+    return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "at": pa.array(at, pa.int32()), "n": pa.array(n, pa.int32()), "hash": pa.array(key, pa.int64())})
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shared_lines(found: DataFrame) -> DataFrame:
+    """The lines that several documents have."""
+    keys = found.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select("key")
     keys = stash(keys, "shared-keys")  # so that the join can split the rows of a very common line
-    shared = stash(found.join(keys, "key"), "shared-lines")
-    first = shared.where("doc_id > first.doc_id").select("doc_id", F.col("first.doc_id").alias("other"), "at", F.col("first.at").alias("other_at"), "words", (F.col("once") & F.col("first.once")).alias("once"))
-    w = W.partitionBy("key").orderBy("doc_id")
-    last = shared.where(F.col("df").between(3, rare)).select("doc_id", "at", "words", "once", F.lag(F.struct("doc_id", "at", "once")).over(w).alias("p"), F.col("first.doc_id").alias("f"))
-    last = last.where("p IS NOT NULL AND p.doc_id != f").select("doc_id", F.col("p.doc_id").alias("other"), "at", F.col("p.at").alias("other_at"), "words", (F.col("once") & F.col("p.once")).alias("once"))
-    return first.unionByName(last)
+    return stash(found.join(keys, "key"), "shared-lines")
+
+
+def shared_windows(shared: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, at, n, hash, first): windows that several documents have, and their first holder."""
+    ordered = shared.select("doc_id", "at", "key", "words").repartition(_parts(shared), "doc_id").sortWithinPartitions("doc_id", "at")
+    rows = stash(ordered.mapInArrow(_windows(min_words), "doc_id long, at int, n int, hash long"), "windows")
+    first = stash(rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1").drop("df"), "first-holders")
+    return stash(rows.join(first, "hash"), "shared-windows")
+
+
+def matches(shared: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, other, at, other_at, words, once): all lines that both documents of a pair have."""
+    mine = stash(shared.join(pairs, "doc_id"), "pair-lines")
+    theirs = shared.join(pairs.select(F.col("other").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    theirs = stash(theirs.select(F.col("doc_id").alias("other"), "key", F.col("at").alias("other_at"), F.col("once").alias("other_once")), "holder-lines")
+    return mine.join(theirs, ["other", "key"]).select("doc_id", "other", "at", "other_at", "words", (F.col("once") & F.col("other_once")).alias("once"))
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[int]:
@@ -120,11 +170,39 @@ def _blocks(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32())})
 
 
-def blocks(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def _left(windows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Windows with a line outside of the blocks in ``gone``."""
+    by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", F.col("n").alias("k"))).alias("gone"))
+    inside = F.forall(F.sequence("at", F.col("at") + F.col("n") - 1), lambda i: F.exists("gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["k"])))
+    return windows.join(by_doc, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).drop("gone")
+
+
+def blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, n): aligned common blocks that are to be deleted, in lines with a word."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = matches(stash(lines(docs), "lines"), rare).repartition(parts, "doc_id", "other").sortWithinPartitions("doc_id", "other", "at")
-    return found.mapInArrow(_align(min_words), "doc_id long, start int, n int")
+    shared = shared_lines(stash(lines(docs), "lines"))
+    windows = shared_windows(shared, min_words)
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        found = matches(shared, stash(pairs.distinct(), "pairs")).repartition(_parts(docs), "doc_id", "other").sortWithinPartitions("doc_id", "other", "at")
+        return stash(found.mapInArrow(_align(min_words), "doc_id long, start int, n int"), "blocks")
+
+    later = windows.where("doc_id > first")
+    gone = aligned(later.select("doc_id", F.col("first").alias("other")))
+    left = stash(_left(later, gone), "left")
+    if left.isEmpty():
+        return gone
+    # the holders of these windows, numbered from the first
+    holders = windows.join(left.select("hash").distinct(), "hash", "left_semi").select("hash", "doc_id", F.row_number().over(W.partitionBy("hash").orderBy("doc_id")).alias("rank"))
+    holders = stash(holders, "holders")
+    left = stash(left.join(holders, ["hash", "doc_id"]).withColumn("rank", F.col("rank") - 1), "left")
+    step = 1
+    while not (left := left.where("rank > 1")).isEmpty():  # rank: holders not yet tried, the first among them, which was
+        asked = left.select("doc_id", "hash", F.explode(F.sequence(F.greatest(F.col("rank") - (step - 1), F.lit(2)), F.col("rank"))).alias("rank"))
+        more = aligned(asked.join(holders.withColumnRenamed("doc_id", "other"), ["hash", "rank"]).select("doc_id", "other"))
+        gone = gone.unionByName(more)
+        left = stash(_left(left, more).withColumn("rank", F.col("rank") - step), "left")
+        step *= 2
+    return gone
 
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +227,12 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).set_column(j, "n_deleted", pa.array(counts, pa.int64()))
 
 
-def dedup(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the common blocks deleted from each text, and n_deleted, the number of deleted lines."""
-    gone = blocks(docs, rare, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = blocks(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     if "gone" in docs.columns or "n_deleted" in docs.columns:
         raise ValueError("the columns gone and n_deleted are made here")
-    out = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
+    out = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id").hint("shuffle_merge"), "__id", "left").drop("__id")
     schema = out.drop("gone").withColumn("n_deleted", F.lit(0).cast("long")).schema
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "gone").mapInArrow(_delete, schema)
 

@@ -66,3 +66,37 @@ def test_patience_is_a_longest_increasing_run():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup(df).count() == 0
+
+
+def test_a_block_whose_lines_come_first_from_different_documents(spark):
+    block = [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(4)]
+    docs = [(10 * i + j, f"own {i} {j}\n{block[i]}\nend {i} {j}") for i in range(4) for j in range(9)]  # each line in over 8 documents
+    docs += [(50, "\n".join(block)), (60, "\n".join(block)), (70, "head\n" + "\n".join(block[1:]) + "\ntail")]
+    got = {d: (t, n) for d, t, n in run(spark, docs)}
+    assert got[50] == (docs[-3][1], 0) and got[60] == ("", 4) and got[70] == ("head\ntail", 3)
+    assert all(n == 0 for d, (_, n) in got.items() if d < 60)
+
+
+def test_equals_the_alignments_with_all_earlier_documents(spark):
+    r = random.Random(5)
+    parts = [[f"p{i} l{j} x" for j in range(r.randint(2, 4))] for i in range(6)]
+    docs = []
+    for i in range(60):
+        body = [x for p in r.sample(parts, r.randint(1, 5)) for x in p]  # blocks in any order
+        body = [x for x in body if r.random() < 0.95]
+        docs.append((i, "\n".join(body + [f"own {i}"] if r.random() < 0.5 else body)))
+    want = {}
+    for d, t in docs:
+        mine, gone = t.split("\n"), set()
+        for e, u in docs[:d]:
+            theirs = u.split("\n")
+            aligned = line_dedup.patience([(a, theirs.index(x), True) for a, x in enumerate(mine) if x in theirs])
+            runs = []
+            for a, b in aligned:
+                if runs and runs[-1][-1] == (a - 1, b - 1):
+                    runs[-1].append((a, b))
+                else:
+                    runs.append([(a, b)])
+            gone |= {a for run_ in runs if sum(len(mine[a].split()) for a, _ in run_) >= 6 for a, _ in run_}
+        want[d] = len(gone)
+    assert {d: n for d, _, n in run(spark, docs, min_words=6)} == want
