@@ -7,6 +7,10 @@ and attempt. It keeps the kind's form: digits for digits, letters of the same sc
 separators as they are; card numbers keep their Luhn remainder, addresses their top-level domain, names their title,
 number of parts, script and the gender that the title tells.
 
+The parts of names are keyed each by itself, whatever the title and the other parts: a part has one stem everywhere.
+The first of several parts ends by gender; a last or only part, a surname, is the same under all titles. Stems are
+distinct and get a syllable more with each attempt, so any number of names has distinct surrogates.
+
 Surrogates are made for the distinct entities and checked: one that two entities of a kind share, or that is an
 entity of the corpus itself, is made anew with the next attempt for all but the least entity, until none is left.
 Only rows with a mention are joined with the surrogates; all others pass by.
@@ -99,26 +103,33 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x) % 10
 
 
-def _name(entity: Column, h: Column) -> Column:
-    """Lower-case surrogate of a lower-case titled name."""
-    words = F.split(entity, " ")
-    title = words[0]
-    gender = F.when(title.isin([t.lower() for t in FEMALE]), 0).when(title.isin([t.lower() for t in MALE]), 1).otherwise(2)
+def _by_script(part: Column, made) -> Column:
+    """``made(syllables, endings)`` of the script of a name's part."""
+    out = None
+    for script, forms in reversed(SYLLABLES.items()):
+        out = made(*forms) if out is None else F.when(part.rlike(script), made(*forms)).otherwise(out)
+    return out
 
-    def part(w: Column, k: Column) -> Column:
-        out = None
-        for script, (syllables, ends) in reversed(SYLLABLES.items()):
-            pick = lambda j: F.element_at(F.array(*map(F.lit, syllables)), _number(_hex(h, k.cast("string")), j) % len(syllables) + 1)  # noqa: B023, E731
-            first = F.element_at(F.array(*map(F.lit, ends)), gender + 1)
-            made = F.concat(pick(0), pick(1), pick(2), F.when(k == 0, first).otherwise(pick(3)))
-            out = made if out is None else F.when(w.rlike(script), made).otherwise(out)
-        return out
 
-    return F.array_join(F.concat(F.array(title), F.transform(F.slice(words, 2, 8), part)), " ")
+def _syllable(syllables: list[str], h: Column, i: Column | int) -> Column:
+    return F.element_at(F.array(*map(F.lit, syllables)), _number(h, i) % len(syllables) + 1)
+
+
+def _stem(part: Column, h: Column, attempt: Column) -> Column:
+    """Syllables for a part of a name, one more with each attempt."""
+    long = lambda i: _hex(h, (i / 16).cast("int").cast("string"))
+    return _by_script(part, lambda syllables, _: F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: _syllable(syllables, long(i), i)), ""))
+
+
+def _named(title: Column, part: Column, stem: Column, first: Column, key: str) -> Column:
+    """A part's surrogate: the first of several parts ends by the gender of the title, all others by a syllable of their own."""
+    gender = F.when(title.isin([t.lower() for t in FEMALE]), 0).when(title.isin([t.lower() for t in MALE]), 1).otherwise(2)
+    h = _hex(F.lit(key), F.lit("ending"), part)
+    return F.concat(stem, _by_script(part, lambda syllables, ends: F.when(first, F.element_at(F.array(*map(F.lit, ends)), gender + 1)).otherwise(_syllable(syllables, h, 0))))
 
 
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity, in canonical form."""
+    """The surrogate of an entity, in canonical form; of a name's part, its stem."""
     h = _hex(F.lit(key), kind, entity, attempt.cast("string"))
     local, domain = F.split(entity, "@", 2)[0], F.split(entity, "@", 2)[1]
     host, top = F.regexp_replace(domain, r"\.[^.]+$", ""), F.regexp_extract(domain, r"\.[^.]+$", 0)
@@ -132,7 +143,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     prefix = F.regexp_extract(entity, r"^\+[0-9]", 0)
     phone = F.concat(prefix, F.substring(made, F.length(prefix) + 1, F.length(made)))
     secret = F.when(entity.rlike("^[0-9a-fA-F]+$"), _spelled(entity, h, HEX)).otherwise(made)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "name", _name(entity, h)).when(kind == "secret", secret).otherwise(made)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "part", _stem(entity, h, attempt)).when(kind == "secret", secret).otherwise(made)
 
 
 def _filled(mention: Column, made: Column) -> Column:
@@ -160,10 +171,25 @@ def rendered(kind: Column, mention: Column, made: Column) -> Column:
 
 def keyed(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate) for distinct (kind, entity), no two of a kind with one surrogate."""
+    names = entities.where("kind = 'name'").withColumn("words", F.split("entity", " "))
+    names = names.select("entity", F.col("words")[0].alias("title"), F.size("words").alias("n"), F.posexplode(F.slice("words", 2, 8)).alias("at", "part"))
+    parts = names.select(F.lit("part").alias("kind"), F.col("part").alias("entity")).distinct()
+    made = stash(_distinct(entities.where("kind != 'name'").select("kind", "entity").unionByName(parts), key), "distinct")
+    names = names.join(made.where("kind = 'part'").select(F.col("entity").alias("part"), F.col("surrogate").alias("stem")), "part")
+    names = names.withColumn("new", _named(F.col("title"), F.col("part"), F.col("stem"), (F.col("at") == 0) & (F.col("n") > 2), key))
+    names = names.groupBy("entity", "title").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new"))
+    names = names.select(F.lit("name").alias("kind"), "entity", F.concat_ws(" ", "title", "new").alias("surrogate"))
+    return made.where("kind != 'part'").unionByName(names)
+
+
+def _distinct(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, entity, surrogate): surrogates, of the parts of names stems, that are distinct and not in the corpus."""
     made = stash(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(0), key)), "surrogates")
+    # a stem gets an ending of one or two letters, which mustn't make it a part of the corpus
+    own = F.when(F.col("kind") == "part", F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.substring("entity", F.lit(1), F.length("entity") - k))).otherwise(F.array("entity"))
+    taken = entities.select("kind", F.explode(own).alias("surrogate")).distinct().withColumn("taken", F.lit(True))
     while True:
         shared = made.groupBy("kind", "surrogate").agg(F.count("*").alias("c"), F.min("entity").alias("least")).where("c > 1")
-        taken = entities.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("taken"))
         marked = made.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
         again = (F.col("least").isNotNull() & (F.col("entity") != F.col("least"))) | F.col("taken").isNotNull()
         marked = stash(marked.select("kind", "entity", "attempt", "surrogate", again.alias("again")), "checked")

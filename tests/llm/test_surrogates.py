@@ -42,3 +42,21 @@ def test_collisions_are_resolved(spark):
     table = su.keyed(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
     assert len(table) == len(rows) == len({(r.kind, r.surrogate) for r in table})
     assert not {(r.kind, r.surrogate) for r in table} & set(rows)
+
+
+def test_any_number_of_names_under_a_title(spark):
+    """Three syllables tell 4096 names apart, so stems have to grow."""
+    letters = "abcdefghijklmnopqrstuvw"
+    rows = [("name", f"{title} {a}{b}{c}") for title in ("mr", "dr") for a in letters for b in letters for c in letters]
+    rows += [("name", f"mr {a}{b} {c}x") for a in letters for b in "ab" for c in letters] + [("name", "mr ли"), ("name", "mrs ли")]
+    table = su.keyed(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    assert len(rows) > 24_000 and len(table) == len(rows) == len({r.surrogate for r in table})
+    assert not {r.surrogate for r in table} & {e for _, e in rows}
+    assert all(len(r.surrogate.split()) == len(r.entity.split()) and r.surrogate.split()[0] == r.entity.split()[0] for r in table)
+
+
+def test_names_that_share_a_part(spark):
+    df = spark.createDataFrame([(1, "Mr Bob Jones met Mr Jones, Dr Bob JONES and Mrs Jones; Mr Bob Smith didn't")], "doc_id long, text string")
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+), Dr (\w+) (\w+) and Mrs (\w+); Mr (\w+) (\w+) didn't", su.pseudonymise(df).first().text)
+    assert m and m[2] == m[3] == m[6] and m[5] == m[2].upper() and m[1] == m[7] and m[8] != m[2]
+    assert m[1].endswith("an") and m[4].endswith("e") and m[1][:-2] == m[4][:-1]
