@@ -4,13 +4,19 @@ Words lose their punctuation and case; numbers, capitalised words inside a sente
 typed placeholders. Windows of ``WIDTH`` such words are joined by hash between documents and benchmark items, so a
 question with other numbers or names still matches. Matches of a document and an item on one diagonal are taken
 together; their slots must be consistent: an item's value always stands for one value of the document and the
-other way round. A document is contaminated by an item if consistent windows cover ``SHARE`` of the item's.
+other way round. A document is contaminated by an item if consistent windows cover ``SHARE`` of the item's, or of
+those that aren't mostly placeholders.
+
+A window has up to three keys. In the first, a capitalised word that opens a sentence, or one in capitals, is a plain
+word; in the second, every word with a capital letter in front (Latin, Greek, Cyrillic) is a name, so that names
+match wherever they stand; slots are held for consistency with and without the second. The third has all words
+as they are, so that a verbatim copy always matches.
 
 Benchmark windows are sent to all executors as sorted hashes while they are at most ``MOST_WINDOWS`` (32 MB), so that
 only matching windows are shuffled; with more, all windows are.
 
-Defined cases: null and empty texts match nothing; windows with more placeholders than words match nothing; items
-of fewer than ``WIDTH`` words are one window, and under ``LEAST`` words none; repeated rows of a doc_id or item count once.
+Defined cases: null and empty texts match nothing; windows with more placeholders than words match verbatim
+only; items of fewer than ``WIDTH`` words are one window, and under ``LEAST`` words none; repeated rows of a doc_id or item count once.
 """
 
 from __future__ import annotations
@@ -94,6 +100,8 @@ class Template:
         head = data[words.start] if len(words.start) else np.zeros(0, np.uint8)
         second = data[np.minimum(words.start + 1, max(len(data) - 1, 0))] if len(head) else head
         upper = (head >= 65) & (head <= 90) & ~((second >= 65) & (second <= 90)) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
+        greek, cyrillic = (head == 0xCE) & (second >= 0x86) & (second <= 0xAB), (head == 0xD0) & (second >= 0x80) & (second <= 0xAF)
+        capital = (head >= 65) & (head <= 90) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97) | greek & (second != 0x90) | cyrillic
         opens = np.ones(len(h), bool)
         if len(h):
             opens[1:] = _STOP[data[words.end[:-1] - 1]]
@@ -106,26 +114,34 @@ class Template:
         after = np.zeros(len(real), bool)
         after[1:] = self.kind[:-1] == NUMBER
         self.kind[after & (self.kind == WORD) & _among(_unit_keys(), h)] = UNIT
-        self.hash = np.where(self.kind == WORD, h, _PLACE[self.kind])
+        self.plain = h
+        self.wide = np.where((self.kind == WORD) & capital[real], NAME, self.kind).astype(np.int8)
         self.data = data
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, hashes and documents of the windows that lie in one document and aren't mostly placeholders."""
-        g = ts.gram_hash(self.hash, width)
-        at = np.arange(len(g))
+    def windows(self, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Starts, hashes, documents and kinds (None: verbatim) of the windows that lie in one document, by key."""
+        at = np.arange(max(len(self.plain) - width + 1, 0))
         doc = np.searchsorted(self.first, at, "right") - 1
-        slots = np.concatenate([[0], np.cumsum(self.kind != WORD)])
-        ok = (at + width <= self.first[doc + 1]) & (2 * (slots[at + width] - slots[at]) <= width) if len(g) else np.zeros(0, bool)
-        at = at[ok]
-        return at, ts.mix(g[ok] + np.uint64(width)), doc[ok]
-
-    def slots(self, at: int, width: int) -> list[str]:
+        inside = at + width <= self.first[doc + 1]
+        out, changed = [], np.concatenate([[0], np.cumsum(self.wide != self.kind)])
+        for kind in (self.kind, self.wide):
+            g = ts.gram_hash(np.where(kind == WORD, self.plain, _PLACE[kind]), width)[: len(at)]
+            slots = np.concatenate([[0], np.cumsum(kind != WORD)])
+            ok = inside & (2 * (slots[at + width] - slots[at]) <= width)
+            if kind is self.wide:
+                ok &= changed[at + width] > changed[at]
+            out.append((at[ok], ts.mix(g[ok] + np.uint64(width)), doc[ok], kind))
+        g = ts.gram_hash(self.plain, width)[: len(at)]
+        return [*out, (at[inside], ts.mix(g[inside] + np.uint64(width + 1000)), doc[inside], None)]
+
+    def slots(self, at: int, width: int, kind: np.ndarray) -> list[str]:
         """Values in the placeholders of a window, in order; each starts with its kind."""
-        return [f"{self.kind[i]}{self.data[self.start[i] : self.end[i]].tobytes().decode().strip('.,;:!?()').lower()}" for i in range(at, at + width) if self.kind[i] != WORD]
+        value = lambda i: self.data[self.start[i] : self.end[i]]
+        return [f"{kind[i]}{value(i)[_KEEP[value(i)]].tobytes().decode(errors='replace').lower()}" for i in range(at, at + width) if kind[i] != WORD]
 
 
 def _windows(widths: list[int] | None, keys: np.ndarray | None, width: int, least: int):
-    """Rows (id, hash, place, slots, n): windows with a hash in ``keys``; without ``widths`` an item's own windows."""
+    """Rows (id, hash, place, slots, key, n): windows with a hash in ``keys``; without ``widths`` an item's own windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,23 +151,24 @@ def _windows(widths: list[int] | None, keys: np.ndarray | None, width: int, leas
                 t = Template(np.ascontiguousarray(data[off[i] : off[j]]), off[i : j + 1] - off[i])
                 count = np.diff(t.first)
                 for w in widths or range(least, width + 1):
-                    at, h, doc = t.windows(w)
-                    if widths is None:
-                        ok = (count[doc] == w) | (count[doc] > w) & (w == width)
-                    else:
-                        ok = _among(keys, h) if keys is not None else np.ones(len(h), bool)
-                    at, h, doc = at[ok], h[ok], doc[ok]
-                    if len(at):
-                        slots = [t.slots(a, w) for a in at.tolist()]
-                        yield pa.record_batch({
-                            "id": pa.array([ids[i + d] for d in doc.tolist()], pa.int64()), "hash": h.view(np.int64), "place": at - t.first[doc],
-                            "slots": pa.array(slots, pa.list_(pa.string())), "n": np.bincount(doc)[doc],
-                        })
+                    for key, (at, h, doc, kind) in enumerate(t.windows(w)):
+                        if widths is None:
+                            ok = (count[doc] == w) | (count[doc] > w) & (w == width)
+                        else:
+                            ok = _among(keys, h) if keys is not None else np.ones(len(h), bool)
+                        at, h, doc = at[ok], h[ok], doc[ok]
+                        if len(at):
+                            own = widths is None and kind is None
+                            slots = [t.slots(a, w, t.kind if own else kind) if own or kind is not None else None for a in at.tolist()]
+                            yield pa.record_batch({
+                                "id": pa.array([ids[i + d] for d in doc.tolist()], pa.int64()), "hash": h.view(np.int64), "place": at - t.first[doc],
+                                "slots": pa.array(slots, pa.list_(pa.string())), "key": np.full(len(at), key, np.int32), "n": count[doc] - w + 1,
+                            })
 
     return run
 
 
-_SCHEMA = "id long, hash long, place long, slots array<string>, n long"
+_SCHEMA = "id long, hash long, place long, slots array<string>, key int, n long"
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -167,14 +184,22 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int =
     keys = None
     if hashes.count() <= MOST_WINDOWS:
         keys = np.sort(np.array([r.hash for r in hashes.toLocalIterator()], np.int64).view(np.uint64))
-    found = named(docs).mapInArrow(_windows(widths, keys, width, least), _SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("own"))
-    found = found.join(own.withColumnRenamed("id", "item_id"), "hash").where(F.size("own") == F.size("slots"))
+    light = own.where("key < 2").groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("n_light"))
+    found = named(docs).mapInArrow(_windows(widths, keys, width, least), _SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("own"), F.col("key").alias("doc_key"))
+    heavy = own.groupBy("id", "place").agg((F.min("key") == 2).alias("heavy"))
+    # a verbatim window has the item's own values
+    found = found.join(own.join(heavy, ["id", "place"]).withColumnRenamed("id", "item_id"), "hash").withColumn("own", F.coalesce("own", "slots")).where(F.size("own") == F.size("slots"))
     found = found.withColumn("pairs", F.arrays_zip(F.col("slots").alias("x"), F.col("own").alias("y")))
-    lines = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("n").alias("n"))
+    # slots are consistent with the second keys or without them
+    second = (F.col("key") == 1) | (F.col("doc_key") == 1)
+    found = found.withColumn("wide", F.explode(F.when(second, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    lines = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal"), "wide").agg(F.collect_set(F.struct("place", "heavy")).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("n").alias("n"))
     side = lambda s: F.size(F.array_distinct(F.transform("pairs", lambda p: p[s])))
     lines = lines.where((side("x") == F.size("pairs")) & (side("y") == F.size("pairs")))
     lines = lines.withColumn("exact", F.forall("pairs", lambda p: p["x"] == p["y"]))
-    whole = lines.groupBy("doc_id", "item_id").agg((F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.max("n")).alias("coverage"), F.min("exact").alias("exact"))
+    whole = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("n").alias("n"), F.coalesce(F.min(F.when(~F.col("wide"), F.col("exact"))), F.min("exact")).alias("exact"))
+    of_light = F.size(F.filter("places", lambda p: ~p["heavy"])) / F.col("n_light")
+    whole = whole.join(light, "item_id", "left").select("doc_id", "item_id", F.greatest(F.size("places") / F.col("n"), of_light).alias("coverage"), "exact")
     return whole.where(F.col("coverage") >= share)
 
 

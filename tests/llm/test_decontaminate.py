@@ -63,3 +63,20 @@ def test_planted_passages(spark):
     want = {(d.doc_id, i) for d in docs for i, t in items.items() if f" {t} " in f" {' '.join(words(d.text))} "}
     got = {(r.doc_id, x) for r in dc.op1_decontaminate(spark, sf).collect() for x in r["items"]}
     assert want and got == want
+
+
+def test_names_in_front_of_sentences_and_windows_of_values(spark):
+    items = [
+        (1, "Tom has 5 apples. Tom gives 2 to Ann. Tom buys 4 more of them. How many apples does Tom have now?"),
+        (2, "12 + 13 = 25, 14 + 15 = 29, 16 + 17 = 33, 18 + 19 = 37, 20 + 21 = 41"),
+        (3, "вчера утром Иван купил 5 яблок и потом Иван отдал 2 яблока своему другу"),
+    ]
+    docs = [
+        (1, "Bert has 7 apples. Bert gives 3 to Eve. Bert buys 6 more of them. How many apples does Bert have now?"),
+        (2, "See: " + items[1][1] + " and so on"),
+        (3, "вчера утром Пётр купил 7 яблок и потом Пётр отдал 3 яблока своему другу"),
+        (4, "Bert has 7 apples. Carl gives 3 to Eve. Dora buys 6 more of them. How many apples does Emil have now?"),
+        (5, "12 + 13 = 26, 15 + 15 = 30, 16 + 18 = 34, 18 + 20 = 38, 20 + 22 = 42"),
+        (6, "TOM HAS 5 APPLES. TOM GIVES 2 TO ANN. TOM BUYS 4 MORE OF THEM. HOW MANY APPLES DOES TOM HAVE NOW?"),
+    ]
+    assert run(spark, docs, items)[2] == {(1, 1): False, (2, 2): True, (3, 3): False, (6, 1): True}
