@@ -5,32 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylomill.stash import stash
+from phylomill.stash import discard, stash
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = stash(least, "least")  # the join below then has two plain exchanges, and a hot node's rows can be split
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
+    least = stash(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """(node, component): every node of an edge and the smallest node that it reaches.
 
-    Each round writes its edges to the shared folder and ends when a round changes none, after O(log n) rounds.
-    A node with very many edges is only ever a key of a partial aggregate or of a join that can be split.
+    Each round writes its edges to the shared folder, deletes the last round's, and ends when a round changes none,
+    after O(log n) rounds. A node with very many edges is only ever a key of a partial aggregate or of a join that
+    can be split.
     """
     now = stash(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v").distinct(), "edges")
     mark = None
     while True:
-        now = stash(_small_star(_large_star(now)), "edges")
+        wide, low = _large_star(now)
+        wide = stash(wide, "edges")
+        then, lower = _small_star(wide)
+        then = stash(then, "edges")
+        discard(now, low, wide, lower)
+        now = then
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break

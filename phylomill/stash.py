@@ -10,9 +10,11 @@ _OWN = "spark.phylomill.own.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a new local folder (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a new local folder, in local mode (tests) only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="spark-stash-")
@@ -20,16 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it.
 
     A lost executor then costs a re-read, not a re-run, and a loop's plan stays as small as one round. The folder
-    goes when the session's JVM ends.
+    goes when the session's JVM ends, or with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _file(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing still to be run reads, such as a loop's last round."""
+    for df in tables:
+        fs, p = _file(df.sparkSession, df._stash)
+        fs.delete(p, True)
