@@ -43,7 +43,7 @@ sha256(unhex(CASE WHEN z.doc_id IS NULL THEN d.h ELSE concat(z.head, substring(z
 
 
 def _op10() -> str:
-    floor, pairs = (0.05**2, 0.25**2, 0.5**2, 0.5**2), [(i, j) for i in range(1, 5) for j in range(1, i + 1)]
+    floor, pairs = (0.05**2, 0.25**2, 0.4**2, 0.35**2), [(i, j) for i in range(1, 5) for j in range(1, i + 1)]
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     ctes = [
         "d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)",
@@ -57,13 +57,19 @@ def _op10() -> str:
         "st AS (SELECT q.doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM q LEFT JOIN n3 ON n3.doc_id = q.doc_id)",
         "x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, ln(greatest(word_chars, 1) / CAST(greatest(n_words, 1) AS DOUBLE)) AS x1, ln(1 + 100.0E0 * n_symbols / greatest(word_chars, 1)) AS x2, ln(1 + 100.0E0 * n_dup_lines / greatest(n_words, 1)) AS x3, ln(1 + 20.0E0 * n_repeat_words / greatest(n_words, 1)) AS x4 FROM st)",
         "gc AS (SELECT lang, source, count(*) FILTER (WHERE NOT base_failed) AS c, sum(count(*) FILTER (WHERE NOT base_failed)) OVER (PARTITION BY lang) AS cl FROM x GROUP BY 1, 2)",
-        "y AS MATERIALIZED (SELECT x.*, CASE WHEN c >= 100 THEN concat('s|', x.lang, '|', x.source) WHEN cl >= 100 THEN concat('l|', x.lang) ELSE '*' END AS g FROM x JOIN gc ON gc.lang = x.lang AND gc.source = x.source)",
-        "e AS MATERIALIZED (SELECT DISTINCT u.doc_id, u.x1, u.x2, u.x3, u.x4, k.g FROM y u JOIN (SELECT DISTINCT g FROM y WHERE NOT base_failed) k ON k.g IN (u.g, concat('l|', u.lang), '*') WHERE NOT u.base_failed)",
-        "lo AS (SELECT g, k, CAST(floor(v * 512) AS BIGINT) AS b FROM (SELECT g, unnest([1, 2, 3, 4]) AS k, unnest([x1, x2, x3, x4]) AS v FROM e) u)",
-        "md AS MATERIALIZED (SELECT g, k, min(b) AS mid FROM (SELECT g, k, b, count(*) OVER (PARTITION BY g, k ORDER BY b) AS upto, count(*) OVER (PARTITION BY g, k) AS n FROM lo) u WHERE upto >= 0.5 * n GROUP BY 1, 2)",
-        "ma AS (SELECT g, k, min(a) AS mad FROM (SELECT g, k, a, count(*) OVER (PARTITION BY g, k ORDER BY a) AS upto, count(*) OVER (PARTITION BY g, k) AS n FROM (SELECT lo.g, lo.k, abs(lo.b - md.mid) AS a FROM lo JOIN md ON md.g = lo.g AND md.k = lo.k) t) u WHERE upto >= 0.5 * n GROUP BY 1, 2)",
-        "m0 AS (SELECT md.g, " + ", ".join(f"max(CASE WHEN md.k = {i} THEN (mid + 0.5) / 512.0E0 END) AS m{i}, max(CASE WHEN md.k = {i} THEN pow(1.4826E0 * mad / 512.0E0, 2) END) + {floor[i - 1]!r} AS v{i}{i}" for i in range(1, 5)) + ", " + ", ".join(f"0.0E0 AS v{i}{j}" for i, j in pairs if i != j) + " FROM md JOIN ma ON ma.g = md.g AND ma.k = md.k GROUP BY md.g)",
+        "y AS MATERIALIZED (SELECT x.*, CASE WHEN c >= 20 THEN concat('s|', x.lang, '|', x.source) WHEN cl >= 20 THEN concat('l|', x.lang) ELSE '*' END AS g FROM x JOIN gc ON gc.lang = x.lang AND gc.source = x.source)",
+        # documents on the grid, once for each group that they count for
+        "e AS MATERIALIZED (SELECT k.g, " + ", ".join(f"round(u.x{i} * 512) AS b{i}, round(u.x{i} * 512) / 512 AS x{i}" for i in range(1, 5)) + " FROM y u JOIN (SELECT DISTINCT g FROM y WHERE NOT base_failed) k ON k.g IN (concat('s|', u.lang, '|', u.source), concat('l|', u.lang), '*') WHERE NOT u.base_failed)",
+        "md AS MATERIALIZED (SELECT g, " + ", ".join(f"quantile_cont(b{i}, 0.5) AS c{i}" for i in range(1, 5)) + " FROM e GROUP BY g)",
+        "sc AS MATERIALIZED (SELECT e.g, " + ", ".join(f"max(c{i}) / 512 AS m{i}, greatest(1.4826E0 * quantile_cont(abs(b{i} - c{i}), 0.5) / 512, sqrt({floor[i - 1]!r})) AS a{i}" for i in range(1, 5)) + " FROM e JOIN md ON md.g = e.g GROUP BY e.g)",
+        "th AS (SELECT e.g, " + ", ".join(f"round(tanh((x{i} - m{i}) / a{i}) * 1024) AS t{i}" for i in range(1, 5)) + " FROM e JOIN sc ON sc.g = e.g)",
+        "cv AS (SELECT g, " + ", ".join(f"sum(t{i} * t{j}) / count(*) - sum(t{i}) / count(*) * (sum(t{j}) / count(*)) AS c{i}{j}" for i, j in pairs) + " FROM th GROUP BY g)",
     ]
+    means, roots = ", ".join(f"m{i}" for i in range(1, 5)), ", ".join(f"l{i}{j}" for i, j in pairs)
+
+    def moments(name: str, rows: str, keys: str, factor: float) -> None:
+        cov = lambda i, j: f"(sum(b{i} * b{j}) / count(*) - sum(b{i}) / count(*) * (sum(b{j}) / count(*))) / 262144 * {factor}"
+        ctes.append(f"{name} AS (SELECT {keys}, " + ", ".join(f"sum(b{i}) / count(*) / 512 AS m{i}" for i in range(1, 5)) + ", " + ", ".join((f"greatest({cov(i, j)}, {floor[i - 1]!r})" if i == j else cov(i, j)) + f" AS v{i}{j}" for i, j in pairs) + f" FROM {rows} GROUP BY {keys})")
 
     def factored(name: str, source: str) -> None:
         """One CTE for each entry of the Cholesky factor."""
@@ -71,38 +77,38 @@ def _op10() -> str:
         for n, (i, j) in enumerate(sorted(pairs, key=lambda p: (p[1], p[0]))):
             rest = f"v{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
             entry = f"sqrt(greatest({rest}, {floor[i - 1] / 1e3!r}))" if i == j else f"({rest}) / l{j}{j}"
-            here = f"{name}_{n}" if n < len(pairs) - 1 else name
-            ctes.append(f"{here} AS {'MATERIALIZED ' if here == name else ''}(SELECT *, {entry} AS l{i}{j} FROM {last})")
+            here = f"{name}_{n}"
+            ctes.append(f"{here} AS (SELECT *, {entry} AS l{i}{j} FROM {last})")
             last = here
+        ctes.append(f"{name} AS MATERIALIZED (SELECT *, l11 * l22 * l33 * l44 AS det FROM {last})")
 
-    def scored(name: str, rows: str, estimate: str) -> None:
-        last = f"(SELECT r.*, {', '.join(f'm{i}' for i in range(1, 5))}, {', '.join(f'l{i}{j}' for i, j in pairs)} FROM {rows} r JOIN {estimate} o ON o.g = r.g)"
+    def scored(name: str, rows: str, estimate: str, s: str = ", o.s") -> None:
+        last = f"(SELECT r.*{s}, {means}, {roots} FROM {rows} r JOIN {estimate} o ON o.g = r.g)"
         for i in range(1, 5):
             last = f"(SELECT *, (x{i} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(1, i)) + f") / l{i}{i} AS y{i} FROM {last} t{i})"
-        ctes.append(f"{name} AS MATERIALIZED (SELECT *, y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4 AS d2, CAST(floor(ln(y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4 + 1e-9) * 64) AS BIGINT) AS b FROM {last} t)")
-
-    def quantile(name: str, rows: str, q: float) -> None:
-        ctes.append(f"{name} AS (SELECT g, min(b) AS b FROM (SELECT g, b, count(*) OVER (PARTITION BY g ORDER BY b) AS upto, count(*) OVER (PARTITION BY g) AS n FROM {rows}) u WHERE upto >= {q} * n GROUP BY g)")
-
-    def moments(name: str, rows: str) -> None:
-        ctes.append(f"{name} AS (SELECT g, " + ", ".join(f"avg(x{i}) AS m{i}" for i in range(1, 5)) + ", " + ", ".join(f"covar_pop(x{i}, x{j})" + (f" + {floor[i - 1]!r}" if i == j else "") + f" AS v{i}{j}" for i, j in pairs) + f" FROM {rows} GROUP BY g)")
+        ctes.append(f"{name} AS MATERIALIZED (SELECT *, y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4 AS d2, floor(ln(y1 * y1 + y2 * y2 + y3 * y3 + y4 * y4 + 1e-9) * 256) AS bin FROM {last} t)")
 
+    spread = lambda i: f"sqrt(greatest(c{i}{i}, 1.0))"
+    moments("every", "e", "g", 1.0)
+    ctes.append("m0 AS (SELECT g, 0 AS s, " + means + ", " + ", ".join(f"a{i} * a{i} AS v{i}{j}" if i == j else f"0.0E0 AS v{i}{j}" for i, j in pairs) + " FROM sc UNION ALL SELECT sc.g, 1, " + means + ", " + ", ".join(f"a{i} * a{i}" if i == j else f"a{i} * a{j} * (c{i}{j} / {spread(i)} / {spread(j)})" for i, j in pairs) + f" FROM sc JOIN cv ON cv.g = sc.g UNION ALL SELECT g, 2, {means}, {', '.join(f'v{i}{j}' for i, j in pairs)} FROM every)")
     factored("f0", "m0")
-    for step in range(3):
+    # the steps end when no determinant falls; here a fixed number of them, which is more than the groups need
+    for step in range(8):
         scored(f"s{step}", "e", f"f{step}")
-        quantile(f"q{step}", f"s{step}", 0.75)
-        moments(f"m{step + 1}", f"(SELECT s.* FROM s{step} s JOIN q{step} c ON c.g = s.g WHERE s.b <= c.b) h")
-        factored(f"f{step + 1}", f"m{step + 1}")
-    scored("s3", "e", "f3")
-    quantile("q3", "s3", 0.5)
-    ctes.append("m4 AS (SELECT f3.g, " + ", ".join(f"m{i}" for i in range(1, 5)) + ", " + ", ".join(f"v{i}{j} * greatest(exp((b + 1) / 64.0E0) / 3.357E0, 1.0E0) AS v{i}{j}" for i, j in pairs) + " FROM f3 JOIN q3 ON q3.g = f3.g)")
-    factored("f4", "m4")
-    scored("s4", "e", "f4")
-    moments("m5", "(SELECT * FROM s4 WHERE d2 <= 11.14) h")
-    factored("f5", "m5")
-    scored("s5", "(SELECT * FROM y WHERE NOT base_failed)", "f5")
+        ctes.append(f"q{step} AS (SELECT g, s, quantile_cont(bin, 0.75) AS cut FROM s{step} GROUP BY g, s)")
+        moments(f"near{step}", f"(SELECT z.* FROM s{step} z JOIN q{step} c ON c.g = z.g AND c.s = z.s WHERE z.bin <= c.cut) h", "g, s", 1.0)
+        factored(f"w{step}", f"near{step}")
+        better = "true" if step == 0 else "n.det < o.det * (1 - 1e-9)"
+        ctes.append(f"f{step + 1} AS MATERIALIZED (SELECT o.g, o.s, " + ", ".join(f"CASE WHEN {better} THEN n.{c} ELSE o.{c} END AS {c}" for c in [*(f"m{i}" for i in range(1, 5)), *(f"l{i}{j}" for i, j in pairs), "det"]) + f" FROM f{step} o JOIN w{step} n ON n.g = o.g AND n.s = o.s)")
+    wide = lambda i, j: f"1.4864 * ({' + '.join(f'l{i}{k} * l{j}{k}' for k in range(1, j + 1))})"
+    ctes.append(f"raw AS (SELECT g, {means}, " + ", ".join((f"greatest({wide(i, j)}, {floor[i - 1]!r})" if i == j else wide(i, j)) + f" AS v{i}{j}" for i, j in pairs) + " FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY det, s) AS r FROM f8) t WHERE r = 1)")
+    factored("rf", "raw")
+    scored("rs", "e", "rf", "")
+    moments("mw", "(SELECT * FROM rs WHERE d2 <= 11.143) h", "g", 1.0645)
+    factored("last", "mw")
+    scored("fin", "(SELECT * FROM y WHERE NOT base_failed)", "last", "")
     body = ",\n".join(ctes)
-    return f"WITH {body}\nSELECT y.doc_id, y.n_words, y.word_chars, y.n_symbols, y.n_dup_lines, y.n_repeat_words, y.base_failed, coalesce(s5.d2 <= 23.51, false) AS kept FROM y LEFT JOIN s5 ON s5.doc_id = y.doc_id"
+    return f"WITH {body}\nSELECT y.doc_id, y.n_words, y.word_chars, y.n_symbols, y.n_dup_lines, y.n_repeat_words, y.base_failed, coalesce(fin.d2 <= 23.51, false) AS kept FROM y LEFT JOIN fin ON fin.doc_id = y.doc_id"
 
 
 OP10 = _op10()
