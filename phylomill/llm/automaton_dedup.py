@@ -7,7 +7,9 @@ The reference is the corpus itself, so its automata can't all be sent everywhere
 anchor classes (see ``repeats``): a shard's automaton holds the distinct segments of its classes, some 100 thousand
 words, and only the segments of those classes are streamed over it, in the order of their documents. A position
 where the matching statistic reaches ``length`` ends a window that was there before; maximal runs of such windows
-are removed. Segments that add something then extend the automaton.
+are removed. Segments that add something then extend the automaton. A class of more than ``MOST`` distinct segments
+is split by the words around its anchor (see ``repeats``), so that no automaton holds more than a shard and ``MOST``
+segments.
 
 Defined cases: a row without a doc_id is left alone; a null or empty text has no words; equal documents lose everything but the first; white space is
 ASCII only; repeated rows of one doc_id are one document, and both rows keep what that document keeps.
@@ -16,6 +18,7 @@ ASCII only; repeated rows of one doc_id are one document, and both rows keep wha
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,7 @@ from phylomill.llm import repeats
 from phylomill.llm import textscan as ts
 
 SHARD = 100_000  # words of reference in one automaton; a shard ends with a class
+MOST = 2_500  # distinct segments of a class, of at most 2 * length words each
 GRAM = 5
 
 
@@ -85,7 +89,7 @@ class SuffixAutomaton:
         return out
 
 
-def _segments(length: int, k: int):
+def _segments(length: int, k: int, levels: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = ts.utf8(batch.column("text"))
@@ -97,10 +101,12 @@ def _segments(length: int, k: int):
                 at, lo, n = ts.anchors(grams, words.first, length, k)
                 if not len(at):
                     continue
+                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * ts.powers(len(h))[0], dtype=np.uint64)]) if levels else h
+                cls, lo, n, parent = repeats.split(grams[at], at, lo, n, levels, prefix, length)
                 doc = np.searchsorted(words.first, lo, "right") - 1
                 view = memoryview(h.tobytes())
                 seg = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((8 * lo).tolist(), (8 * (lo + n + length - 1)).tolist())), np.uint64, len(lo))
-                yield pa.record_batch({"cls": grams[at].view(np.int64), "seg": seg.view(np.int64), "doc_id": ids[i:j][doc], "lo": lo - words.first[doc], "n": n.astype(np.int32)})
+                yield pa.record_batch({"cls": cls.view(np.int64), "seg": seg.view(np.int64), "doc_id": ids[i:j][doc], "lo": lo - words.first[doc], "n": n.astype(np.int32), "parent": parent.view(np.int64)})
 
     return run
 
@@ -177,10 +183,10 @@ def _remove(length: int):
 def dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row of ``docs``."""
     k = min(GRAM, length)
-    found = repeats.candidates(repeats.named(docs).mapInArrow(_segments(length, k), repeats.SEGMENTS), keep=False)
-    counted = repeats.weighted(found)
+    segments = lambda levels: repeats.named(docs).mapInArrow(_segments(length, k, levels), repeats.SEGMENTS)
+    found, counted = repeats.resolved(segments, [max(1, math.isqrt(length - k + 1)), 1], MOST, keep=False)
     copied = counted.where("copies > 1").select("cls", "seg", F.col("first.doc_id").alias("d0"), F.col("first.lo").alias("lo0"))
-    later = found.join(copied, ["cls", "seg"]).where("doc_id != d0 OR lo != lo0").select("doc_id", F.col("lo").alias("start"), F.col("n").cast("long").alias("n"))
+    later = repeats.copies_of(found, copied).where("doc_id != d0 OR lo != lo0").select("doc_id", F.col("lo").alias("start"), F.col("n").cast("long").alias("n"))
     bodies = repeats.with_texts(counted, docs, _cut(length), "cls long, doc_id long, lo long, n int, body binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = bodies.repartition(parts, "cls").sortWithinPartitions("cls", "doc_id", "lo").mapInArrow(_stream(length), "doc_id long, start long, n long")

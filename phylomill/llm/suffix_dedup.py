@@ -6,7 +6,9 @@ the bucket identifiers found q bytes later, and the refined identifiers serve th
 
 A suffix array of the whole corpus fits nowhere, so the suffixes that can't share ``length`` bytes with another are
 set aside first (see ``repeats``): Spark groups segments by the hash of their anchor, and a suffix array is built
-for blocks of whole anchor classes. Bytes are compared through 64-bit hashes of two independent kinds.
+for blocks of whole anchor classes. Bytes are compared through 64-bit hashes of two independent kinds. An anchor class
+is itself a q-gram bucket; one with more than ``MOST`` distinct segments is refined by the q-grams at later offsets
+before it is sorted, so that no task holds more than a block and ``MOST`` segments.
 
 Defined cases: a row without a doc_id is left alone; a null or empty text has no bytes; a document shorter than ``length`` keeps all; equal documents
 lose all of their bytes when long enough, the first included. A doc_id names one text; repeated rows are copies.
@@ -15,6 +17,7 @@ lose all of their bytes when long enough, the first included. A doc_id names one
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +30,14 @@ from phylomill.llm import repeats
 from phylomill.llm import textscan as ts
 
 BLOCK = 2_000_000  # suffixes that one suffix array holds; a block ends with a class
+MOST = 2_500  # distinct segments of a class, of at most 2 * length bytes each
 
 
 def _gram_width(length: int) -> int:
     return max(1, length // 6)
 
 
-def _segments(length: int):
+def _segments(length: int, levels: list):
     k = _gram_width(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,10 +54,11 @@ def _segments(length: int):
                 at, lo, n = ts.anchors(grams, first, length, k)
                 if not len(at):
                     continue
+                cls, lo, n, parent = repeats.split(grams[at], at, lo, n, levels, c, length)
                 doc = np.searchsorted(first, lo, "right") - 1
                 view = memoryview(np.ascontiguousarray(buf))
                 seg = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist())), np.uint64, len(lo))
-                yield pa.record_batch({"cls": grams[at].view(np.int64), "seg": seg.view(np.int64), "doc_id": ids[i:j][doc], "lo": lo - first[doc], "n": n.astype(np.int32)})
+                yield pa.record_batch({"cls": cls.view(np.int64), "seg": seg.view(np.int64), "doc_id": ids[i:j][doc], "lo": lo - first[doc], "n": n.astype(np.int32), "parent": parent.view(np.int64)})
 
     return run
 
@@ -195,10 +200,10 @@ def _remove(length: int):
 
 def dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``."""
-    found = repeats.candidates(repeats.named(docs).mapInArrow(_segments(length), repeats.SEGMENTS))
-    counted = repeats.weighted(found)
+    segments = lambda levels: repeats.named(docs).mapInArrow(_segments(length, levels), repeats.SEGMENTS)
+    found, counted = repeats.resolved(segments, [max(1, math.isqrt(length - _gram_width(length) + 1)), 1], MOST)
     copied = counted.where("copies > 1").select("cls", "seg")
-    whole = found.join(copied, ["cls", "seg"]).select("doc_id", F.col("lo").alias("start"), F.col("n").cast("long").alias("n"))
+    whole = repeats.copies_of(found, copied).select("doc_id", F.col("lo").alias("start"), F.col("n").cast("long").alias("n"))
     bodies = repeats.with_texts(counted, docs, _cut(length), "cls long, copies long, doc_id long, lo long, n int, body binary")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -41,6 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, one more than rows) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

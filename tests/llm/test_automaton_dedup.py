@@ -62,3 +62,45 @@ def test_rows_without_id_are_left_alone(spark):
     docs = [(None, "a b " * 300), (None, "a b " * 300), (1, "a b " * 300)]
     got = {r.doc_id: r for r in automaton_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[None].n_removed == 0 and got[1].n_removed > 0
+
+
+def test_large_classes_are_split(spark, monkeypatch):
+    from phylomill.llm import repeats
+
+    monkeypatch.setattr(automaton_dedup, "MOST", 1)
+    for seed, length in ((1, 6), (3, 20), (4, 1)):
+        for most in (1000, 0):
+            monkeypatch.setattr(repeats, "MOST_CLASSES", most)
+            docs = corpus(seed)
+            got = automaton_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), length).drop("kept").collect()
+            assert sorted(map(tuple, got)) == brute(docs, length), (length, most)
+
+
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    """No class keeps more than MOST distinct segments, however many documents have a passage."""
+    from phylomill.llm import repeats
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    docs = [(i, " ".join([*(word() for _ in range(15)), passage, *(word() for _ in range(15))])) for i in range(120)]
+    seen = []
+    plain = repeats.resolved
+
+    def watched(*args, **kw):
+        found, counted = plain(*args, **kw)
+        seen.append(max(x["count"] for x in counted.where("multi").groupBy("cls").count().collect() or [{"count": 0}]))
+        return found, counted
+
+    monkeypatch.setattr(repeats, "resolved", watched)
+    monkeypatch.setattr(automaton_dedup, "MOST", 20)
+    got = automaton_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 10).drop("kept").collect()
+    assert sorted(map(tuple, got)) == brute(docs, 10) and seen == [max(seen)] and max(seen) <= 20
+
+
+def test_very_long_text(spark):
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60_000))
+    docs = [(1, long), (2, "before " + long[5000:9000] + " after"), (3, "z")]
+    got = automaton_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).drop("kept").collect()
+    assert sorted(map(tuple, got)) == brute(docs, 20)
