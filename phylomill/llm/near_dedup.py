@@ -67,7 +67,7 @@ def _sketch(width: int):
                 for r in range(ROWS):
                     bands = bands * np.uint64(0xD6E8FEB86659FD93) + minima[r::ROWS].T
                 bands = ts.mix(bands + np.arange(BANDS, dtype=np.uint64))
-                signature = (minima >> np.uint64(56)).astype(np.uint8).T
+                signature = (ts.mix(minima) >> np.uint64(56)).astype(np.uint8).T  # minima are small numbers; mixed, their top bytes differ
                 count = np.zeros(len(sets) + 1, np.int32)
                 count[has + 1] = BANDS
                 key = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
