@@ -6,10 +6,15 @@ their number of characters, and the units of a group advance together: for every
 substrings probe the sorted keys of the pieces of that length, and at each position the maximum over the piece
 lengths gives the best score and the back pointer. Ties take the shortest last piece.
 
+A unit of more than ``LONG`` characters (text without blanks) is cut further wherever no piece that matches there
+crosses, so that Han text or random letters fall into short units as well. What stays long, such as one letter over and
+over, is walked alone in windows of ``WINDOW`` characters over the pieces that match, with the scores of the last few
+positions carried on: memory beyond the text is a window's.
+
 The result is the segmentation with the greatest sum of the model's own piece scores. A character that no piece
 covers costs the least score less 10, as in SentencePiece, and becomes its UTF-8 bytes' pieces.
 
-Defined cases: a null text is treated as empty, and an empty text has no pieces (as in SentencePiece); a text's own
+Defined cases: columns of ``docs`` that are named like a result are replaced by it; a null text is treated as empty, and an empty text has no pieces (as in SentencePiece); a text's own
 U+2581 decodes as a blank; unpaired surrogates can't occur in Spark strings. Repeated rows are encoded each.
 """
 
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from phylomill.llm import textscan as ts
 
@@ -29,6 +35,8 @@ BLANK = 0x2581
 NORMAL, BYTE = 1, 6
 SLICE = 2_000_000  # characters that are encoded at a time
 CELLS = 250_000  # characters of one group of equally long units
+LONG = 48  # characters of a unit that isn't cut further
+WINDOW = 1 << 16  # characters whose pieces are looked up at a time in long units
 
 
 def _hash(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +89,68 @@ class Model:
         body = b"".join(map(self.bytes.__getitem__, ids))
         return (body[1:] if self.prefix and body[:1] == b" " else body).decode("utf-8", "replace")
 
+    def _found(self, chars: np.ndarray, starts: int, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, starts, ids, scores) of the pieces that match at one of the first ``starts`` places."""
+        c, inv = _hash(chars)
+        for n, (keys, ids, scores) in self.tables.items():
+            if least <= n <= len(chars):
+                at = np.arange(min(starts, len(chars) - n + 1))
+                h = (c[at + n] - c[at]) * inv[at]
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = np.flatnonzero(keys[i] == h)
+                yield n, hit, ids[i[hit]], scores[i[hit]]
+
+    def _free(self, chars: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Places that no matching piece crosses; ``unit`` says which unit a character belongs to."""
+        reach, size = max(self.tables) - 1, len(chars)
+        change = np.zeros(size + 2, np.int32)
+        for a in range(0, size, WINDOW):
+            for n, at, _, _ in self._found(chars[a : a + WINDOW + reach], WINDOW, 2):
+                at = at + a
+                at = at[unit[at] == unit[at + n - 1]]
+                np.add.at(change, at + 1, 1)
+                np.add.at(change, at + n, -1)
+        return np.cumsum(change)[:size] == 0
+
+    def _walk(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of long units that follow each other: ids of all, and how many each has."""
+        size, reach = len(chars), max(self.tables)
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        back, piece = np.zeros(size + 1, np.int16), np.full(size + 1, -1, np.int32)
+        best, last, own = [0.0] + [-np.inf] * reach, [0] * (reach + 1), [-1] * (reach + 1)
+        for a in range(0, size, WINDOW):
+            n_here = min(WINDOW, size - a)
+            best, last, own = best + [-np.inf] * n_here, last + [0] * n_here, own + [-1] * n_here
+            rows = list(self._found(chars[a : a + n_here + reach - 1], n_here))
+            alone = np.ones(n_here, bool)
+            for n, at, _, _ in rows:
+                if n == 1:
+                    alone[at] = False
+            alone = np.flatnonzero(alone)
+            rows.append((1, alone, np.full(len(alone), -1, np.int32), np.full(len(alone), self.unknown)))
+            at, ids, scores = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
+            width = np.concatenate([np.full(len(r[1]), r[0]) for r in rows])
+            inside = unit[a + at] == unit[a + at + width - 1]
+            at, ids, scores, width = at[inside], ids[inside], scores[inside], width[inside]
+            order = np.argsort(at, kind="stable")
+            for x, n, i, w in zip(at[order].tolist(), width[order].tolist(), ids[order].tolist(), scores[order].tolist()):
+                total = best[x] + w
+                if total >= best[x + n]:  # later starts are shorter last pieces
+                    best[x + n], last[x + n], own[x + n] = total, n, i
+            upto = min(len(last), size + 1 - a)
+            back[a : a + upto], piece[a : a + upto] = last[:upto], own[:upto]
+            best, last, own = best[n_here:], last[n_here:], own[n_here:]
+        end, found = size, []
+        steps = back.tolist()
+        while end:
+            found.append(end)
+            end -= steps[end]
+        end = np.array(found[::-1])
+        row, ids = unit[end - 1], piece[end]
+        if (ids < 0).any():
+            return self._with_bytes(chars[None, :], np.zeros(len(end), np.int64), end, ids, row, len(sizes))
+        return ids, np.bincount(row, minlength=len(sizes))
+
     def _group(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of units of one length (a row each): ids of all rows one after the other, and how many each has."""
         m, size = chars.shape
@@ -120,10 +190,10 @@ class Model:
         order = np.lexsort((end, row))
         row, end, ids = row[order], end[order], ids[order]
         if (ids < 0).any():
-            return self._with_bytes(chars, row, end, ids)
+            return self._with_bytes(chars, row, end, ids, row, m)
         return ids, np.bincount(row, minlength=m)
 
-    def _with_bytes(self, chars: np.ndarray, row: np.ndarray, end: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _with_bytes(self, chars: np.ndarray, row: np.ndarray, end: np.ndarray, ids: np.ndarray, unit: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
         lone = np.flatnonzero(ids < 0)
         code, which = np.unique(chars[row[lone], end[lone] - 1], return_inverse=True)
         spelled = [self.byte_ids[np.frombuffer(chr(x).encode(), np.uint8)] for x in code.tolist()]
@@ -134,7 +204,7 @@ class Model:
             places = at[lone[which == k]]
             for b, x in enumerate(s):
                 out[places + b] = x
-        return out, np.bincount(row, weights=width, minlength=chars.shape[0]).astype(np.int64)
+        return out, np.bincount(unit, weights=width, minlength=units).astype(np.int64)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of each text."""
@@ -149,24 +219,40 @@ class Model:
         cut[first[:-1][np.diff(first) > 0]] = True
         start = np.flatnonzero(cut)
         size = np.diff(np.append(start, len(chars)))
+        if (size > LONG).any():
+            within = np.repeat(size > LONG, size)
+            cut[np.flatnonzero(within)[self._free(chars[within], np.repeat(np.arange(len(size)), size)[within])]] = True
+            start = np.flatnonzero(cut)
+            size = np.diff(np.append(start, len(chars)))
         c, inv = _hash(chars)
         key = (c[start + size] - c[start]) * inv[start]
         _, index, which = np.unique(key, return_index=True, return_inverse=True)
         flat, count = [], np.zeros(len(index), np.int64)
         order = np.argsort(size[index], kind="stable")
         lengths = size[index][order]
-        i = 0
+        i, done, lone = 0, [], []
         while i < len(order):
             n = int(lengths[i])
             j = min(int(np.searchsorted(lengths, n, "right")), i + max(1, CELLS // n))
             own = index[order[i:j]]
+            if n > LONG and j - i < 8:  # too few to advance together
+                lone.append(order[i:j])
+                i = j
+                continue
             ids, counts = self._group(chars[start[own][:, None] + np.arange(n)])
             flat.append(ids)
             count[order[i:j]] = counts
+            done.append(order[i:j])
             i = j
-        flat = np.concatenate(flat)
+        if lone:
+            lone = np.concatenate(lone)
+            own, n = start[index[lone]], size[index[lone]]
+            ids, count[lone] = self._walk(np.concatenate([chars[a : a + k] for a, k in zip(own.tolist(), n.tolist())]), n)
+            flat.append(ids)
+            done.append(lone)
+        flat, done = np.concatenate(flat), np.concatenate(done)
         at = np.zeros(len(index), np.int64)
-        at[order] = np.cumsum(count[order]) - count[order]
+        at[done] = np.cumsum(count[done]) - count[done]
         many = count[which]
         ends = np.cumsum(many)
         place = np.arange(int(ends[-1])) - np.repeat(ends - many - at[which], many)
@@ -197,10 +283,19 @@ def _encode(path: str, name: str):
     return run
 
 
+def _with(docs: DataFrame, *new: StructField) -> tuple[DataFrame, StructType]:
+    """``docs`` without columns named like the new ones, and the schema with these."""
+    names = {f.name.lower() for f in new}
+    fields = [f for f in docs.schema.fields if f.name.lower() not in names]
+    if len(fields) < len(docs.columns):
+        docs = docs.select(*["`" + f.name.replace("`", "``") + "`" for f in fields])
+    return docs, StructType([*docs.schema.fields, *new])
+
+
 def encode(docs: DataFrame, path: str = MODEL, name: str = "pieces") -> DataFrame:
     """``docs`` with the ids of each text's pieces in ``name`` (array<int>)."""
-    schema = docs.schema.simpleString()[7:-1]
-    return docs.mapInArrow(_encode(path, name), f"{schema},{name}:array<int>")
+    docs, schema = _with(docs, StructField(name, ArrayType(IntegerType())))
+    return docs.mapInArrow(_encode(path, name), schema)
 
 
 def decode(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", name: str = "decoded") -> DataFrame:
@@ -211,7 +306,8 @@ def decode(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", name: str
         for batch in batches:
             yield batch.append_column(name, pa.array([m.decode(x or []) for x in batch.column(pieces).to_pylist()], pa.string()))
 
-    return rows.mapInArrow(run, f"{rows.schema.simpleString()[7:-1]},{name}:string")
+    rows, schema = _with(rows, StructField(name, StringType()))
+    return rows.mapInArrow(run, schema)
 
 
 def _digest(path: str):
@@ -243,7 +339,8 @@ def checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
             same = [m.decode(x) == (t or "").replace(chr(BLANK), " ") for x, t in zip(batch.column("pieces").to_pylist(), batch.column("text").to_pylist())]
             yield batch.append_column("round_trip", pa.array(same, pa.bool_()))
 
-    return docs.mapInArrow(run, f"{docs.schema.simpleString()[7:-1]},pieces:array<int>,round_trip:boolean")
+    docs, schema = _with(docs, StructField("pieces", ArrayType(IntegerType())), StructField("round_trip", BooleanType()))
+    return docs.mapInArrow(run, schema)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
