@@ -1,8 +1,10 @@
 """Operator 1: benchmark decontamination by template windows.
 
-Words lose their punctuation and case; numbers, capitalised words inside a sentence and units after a number become
-typed placeholders. Windows of ``WIDTH`` such words are joined by hash between documents and benchmark items, so a
-question with other numbers or names still matches. Matches of a document and an item on one diagonal are taken
+Words lose their punctuation and case; numbers (in digits or spelled), capitalised words inside a sentence and units
+after a number become typed placeholders. Capitalised words in a row are one name, and spelled numbers in a row one
+number, so that "Anna Smith" and "Bert", or "forty two" and "7", fill the same slot. Windows of ``WIDTH`` such words are joined by hash between documents and benchmark items, so a
+question with other numbers or names still matches. Places are counted in words after all runs are taken together,
+so that names of different lengths don't shift them. Matches of a document and an item on one diagonal are taken
 together; their slots must be consistent: an item's value always stands for one value of the document and the
 other way round. A document is contaminated by an item if consistent windows cover ``SHARE`` of the item's, or of
 those that aren't mostly placeholders.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylomill.llm import textscan as ts
-from phylomill.llm.repeats import named
+from phylomill.llm.repeats import named, without
 from phylomill.stash import stash
 
 WIDTH, LEAST = 8, 5
@@ -43,6 +45,14 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons kmh mph percent dollars dollar euro euros cents cent degrees celsius fahrenheit "
     "stunde stunden tag tage jahr jahre minuten heure heures jour jours an ans minutos hora horas horas día días año años"
 ).split()
+# Words that are numbers.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig hundert tausend "
+    "deux trois quatre cinq huit neuf dix onze douze vingt trente quarante cinquante cent mille "
+    "dos tres cuatro cinco siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil"
+).split()
 WORD, NUMBER, NAME, UNIT = range(4)
 _PLACE = ts.mix(np.arange(1, 5, dtype=np.uint64))
 _KEEP = np.zeros(256, bool)
@@ -73,24 +83,29 @@ def _hashes(data: np.ndarray, words: ts.Words) -> tuple[np.ndarray, np.ndarray]:
     return ts.mix((c[b] - c[a]) * inv[a]), b - a
 
 
-_units: list[np.ndarray] = []
+_lists: dict[str, np.ndarray] = {}
 
 
-def _unit_keys() -> np.ndarray:
-    if not _units:
-        data = np.frombuffer(" ".join(sorted(set(UNITS))).encode(), np.uint8)
-        _units.append(np.sort(_hashes(data, ts.Words(data, np.array([0, len(data)])))[0]))
-    return _units[0]
+def _keys(name: str, words: list[str]) -> np.ndarray:
+    """Sorted hashes of a word list, made once for each process."""
+    if name not in _lists:
+        data = np.frombuffer(" ".join(sorted(set(words))).encode(), np.uint8)
+        _lists[name] = np.sort(_hashes(data, ts.Words(data, np.array([0, len(data)])))[0])
+    return _lists[name]
 
 
-def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(values), bool)
-    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+def _joined(kind: np.ndarray, spelled: np.ndarray, first: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+    """Where a template word starts, if names in a row and spelled numbers in a row are one."""
+    head = np.ones(len(kind), bool)
+    again = (kind[1:] == kind[:-1]) & ((kind[1:] == NAME) | spelled[1:] & spelled[:-1])
+    head[1:] = ~(again & ~breaks[1:])
+    head[np.minimum(first[:-1], max(len(kind) - 1, 0))[np.diff(first) > 0]] = True
+    return np.flatnonzero(head)
 
 
 class Template:
-    """Template words of the documents in a slice: hash, kind, place in the bytes, and each document's first."""
+    """Words of the documents in a slice: hash, kind, place in the bytes, and each document's first; and the views of
+    them as template words, (kinds, heads of runs, each document's first run)."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         words = ts.Words(data, off)
@@ -111,37 +126,74 @@ class Template:
         real = np.flatnonzero(size > 0)
         self.first = np.searchsorted(real, words.first)
         self.start, self.end, self.kind, h = words.start[real], words.end[real], kind[real], h[real]
+        spelled = (self.kind != NUMBER) & ts.among(_keys("numbers", NUMBERS), h)
+        self.kind[spelled] = NUMBER
         after = np.zeros(len(real), bool)
         after[1:] = self.kind[:-1] == NUMBER
-        self.kind[after & (self.kind == WORD) & _among(_unit_keys(), h)] = UNIT
+        self.kind[after & (self.kind == WORD) & ts.among(_keys("units", UNITS), h)] = UNIT
         self.plain = h
         self.wide = np.where((self.kind == WORD) & capital[real], NAME, self.kind).astype(np.int8)
         self.data = data
-
-    def windows(self, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-        """Starts, hashes, documents and kinds (None: verbatim) of the windows that lie in one document, by key."""
-        at = np.arange(max(len(self.plain) - width + 1, 0))
-        doc = np.searchsorted(self.first, at, "right") - 1
-        inside = at + width <= self.first[doc + 1]
-        out, changed = [], np.concatenate([[0], np.cumsum(self.wide != self.kind)])
-        for kind in (self.kind, self.wide):
-            g = ts.gram_hash(np.where(kind == WORD, self.plain, _PLACE[kind]), width)[: len(at)]
-            slots = np.concatenate([[0], np.cumsum(kind != WORD)])
-            ok = inside & (2 * (slots[at + width] - slots[at]) <= width)
-            if kind is self.wide:
-                ok &= changed[at + width] > changed[at]
-            out.append((at[ok], ts.mix(g[ok] + np.uint64(width)), doc[ok], kind))
-        g = ts.gram_hash(self.plain, width)[: len(at)]
-        return [*out, (at[inside], ts.mix(g[inside] + np.uint64(width + 1000)), doc[inside], None)]
-
-    def slots(self, at: int, width: int, kind: np.ndarray) -> list[str]:
+        # a run of names doesn't go on behind a full stop
+        breaks = np.concatenate([[True], _STOP[data[words.end[real][:-1] - 1]]]) if len(real) else np.zeros(0, bool)
+        every = np.arange(len(real))
+        heads = [_joined(k, spelled, self.first, breaks) for k in (self.kind, self.wide)] + [every]
+        self.views = [(kind, at, np.searchsorted(at, self.first)) for kind, at in zip((self.kind, self.wide, None), heads)]
+        # the place of a word counts the runs of the second view; texts that differ in the length of names agree in it
+        is_head = np.zeros(len(real), np.int64)
+        is_head[heads[1]] = 1
+        self.place = np.cumsum(is_head) - 1
+        self.count = np.diff(self.views[1][2])
+
+    def windows(self, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts (in template words of the view), hashes and documents of the windows that lie in one document, by key."""
+        out = []
+        for key, (kind, heads, first) in enumerate(self.views):
+            at = np.arange(max(len(heads) - width + 1, 0))
+            doc = np.searchsorted(first, at, "right") - 1
+            ok = at + width <= first[doc + 1]
+            plain = self.plain[heads]
+            if kind is None:
+                g, salt = ts.gram_hash(plain, width)[: len(at)], width + 1000
+            else:
+                own = kind[heads]
+                g, salt = ts.gram_hash(np.where(own == WORD, plain, _PLACE[own]), width)[: len(at)], width
+                slots = np.concatenate([[0], np.cumsum(own != WORD)])
+                ok &= 2 * (slots[at + width] - slots[at]) <= width
+                if key == 1:
+                    changed = np.concatenate([[0], np.cumsum(self.wide != self.kind)])
+                    end = np.append(heads, len(self.plain))[at + width]
+                    ok &= changed[end] > changed[heads[at]]
+            out.append((at[ok], ts.mix(g[ok] + np.uint64(salt)), doc[ok]))
+        return out
+
+    def slots(self, at: int, width: int, key: int) -> list[str]:
         """Values in the placeholders of a window, in order; each starts with its kind."""
-        value = lambda i: self.data[self.start[i] : self.end[i]]
-        return [f"{kind[i]}{value(i)[_KEEP[value(i)]].tobytes().decode(errors='replace').lower()}" for i in range(at, at + width) if kind[i] != WORD]
+        kind, heads, first = self.views[key]
+        last = np.searchsorted(first, at, "right")
+        ends = np.append(heads[at + 1 : at + width + 1], self.first[last])[:width].tolist()
+        out = []
+        for i, j in zip(heads[at : at + width].tolist(), ends):
+            if kind[i] != WORD:
+                value = self.data[self.start[i] : self.end[j - 1]]
+                out.append(f"{kind[i]}{value[_KEEP[value]].tobytes().decode(errors='replace').lower()}")
+        return out
+
+    def whole(self, at: int, width: int) -> list[str]:
+        """Values of the placeholders, by the first view, of a window of plain words."""
+        runs = self.views[0][1]
+        i = int(np.searchsorted(runs, at))
+        out = []
+        for j in range(i, int(np.searchsorted(runs, at + width))):
+            a, b = int(runs[j]), int(min(runs[j + 1] if j + 1 < len(runs) else len(self.plain), at + width))
+            if self.kind[a] != WORD:
+                value = self.data[self.start[a] : self.end[b - 1]]
+                out.append(f"{self.kind[a]}{value[_KEEP[value]].tobytes().decode(errors='replace').lower()}")
+        return out
 
 
 def _windows(widths: list[int] | None, keys: np.ndarray | None, width: int, least: int):
-    """Rows (id, hash, place, slots, key, n): windows with a hash in ``keys``; without ``widths`` an item's own windows."""
+    """Rows (id, hash, place, slots, key, size): windows with a hash in ``keys``; without ``widths`` an item's own windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,26 +201,31 @@ def _windows(widths: list[int] | None, keys: np.ndarray | None, width: int, leas
             ids = batch.column("doc_id").to_pylist()
             for i, j in ts.slices(off):
                 t = Template(np.ascontiguousarray(data[off[i] : off[j]]), off[i : j + 1] - off[i])
-                count = np.diff(t.first)
                 for w in widths or range(least, width + 1):
-                    for key, (at, h, doc, kind) in enumerate(t.windows(w)):
+                    for key, (at, h, doc) in enumerate(t.windows(w)):
                         if widths is None:
-                            ok = (count[doc] == w) | (count[doc] > w) & (w == width)
+                            # an item shorter than a window is one window in each view
+                            own_count = np.diff(t.views[key][2])[doc]
+                            ok = (own_count == w) | (own_count > w) & (w == width)
                         else:
-                            ok = _among(keys, h) if keys is not None else np.ones(len(h), bool)
+                            ok = ts.among(keys, h) if keys is not None else np.ones(len(h), bool)
                         at, h, doc = at[ok], h[ok], doc[ok]
                         if len(at):
-                            own = widths is None and kind is None
-                            slots = [t.slots(a, w, t.kind if own else kind) if own or kind is not None else None for a in at.tolist()]
+                            heads = t.views[key][1]
+                            if key < 2:
+                                slots = [t.slots(a, w, key) for a in at.tolist()]
+                            else:
+                                slots = [t.whole(a, w) if widths is None else None for a in at.tolist()]
+                            place = t.place[heads[at]]
                             yield pa.record_batch({
-                                "id": pa.array([ids[i + d] for d in doc.tolist()], pa.int64()), "hash": h.view(np.int64), "place": at - t.first[doc],
-                                "slots": pa.array(slots, pa.list_(pa.string())), "key": np.full(len(at), key, np.int32), "n": count[doc] - w + 1,
+                                "id": pa.array([ids[i + d] for d in doc.tolist()], pa.int64()), "hash": h.view(np.int64), "place": place - t.place[t.first[doc]],
+                                "slots": pa.array(slots, pa.list_(pa.string())), "key": np.full(len(at), key, np.int32), "size": np.full(len(at), w, np.int32),
                             })
 
     return run
 
 
-_SCHEMA = "id long, hash long, place long, slots array<string>, key int, n long"
+_SCHEMA = "id long, hash long, place long, slots array<string>, key int, size int"
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -178,13 +235,13 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int =
     """
     bench = named(items.select(F.col("item_id").alias("doc_id"), "text")).dropDuplicates(["doc_id"])
     own = stash(bench.mapInArrow(_windows(None, None, width, least), _SCHEMA), "items")
-    # items of one window may be short ones, which have windows of other widths
-    widths = [width] if own.where("n = 1").isEmpty() else list(range(least, width + 1))
+    # short items have windows of other widths
+    widths = sorted({width, *(r.size_ for r in own.select(F.col("size").alias("size_")).distinct().collect())})
     hashes = own.select("hash").distinct()
     keys = None
     if hashes.count() <= MOST_WINDOWS:
         keys = np.sort(np.array([r.hash for r in hashes.toLocalIterator()], np.int64).view(np.uint64))
-    light = own.where("key < 2").groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("n_light"))
+    places = own.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("n"), F.countDistinct(F.when(F.col("key") < 2, F.col("place"))).alias("n_light"))
     found = named(docs).mapInArrow(_windows(widths, keys, width, least), _SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("own"), F.col("key").alias("doc_key"))
     heavy = own.groupBy("id", "place").agg((F.min("key") == 2).alias("heavy"))
     # a verbatim window has the item's own values
@@ -193,20 +250,20 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int =
     # slots are consistent with the second keys or without them
     second = (F.col("key") == 1) | (F.col("doc_key") == 1)
     found = found.withColumn("wide", F.explode(F.when(second, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    lines = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal"), "wide").agg(F.collect_set(F.struct("place", "heavy")).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.max("n").alias("n"))
+    lines = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal"), "wide").agg(F.collect_set(F.struct("place", "heavy")).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     side = lambda s: F.size(F.array_distinct(F.transform("pairs", lambda p: p[s])))
     lines = lines.where((side("x") == F.size("pairs")) & (side("y") == F.size("pairs")))
     lines = lines.withColumn("exact", F.forall("pairs", lambda p: p["x"] == p["y"]))
-    whole = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("n").alias("n"), F.coalesce(F.min(F.when(~F.col("wide"), F.col("exact"))), F.min("exact")).alias("exact"))
-    of_light = F.size(F.filter("places", lambda p: ~p["heavy"])) / F.col("n_light")
-    whole = whole.join(light, "item_id", "left").select("doc_id", "item_id", F.greatest(F.size("places") / F.col("n"), of_light).alias("coverage"), "exact")
+    whole = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.coalesce(F.min(F.when(~F.col("wide"), F.col("exact"))), F.min("exact")).alias("exact"))
+    of_light = F.when(F.col("n_light") > 0, F.size(F.filter("places", lambda p: ~p["heavy"])) / F.col("n_light"))
+    whole = whole.join(places, "item_id").select("doc_id", "item_id", F.greatest(F.size("places") / F.col("n"), of_light).alias("coverage"), "exact")
     return whole.where(F.col("coverage") >= share)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, their columns unchanged."""
-    bad = matches(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    bad = matches(docs, items).select("doc_id").distinct()
+    return without(docs, bad)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

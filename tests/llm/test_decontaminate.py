@@ -80,3 +80,43 @@ def test_names_in_front_of_sentences_and_windows_of_values(spark):
         (6, "TOM HAS 5 APPLES. TOM GIVES 2 TO ANN. TOM BUYS 4 MORE OF THEM. HOW MANY APPLES DOES TOM HAVE NOW?"),
     ]
     assert run(spark, docs, items)[2] == {(1, 1): False, (2, 2): True, (3, 3): False, (6, 1): True}
+
+
+def test_reparameterised_items_by_brute_force(spark):
+    """Every item in many values; a document has an item if it was made of it."""
+    import random
+
+    r = random.Random(5)
+    names = ["Anna Smith", "Bert", "Carla de Vries", "Dora", "Emil Jones", "Иван"]
+    numbers = ["12", "forty", "twenty one", "3.5", "7", "nine", "1200", "thirty"]
+    forms = [
+        "yesterday {a} bought {x} apples at the market and then gave {y} of them to {b} on the way home",
+        "a train leaves the station with {x} people and after the first stop {a} counts {y} more of them inside",
+        "how many days does {a} need to paint {x} walls if {b} paints {y} walls in the same time",
+    ]
+    fill = lambda f: f.format(**dict(zip("ab", r.sample(names, 2))), **dict(zip("xy", r.sample(numbers, 2))))
+    items = [(i, fill(f)) for i, f in enumerate(forms)]
+    docs, want = [], set()
+    for d in range(60):
+        i = r.randrange(4)
+        text = "filler words go on without any end here " * r.randint(0, 3)
+        if i < 3:
+            text, want = text + fill(forms[i]) + " and so the day ends with more words", want | {(d, i)}
+        docs.append((d, text + " nothing to see in this place"))
+    assert set(run(spark, docs, items)[2]) == want
+
+
+def test_values_that_change_roles_are_no_copy(spark):
+    items = [(1, "when Anna Smith has 12 coins and Bert has 3 coins then Anna Smith gives 12 coins to Bert who had 3 coins")]
+    docs = [
+        (1, "when Carl has forty coins and Dora Lee has 7 coins then Carl gives forty coins to Dora Lee who had 7 coins"),
+        (2, "when Carl has forty coins and Dora Lee has 7 coins then Emil gives 9 coins to Anna who had 8 coins"),
+    ]
+    assert set(run(spark, docs, items)[2]) == {(1, 1)}
+
+
+def test_clashing_names_null_ids_and_repeated_rows(spark):
+    docs = [(None, ITEMS[0][1], 1), (1, ITEMS[0][1], 2), (1, ITEMS[0][1], 2), (2, None, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, gone_id int")
+    it = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.gone_id) for r in dc.decontaminate(df, it).collect()) == [(0, 1), (2, 3)]
