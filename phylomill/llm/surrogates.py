@@ -1,23 +1,26 @@
 """Operator 5: personal data replaced by keyed surrogates, in DataFrame operations only.
 
-Mentions of e-mail addresses, IP addresses, card, telephone and social security numbers, secrets and titled names
-are found by one pattern. A mention's canonical form (digits only, lower case, single blanks) is its entity; equal
+Mentions of e-mail addresses, IP addresses, bank account, card, telephone and social security numbers, secrets and
+titled names are found by one pattern. A mention's canonical form (digits only, lower case, single blanks) is its entity; equal
 entities get equal surrogates everywhere, whatever their format. A surrogate comes from SHA-256 of key, kind, entity
 and attempt. It keeps the kind's form: digits for digits, letters of the same script and case for letters,
-separators as they are; card numbers keep their Luhn remainder, addresses their top-level domain, names their title,
+separators as they are; card numbers keep their Luhn remainder, account numbers get check digits, addresses their top-level domain, names their title,
 number of parts, script and the gender that the title tells.
 
 The parts of names are keyed each by itself, whatever the title and the other parts: a part has one stem everywhere.
 The first of several parts ends by gender; a last or only part, a surname, is the same under all titles. Stems are
-distinct and get a syllable more with each attempt, so any number of names has distinct surrogates.
+distinct and get a syllable more with each attempt, so any number of names has distinct surrogates. Where a text names
+somebody with a title, the same name's parts are replaced in the rest of the text as well, with or without a title, so
+that all mentions still tell of one person.
 
 Surrogates are made for the distinct entities and checked: one that two entities of a kind share, or that is an
 entity of the corpus itself, is made anew with the next attempt for all but the least entity, until none is left.
+Late attempts make surrogates longer, so that the checks end however many entities a form has.
 Only rows with a mention are joined with the surrogates; all others pass by.
 
 Defined cases: a null text stays null; an empty text and one without mentions are unchanged; repeated rows get equal
-texts; lengths of names may change, and so may e-mail addresses whose local part is too short for
-distinct surrogates; all other mentions but IP addresses keep their length.
+texts; an own column n_mentions is replaced; lengths of names and IP addresses may change, and so may those of
+mentions whose form has too few distinct surrogates; all others keep their length.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phylomill.llm.repeats import unused
 from phylomill.stash import stash
 
-KEY = "corpus"
-LATE = 16
+LATE = 16  # attempts from which on surrogates grow
 # Titles and the gender they tell.
 FEMALE = "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora Srta Doña Госпожа Κυρία".split()
 MALE = "Mr Sir Herr Monsieur Sr Señor Don Господин Κύριος".split()
@@ -42,22 +45,26 @@ SYLLABLES = {
     "": ("ba ce di fo gu ha je ki lo mu na pe ri so tu va".split(), ("a", "an", "e")),
 }
 TITLES = "|".join(FEMALE + MALE + NEUTRAL)
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
+PART = r"(?=\p{Lu}[\p{L}'-])\p{Lu}\p{L}*(?:['-]\p{L}{2,})*"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {PART}(?: {PART}){{0,2}}"
 EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 BYTE = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){BYTE}(?:\.{BYTE}){{3}}(?!\.?[0-9])"
+GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![0-9A-Za-z:])(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}:){{1,6}}(?::{GROUP}){{1,6}})(?![0-9A-Za-z:])"
+IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
 PHONE = r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\p{L}0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
-SECRET = r"(?<![\p{L}0-9])[0-9a-fA-F]{32,128}(?![\p{L}0-9])|(?<=(?:key|token|secret|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{16,}"
-PATTERN = f"{EMAIL}|{SECRET}|{IP}|{SSN}|{CARD}|{PHONE}|{NAME}"
-#: No mention is without a digit, an @ or one of these.
-HINTS = [*FEMALE, *MALE, *NEUTRAL, "key", "token", "secret", "password"]
+SECRET = r"(?<![\p{L}0-9])[0-9a-fA-F]{32,128}(?![\p{L}0-9])|(?<=(?i:key|token|secret|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{16,}|(?<=(?i:password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?=[!-~]{0,63}[0-9])[!#-&(-~]{8,64}"
+PATTERN = f"{EMAIL}|{SECRET}|{IP}|{IPV6}|{IBAN}|{SSN}|{CARD}|{PHONE}|{NAME}"
+#: No mention is without a digit, an @, two colons, one of these or a keyword of a secret.
+HINTS = [*FEMALE, *MALE, *NEUTRAL]
 
 
 def _hinted(text: Column) -> Column:
     """Whether a text may have a mention: plain searches, many times as fast as the pattern."""
-    out = text.rlike("[0-9@]")
+    out = text.rlike("[0-9@]|::") | text.rlike("(?i)key|token|secret|passw")
     for word in HINTS:
         out = out | text.contains(word)
     return out
@@ -66,11 +73,11 @@ def _hinted(text: Column) -> Column:
 def _kind(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     secret = r"[0-9a-fA-F]{32,128}"
-    return F.when(m.contains("@"), "email").when(whole(secret), "secret").when(whole(IP), "ip").when(whole(SSN), "ssn").when(whole(CARD), "card").when(whole(PHONE), "phone").when(whole(NAME), "name").otherwise("secret")
+    return F.when(m.contains("@"), "email").when(whole(secret), "secret").when(whole(IP), "ip").when(whole(IPV6), "ipv6").when(whole(IBAN), "iban").when(whole(SSN), "ssn").when(whole(CARD), "card").when(whole(PHONE), "phone").when(whole(NAME), "name").otherwise("secret")
 
 
 def _entity(kind: Column, m: Column) -> Column:
-    return F.when(kind == "email", F.lower(m)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(m, "[^0-9+]", "")).when(kind == "name", F.lower(F.regexp_replace(m, r"\. ", " "))).otherwise(m)
+    return F.when(kind.isin("email", "ipv6"), F.lower(m)).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(m, "[^0-9+]", "")).when(kind == "name", F.lower(F.regexp_replace(m, r"\. ", " "))).otherwise(m)
 
 
 def _hex(*parts: Column) -> Column:
@@ -103,6 +110,14 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x) % 10
 
 
+def _check_digits(country: Column, account: Column) -> Column:
+    """Two digits that make an account number's remainder by 97 one."""
+    value = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    signs = F.split(F.concat(account, country, F.lit("00")), "")
+    left = F.aggregate(signs, F.lit(0), lambda s, c: (s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+    return F.lpad((98 - left).cast("string"), 2, "0")
+
+
 def _by_script(part: Column, made) -> Column:
     """``made(syllables, endings)`` of the script of a name's part."""
     out = None
@@ -133,17 +148,26 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     h = _hex(F.lit(key), kind, entity, attempt.cast("string"))
     local, domain = F.split(entity, "@", 2)[0], F.split(entity, "@", 2)[1]
     host, top = F.regexp_replace(domain, r"\.[^.]+$", ""), F.regexp_extract(domain, r"\.[^.]+$", 0)
-    # short local parts run out of surrogates of their length; late attempts make them longer
-    longer = F.when(attempt >= LATE, F.substring(h, F.lit(1), attempt - LATE + 1)).otherwise("")
+    # short forms run out of surrogates of their length; late attempts make them longer
+    late = attempt >= LATE
+    longer = F.when(late, F.substring(h, F.lit(1), attempt - LATE + 1)).otherwise("")
+    digits = F.translate(longer, "abcdef", "012345")
     email = F.concat(_spelled(local, h, ALPHABETS), longer, F.lit("@"), _spelled(host, _hex(F.lit(key), F.lit("host"), host), ALPHABETS), top)
-    ip = F.concat_ws(".", *[(_number(h, i) % 254 + 1).cast("string") for i in range(4)])
-    made = _spelled(entity, h, ALPHABETS)
+    ip = F.concat(F.concat_ws(".", *[(_number(h, i) % 254 + 1).cast("string") for i in range(4)]), F.when(late, F.concat(F.lit(":"), digits)).otherwise(""))
+    hexed = F.concat(_spelled(entity, h, HEX), longer)
+    made = F.concat(_spelled(entity, h, ALPHABETS), digits)
     body = F.substring(made, F.lit(1), F.length(made) - 1)
     card = F.concat(body, ((_luhn(entity) - _luhn(F.concat(body, F.lit("0"))) + 10) % 10).cast("string"))
     prefix = F.regexp_extract(entity, r"^\+[0-9]", 0)
     phone = F.concat(prefix, F.substring(made, F.length(prefix) + 1, F.length(made)))
-    secret = F.when(entity.rlike("^[0-9a-fA-F]+$"), _spelled(entity, h, HEX)).otherwise(made)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "part", _stem(entity, h, attempt)).when(kind == "secret", secret).otherwise(made)
+    country, account = F.substring(entity, 1, 2), F.substring(made, F.lit(5), F.length(made))
+    iban = F.concat(country, _check_digits(country, account), account)
+    secret = F.when(entity.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(made)
+    by_kind = {"email": email, "ip": ip, "ipv6": hexed, "iban": iban, "card": card, "phone": phone, "part": _stem(entity, h, attempt), "secret": secret}
+    out = made
+    for name, value in by_kind.items():
+        out = F.when(kind == name, value).otherwise(out)
+    return out
 
 
 def _filled(mention: Column, made: Column) -> Column:
@@ -161,12 +185,27 @@ def _filled(mention: Column, made: Column) -> Column:
     return F.aggregate(F.split(mention, ""), start, step, lambda s: s["out"])
 
 
+def _given(mention: Column) -> Column:
+    """The parts of a titled name as they stand."""
+    return F.slice(F.split(F.regexp_replace(mention, r"\. ", " "), " "), 2, 8)
+
+
+def _new_parts(mention: Column, made: Column) -> Column:
+    """Their surrogates, in the case of what they replace."""
+    return F.zip_with(_given(mention), F.slice(F.split(made, " "), 2, 8), lambda g, m: F.when((F.length(g) > 1) & (g == F.upper(g)), F.upper(m)).otherwise(F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))))
+
+
 def rendered(kind: Column, mention: Column, made: Column) -> Column:
     """A surrogate in the format of the mention that it replaces."""
-    given = F.split(F.regexp_replace(mention, r"\. ", " "), " ")
     title = F.regexp_extract(mention, r"^\S+ ", 0)
-    parts = F.zip_with(F.slice(given, 2, 8), F.slice(F.split(made, " "), 2, 8), lambda g, m: F.when((F.length(g) > 1) & (g == F.upper(g)), F.upper(m)).otherwise(F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))))
-    return F.when(kind == "name", F.concat(title, F.array_join(parts, " "))).when((kind == "ip") | (F.length(made) > F.length(mention)), made).otherwise(_filled(mention, made))
+    name = F.concat(title, F.array_join(_new_parts(mention, made), " "))
+    return F.when(kind == "name", name).when((kind == "ip") | (F.length(made) > F.length(mention)), made).otherwise(_filled(mention, made))
+
+
+def _again(gap: Column, parts: Column) -> Column:
+    """A piece of text between mentions, with parts of names that the text has with a title replaced."""
+    whole = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p["old"], F.lit(r"\E(?![\p{L}\p{N}])"))
+    return F.aggregate(parts, gap, lambda t, p: F.when(t.contains(p["old"]), F.regexp_replace(t, whole(p), p["new"])).otherwise(t))
 
 
 def keyed(entities: DataFrame, key: str) -> DataFrame:
@@ -212,22 +251,29 @@ def _text_key() -> list[Column]:
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.length("text"), F.crc32(F.col("text").cast("binary")), F.lit(1)).alias("k2")]
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in each text, and n_mentions (long)."""
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with surrogates in each text, and n_mentions (long). Who has ``key`` can make the surrogates again."""
+    docs = docs.drop("n_mentions")
     found = stash(mentions(docs), "mentions")
     table = keyed(found.select("kind", "entity").distinct(), key)
-    ready = found.join(table, ["kind", "entity"]).select("k1", "k2", "at", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
-    by_text = ready.groupBy("k1", "k2").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"))
+    ready = found.join(table, ["kind", "entity"])
+    pairs = F.when(F.col("kind") == "name", F.arrays_zip(_given(F.col("mention")).alias("old"), _new_parts(F.col("mention"), F.col("surrogate")).alias("new"))).otherwise(F.array().cast("array<struct<old:string,new:string>>"))
+    ready = ready.select("k1", "k2", "at", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), pairs.alias("pairs"))
+    names = [unused(docs, x) for x in ("new_", "parts_", "k1_", "k2_")]
+    new, parts, k1, k2 = names
+    # of a part with two surrogates (first and last in different names) the least one
+    once = F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs"))))
+    by_text = ready.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new), once.alias(parts))
     has = F.coalesce(_hinted(F.col("text")) & F.col("text").rlike(PATTERN), F.lit(False))
     plain = docs.where(~has).withColumn("n_mentions", F.lit(0).cast("long"))
     rich = docs.where(has)
-    k1, k2 = _text_key()
-    rich = rich.withColumns({"__k1": k1, "__k2": k2}).join(by_text.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"])
-    gaps = F.split("text", PATTERN, -1)
-    text = F.array_join(F.zip_with(gaps, "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rich = rich.withColumn("n_mentions", F.size("__new").cast("long")).withColumn("text", text)
-    return plain.unionByName(rich.select(*plain.columns))
+    rich = rich.withColumns(dict(zip((k1, k2), _text_key()))).join(by_text, [k1, k2])
+    gaps = F.transform(F.split("text", PATTERN, -1), lambda g: _again(g, F.col(parts)))
+    text = F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    rich = rich.withColumn("n_mentions", F.size(new).cast("long")).withColumn("text", text)
+    return plain.unionByName(rich.select(*[f"`{c}`" for c in plain.columns]))
 
 
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    key = spark.conf.get("spark.phylomill.surrogates.key", "a key for test tables")
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)

@@ -15,7 +15,7 @@ def luhn(d):
 
 def test_surrogates(spark):
     df = spark.createDataFrame([(*d, "k") for d in DOCS], "doc_id long, text string, kind string").repartition(3)
-    out = su.pseudonymise(df)
+    out = su.pseudonymise(df, "k")
     assert out.columns == ["doc_id", "text", "kind", "n_mentions"]
     rows = out.collect()
     got = {r.doc_id: r.text for r in rows}
@@ -33,7 +33,7 @@ def test_surrogates(spark):
     assert "hunter2" not in got[9] and got[9].endswith(" ok")
     assert re.fullmatch(r"Frau [А-Я][а-я]+ [А-Я][а-я]+ und Herr [A-Z][a-z]+", got[10])
     assert su.pseudonymise(df, "other").where("doc_id = 1").first().text != t
-    assert su.pseudonymise(df.where("doc_id < 0")).count() == 0
+    assert su.pseudonymise(df.where("doc_id < 0"), "k").count() == 0
 
 
 def test_collisions_are_resolved(spark):
@@ -57,6 +57,52 @@ def test_any_number_of_names_under_a_title(spark):
 
 def test_names_that_share_a_part(spark):
     df = spark.createDataFrame([(1, "Mr Bob Jones met Mr Jones, Dr Bob JONES and Mrs Jones; Mr Bob Smith didn't")], "doc_id long, text string")
-    m = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+), Dr (\w+) (\w+) and Mrs (\w+); Mr (\w+) (\w+) didn't", su.pseudonymise(df).first().text)
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+), Dr (\w+) (\w+) and Mrs (\w+); Mr (\w+) (\w+) didn't", su.pseudonymise(df, "k").first().text)
     assert m and m[2] == m[3] == m[6] and m[5] == m[2].upper() and m[1] == m[7] and m[8] != m[2]
     assert m[1].endswith("an") and m[4].endswith("e") and m[1][:-2] == m[4][:-1]
+
+
+def test_secrets_accounts_and_coreference(spark):
+    t = [
+        "API_KEY=abcdefGH12345678xyz and Password: hunter22! or PASSWORD = none",
+        "pay DE89 3704 0044 0532 0130 00 or DE89370400440532013000 from 2001:db8::ff00:42:8329, at 12:30:45",
+        "Mr Bob Jones met Bob. Later Jones and Dr Jones left; Mr Jones's dog, Jonesy and bob stayed. Ms Bob-Ray O'Brien saw Bob Jones.",
+        "Bob Jones is not named with a title here",
+    ]
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in su.pseudonymise(df, "k").collect()}
+    assert "abcdefGH" not in got[0] and "hunter22" not in got[0] and got[0].endswith("PASSWORD = none")
+    m = re.fullmatch(r"pay (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}) from ([0-9a-f]{4}:[a-f]{2}\d::[a-f]{2}\d\d:\d\d:\d{4}), at 12:30:45", got[1])
+    assert m and m[1].replace(" ", "") == m[2] != "DE89370400440532013000"
+    assert int("".join(str(int(c, 36)) for c in m[2][4:] + m[2][:4])) % 97 == 1
+    m = re.fullmatch(r"Mr (\w+) (\w+) met (\w+)\. Later (\w+) and Dr (\w+) left; Mr (\w+)'s dog, Jonesy and bob stayed\. Ms ([\w-]+) ([\w']+) saw (\w+) (\w+)\.", got[2])
+    assert m and m[1] == m[3] == m[9] and m[2] == m[4] == m[5] == m[6] == m[10] and len({m[1], m[2], m[7], m[8]}) == 4
+    assert got[3] == t[3]
+
+
+def test_whole_table_is_distinct_and_coreferent(spark):
+    """Each entity has one surrogate everywhere, and no two of a kind share one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    old = [(r.k1, r.k2, r.at, r.kind, r.entity) for r in su.mentions(docs).collect()]
+    first = {r.text: None for r in docs.collect()}
+    out = {r.doc_id: r.text for r in su.pseudonymise(docs, "k").collect()}
+    table = {(r.kind, r.entity): r.surrogate for r in su.keyed(su.mentions(docs).select("kind", "entity").distinct(), "k").collect()}
+    assert len(old) > 20 and {(k, e) for *_, k, e in old} == set(table)
+    values = [(k, s) for (k, _), s in table.items()]
+    assert len(values) == len(set(values)) and not {(k, s) for k, s in values} & set(table)
+    private = {e for (k, e) in table if k in ("email", "card", "ssn")}
+    assert len(first) > 50 and not any(e in (t or "").lower() for e in private for t in out.values())
+
+
+def test_forms_with_few_surrogates_end(spark):
+    """All 254 * 2 short forms are taken by the corpus itself."""
+    rows = [("secret", f"{i:02d}") for i in range(100)] + [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"]
+    table = su.keyed(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    made = {(r.kind, r.surrogate) for r in table}
+    assert len(made) == len(rows) and not made & set(rows)
+
+
+def test_own_columns(spark):
+    df = spark.createDataFrame([(1, "mail a.b@c.org", 5, "x", "y"), (None, None, 6, "x", "y")], "doc_id long, text string, n_mentions long, new_ string, `a-b` string")
+    got = su.pseudonymise(df, "k").collect()
+    assert sorted(r.n_mentions for r in got) == [0, 1] and all((r["new_"], r["a-b"]) == ("x", "y") for r in got)
