@@ -15,7 +15,8 @@ in each round, until the window is deleted or has no further holder. So what goe
 earlier documents would delete.
 
 Defined cases: lines are separated by \\n; lines without a word are neither aligned nor deleted; a null text stays
-null; a row without a doc_id is left alone; equal documents lose all lines but the first's, when long enough; repeated rows of one doc_id are one document.
+null; a row without a doc_id is left alone; equal documents lose all lines but the first's, when long enough;
+repeated rows of one doc_id are one document; an own column n_deleted is replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import LongType, StructField, StructType
 
 from phylomill.llm.quality_rules import BLANK
+from phylomill.llm.repeats import unused
 from phylomill.stash import stash
 
 MIN_WORDS = 20
@@ -205,36 +208,39 @@ def blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone
 
 
-def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, counts = [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-            if gone:
-                drop = {x for g in gone for x in range(g["start"], g["start"] + g["n"])}
-                kept, at = [], 0
-                for line in text.split("\n"):
-                    if line.strip(BLANK):
-                        at += 1
-                        if at - 1 in drop:
-                            continue
-                    kept.append(line)
-                text = "\n".join(kept)
-                counts.append(len(drop))
-            else:
-                counts.append(0)
-            texts.append(text)
-        i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index("gone")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).set_column(j, "n_deleted", pa.array(counts, pa.int64()))
+def _delete(gone_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column(gone_name).to_pylist()):
+                if gone:
+                    drop = {x for g in gone for x in range(g["start"], g["start"] + g["n"])}
+                    kept, at = [], 0
+                    for line in text.split("\n"):
+                        if line.strip(BLANK):
+                            at += 1
+                            if at - 1 in drop:
+                                continue
+                        kept.append(line)
+                    text = "\n".join(kept)
+                    counts.append(len(drop))
+                else:
+                    counts.append(0)
+                texts.append(text)
+            i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index(gone_name)
+            yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).set_column(j, "n_deleted", pa.array(counts, pa.int64()))
+
+    return run
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the common blocks deleted from each text, and n_deleted, the number of deleted lines."""
-    gone = blocks(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
-    if "gone" in docs.columns or "n_deleted" in docs.columns:
-        raise ValueError("the columns gone and n_deleted are made here")
-    out = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id").hint("shuffle_merge"), "__id", "left").drop("__id")
-    schema = out.drop("gone").withColumn("n_deleted", F.lit(0).cast("long")).schema
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "gone").mapInArrow(_delete, schema)
+    docs = docs.drop("n_deleted")
+    gone, own = unused(docs, "gone_"), unused(docs, "id_")
+    found = blocks(docs, min_words).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "n")).alias(gone))
+    out = docs.join(found.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(own), "left").select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], gone)
+    schema = StructType([*docs.schema.fields, StructField("n_deleted", LongType())])
+    return out.mapInArrow(_delete(gone), schema)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

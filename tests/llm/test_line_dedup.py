@@ -4,9 +4,9 @@ from phylomill.llm import line_dedup
 
 
 def run(spark, docs, **kw):
-    df = spark.createDataFrame([(d, t, "k", 1) for d, t in docs], "doc_id long, text string, key string, at int").repartition(3)
+    df = spark.createDataFrame([(d, t, "k", 1) for d, t in docs], "doc_id long, text string, gone_ string, `at b-c` int").repartition(3)
     out = line_dedup.dedup(df, **kw)
-    assert out.columns == ["doc_id", "text", "key", "at", "n_deleted"]
+    assert out.columns == ["doc_id", "text", "gone_", "at b-c", "n_deleted"]
     return sorted((r.doc_id, r.text, r.n_deleted) for r in out.collect())
 
 
@@ -100,3 +100,20 @@ def test_equals_the_alignments_with_all_earlier_documents(spark):
             gone |= {a for run_ in runs if sum(len(mine[a].split()) for a, _ in run_) >= 6 for a, _ in run_}
         want[d] = len(gone)
     assert {d: n for d, _, n in run(spark, docs, min_words=6)} == want
+
+
+def test_two_documents_share_a_block_of_common_lines(spark):
+    """One line of the block is only in these two; all others are in 13 more documents each."""
+    block = [f"a{i} b c d e f" for i in range(7)]
+    docs = [(1, "head one\n" + "\n".join(block) + "\ntail one"), (2, "head two\n" + "\n".join(block) + "\ntail two")]
+    docs += [(10 + i * 13 + j, f"own {i} {j}\n{x}\nend {i} {j}") for i, x in enumerate(block) if i != 3 for j in range(13)]
+    got = {d: (t, n) for d, t, n in run(spark, docs)}
+    assert got[2] == ("head two\ntail two", 7) and sum(n for _, n in got.values()) == 7
+
+
+def test_null_ids_repeated_rows_and_own_columns(spark):
+    block = "\n".join(f"line {i} " + "w " * 10 for i in range(4))
+    docs = [(None, block), (None, block), (1, block), (2, "x\n" + block), (2, "x\n" + block), (3, "y " * 30_000 + "\n" + block)]
+    df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, n_deleted int")
+    got = sorted(((r.doc_id or 0, r.n_deleted) for r in line_dedup.dedup(df).collect()))
+    assert got == [(0, 0), (0, 0), (1, 0), (2, 4), (2, 4), (3, 4)]
