@@ -54,7 +54,7 @@ def histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATT
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """Adds for each length: docs and tokens of all documents at least as long, and the corpus's tokens and
     documents if texts are cut to this length (``truncated_tokens``) or if longer ones are left out (``docs_upto``,
-    ``tokens_upto``)."""
+    ``tokens_upto``). A length is the quantile of every share up to ``share_upto`` and above the last one's."""
     h = hist.withColumn("part", (F.col("length") / RANGE).cast("long")).withColumn("tokens", F.col("length") * F.col("n_docs"))
     parts = h.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     above = W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
@@ -68,6 +68,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
         (F.col("all_docs") - longer_docs).alias("docs_upto"),
         (F.col("all_tokens") - longer_tokens).alias("tokens_upto"),
         (F.col("all_tokens") - longer_tokens + F.col("length") * longer_docs).alias("truncated_tokens"),
+        ((F.col("all_docs") - longer_docs) / F.col("all_docs")).alias("share_upto"),
     )
 
 
@@ -87,6 +88,25 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
     return asked.crossJoin(n).join(sums, F.col("docs_upto") >= F.ceil(F.col("share") * F.col("n"))).groupBy("share").agg(F.min("length").alias("length"))
 
 
+LIMITS = tuple(2**k for k in range(7, 21))
+SHARES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
+
+
+def sums_of(spark, sf_dir: str) -> DataFrame:
+    """The suffix sums of the table, written: both summaries read them twice."""
+    return stash(op3_token_counts(spark, sf_dir), "sums")
+
+
+def context_limits(spark, sf_dir: str) -> DataFrame:
+    """Totals of the whole table at every context limit of ``LIMITS``."""
+    return at_limits(sums_of(spark, sf_dir), LIMITS)
+
+
+def length_quantiles(spark, sf_dir: str) -> DataFrame:
+    """Quantiles of the length over the whole table."""
+    return quantiles(sums_of(spark, sf_dir), SHARES)
+
+
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     # written once: the sums read it twice, and encoding is the costly part
     return suffix_sums(stash(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "histogram"))
