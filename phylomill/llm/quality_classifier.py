@@ -120,14 +120,15 @@ class Discriminant:
         self.mean = spread / self.scale
         unit = np.outer(self.scale, self.scale)
         shrunk = (1 - POOL - RIDGE) * cov / unit + POOL * pooled / unit + RIDGE * np.eye(P)
-        self.root = np.linalg.cholesky(shrunk)
-        self.shift = np.log(share) - np.log(np.diagonal(self.root, axis1=1, axis2=2)).sum(1)
+        root = np.linalg.cholesky(shrunk)
+        self.shift = np.log(share) - np.log(np.diagonal(root, axis1=1, axis2=2)).sum(1)
+        self.whiten = np.linalg.inv(root)  # of a triangular factor: small, and kept for every batch
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.usable:
             return np.full(len(x), self.prior)
         z = (x - self.centre) / self.scale
-        density = [self.shift[c] - 0.5 * (np.linalg.solve(self.root[c], (z - self.mean[c]).T) ** 2).sum(0) for c in (0, 1)]
+        density = [self.shift[c] - 0.5 * (((z - self.mean[c]) @ self.whiten[c].T) ** 2).sum(1) for c in (0, 1)]
         return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / TEMPERATURE, -700, 700)))
 
 
