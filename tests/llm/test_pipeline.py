@@ -56,3 +56,19 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 def test_run_equals_the_stages(spark):
     a = corpus_pipeline.run(spark, SF)
     assert a.count() > 50 and a.where("NOT round_trip").count() == 0 and a.columns[-2:] == ["pieces", "round_trip"]
+
+
+def test_each_stage_with_hard_rows(spark):
+    """Nulls in every column, repeated rows, a very long text, an empty table and columns with clashing names."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = " ".join(f"word{i}" for i in range(120))
+    rows = [dict.fromkeys(schema.names), {"doc_id": 1, "text": None}, {"doc_id": 2, "text": ""}, {"doc_id": None, "text": text}, {"doc_id": 3, "text": text, "lang": "en"}, {"doc_id": 3, "text": text, "lang": "en"}, {"doc_id": 4, "text": "v" * 200_000}, {"doc_id": 5, "text": text + "\n" + "x y z " * 20_000}]
+    names = [*schema.names, "gone_id", "id_", "gone_", "g", "pieces", "a-b", "n_deleted"]
+    docs = spark.createDataFrame([tuple(r.get(c) for c in schema.names) + ("q",) * 7 for r in rows], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", gone_id string, id_ string, gone_ string, g string, pieces string, `a-b` string, n_deleted string")
+    want = {"quality rules": [None, 3, 3], "line dedup": [None, None, 1, 2, 3, 3, 4, 5], "near duplicates": [None, None, 1, 2, 3, 3, 4], "benchmark decontamination": [None, None, 1, 2, 3, 3, 4, 5], "sentencepiece": [None, None, 1, 2, 3, 3, 4, 5]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert set(out.columns) == (set(names) if name != "sentencepiece" else {*names, "round_trip"}), name
+        assert sorted((r.doc_id for r in got), key=str) == sorted(want[name], key=str), name
+        assert stage(spark, docs.limit(0), SF).count() == 0

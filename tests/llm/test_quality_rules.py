@@ -51,3 +51,69 @@ def test_empty_table_and_ties(spark):
     df = spark.createDataFrame([(i, "w%d " % i * 3 + " ".join(f"x{j}" for j in range(60)), "en", "s") for i in range(120)], "doc_id long, text string, lang string, source string")
     assert all(r.kept for r in qr.judge(df).collect())
     assert qr.judge(df.where("doc_id < 0")).count() == 0
+
+
+def plain_mcd(x, floor, starts, seed):
+    """Least determinant that concentration steps reach from random starts, in plain numpy."""
+    import numpy as np
+
+    r, h, best = np.random.default_rng(seed), int(np.floor((len(x) - 1) * qr.SUPPORT)) + 1, np.inf
+    for _ in range(starts):
+        own, last = r.choice(len(x), 12, replace=False), np.inf
+        while True:
+            c = np.cov(x[own].T, bias=True)
+            c[np.diag_indices(4)] = np.maximum(np.diag(c), floor)
+            det = np.linalg.det(c)
+            if len(own) == h and not det < last * (1 - 1e-9):
+                break
+            last = det if len(own) == h else last
+            z = x - x[own].mean(0)
+            own = np.argsort((z @ np.linalg.inv(c) * z).sum(1), kind="stable")[:h]
+        best = min(best, last)
+    return best
+
+
+def test_minimum_determinant_against_numpy(spark, monkeypatch):
+    """Groups of language and source with a fifth of outliers: a determinant within 10 % of the least that 60 random starts reach."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    rows, groups = [], {}
+    for g, n in (("en", 300), ("de", 90), ("fr", 40)):
+        x = np.abs(r.normal([1.6, 0.9, 1.2, 1.0], [0.2, 0.5, 0.7, 0.6], (n, 4)) @ (np.eye(4) + 0.3 * np.tri(4, k=-1)))
+        x[: n // 5] += [1.0, 2.0, 1.5, 0.5]
+        groups[g] = np.round(x * qr.GRID) / qr.GRID
+        rows += [(g, "s", f"{g}\x01s", *map(float, v)) for v in x]
+    df = spark.createDataFrame(rows, "lang string, source string, g string, x1 double, x2 double, x3 double, x4 double")
+    raw = []
+    plain = qr.concentrated
+
+    def watched(*a):
+        out = plain(*a)
+        raw.append([tuple(x) for x in out.select("g", "s", "det").collect()])
+        return out
+
+    monkeypatch.setattr(qr, "concentrated", watched)
+    final, _ = qr.mcd(df)
+    got = {x.g: x for x in final.collect()}
+    assert len(got) == 3 and len(raw) > 1
+    for g, x in groups.items():
+        det = min(d for k, _, d in raw[-1] if k == f"{g}\x01s") ** 2
+        assert det <= plain_mcd(x, np.array(qr.FLOOR), 60, 1) * 1.1
+    scored = qr.distances(df, final, True, ["g"]).withColumn("far", F.col("d2") > qr.CUTOFF).groupBy("lang", "far").count().collect()
+    n = {(s.lang, s.far): s["count"] for s in scored}
+    assert n[("en", True)] >= 50 and n[("en", False)] >= 235
+
+
+def test_null_ids_repeated_rows_and_own_columns(spark):
+    docs = corpus(2, 300) + [(None, None, None, None), (None, corpus(2, 300)[41][1], "en", "s")]
+    docs += [docs[40], docs[40]]
+    df = spark.createDataFrame([(*d, "z", 1) for d in docs], "doc_id long, text string, lang string, source string, k1 string, `a-b` int")
+    got = qr.judge(df).collect()
+    assert len(got) == len(docs) and len({tuple(r) for r in got if r.doc_id == docs[40][0]}) == 1
+    kept = qr.passing(df)
+    assert kept.columns == df.columns
+    kept = kept.collect()
+    want = sorted(str(r.doc_id) for r in got if r.kept)
+    assert sorted(str(r.doc_id) for r in kept) == want and sum(r.doc_id is None for r in kept) == 1
