@@ -6,27 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylomill.llm import decontaminate, line_dedup, near_dedup, quality_rules, sentencepieces
+from phylomill.llm.repeats import without
 from phylomill.stash import stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: rejected documents go."""
-    kept = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    """Operator 10: rejected rows go, each by its own text, language and source; a null doc_id plays no part."""
+    return quality_rules.passing(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: blocks of lines that an earlier document has are deleted; n_chars follows the text. A document that
-    loses all of its words this way, a copy, goes."""
+    loses all of its words this way, a copy, goes. Rows without a doc_id stay as they are."""
     out = line_dedup.dedup(docs)
-    out = out.where((F.col("n_deleted") == 0) | (F.btrim("text", F.lit(quality_rules.BLANK)) != ""))
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
+    changed = F.col("n_deleted") > 0
+    out = out.where(~changed | (F.btrim("text", F.lit(quality_rules.BLANK)) != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6 on five-word shingles at 0.8: the least doc_id of each group stays."""
-    gone = near_dedup.components(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """Operator 6 on five-word shingles at 0.8: the least doc_id of each group stays, with all rows of it, and rows
+    without a doc_id."""
+    return without(docs, near_dedup.components(docs).where("NOT kept").select("doc_id").distinct())
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
