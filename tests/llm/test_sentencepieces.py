@@ -68,3 +68,20 @@ def test_tables(spark, m):
     got = sp.digest(df).collect()
     assert len(got) == len(TEXTS) + 1 and all(r.round_trip for r in got)
     assert sp.encode(df.where("doc_id < 0")).count() == 0
+
+
+def test_long_units(m, scores, monkeypatch):
+    """Texts without blanks, in windows much smaller than they are."""
+    r = random.Random(4)
+    monkeypatch.setattr(sp, "WINDOW", 257)
+    han = "".join(r.choice("日本語中文字国人大学生年月東京都市会社員工場的是不了在有我他") for _ in range(1500))
+    texts = ["x" * 2000, "ab" * 600, "".join(r.choice("etaoinshrdlu") for _ in range(1500)), han, "é🙂" * 300, "1234567890" * 50, "▁" * 300, "the" * 200 + " " + "a" * 500 + " " + "a" * 500]
+    ids, off = m.encode_batch(texts)
+    for k, t in enumerate(texts):
+        assert ids[off[k] : off[k + 1]].tolist() == brute(t, scores, m), k
+
+
+def test_own_columns(spark):
+    df = spark.createDataFrame([(1, "hello world", "p", 2), (None, None, "p", 2)], "doc_id long, text string, pieces string, `a-b c` int")
+    rows = sp.checked(df).collect()
+    assert [r["a-b c"] for r in rows] == [2, 2] and all(r.round_trip for r in rows) and sorted(len(r.pieces) > 0 for r in rows) == [False, True]
