@@ -5,23 +5,48 @@ Neighbour lists have (a, b); cluster tables (tip_id, layer, cluster_id) with 0 f
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from phylomill.operators import neighbors as nb
 from phylomill.operators.components import connected_components
+from phylomill.stash import stash
 
+PRODUCT = 2000  # multiplications of a product that take as long as a row of a join
 
-def links(neighbors: DataFrame, share: float, keys: list[str] | None = None) -> DataFrame:
-    """(keys.., i, j): neighbours i < j that share more than ``share`` of the shorter of their neighbour lists."""
+
+def links(neighbors: DataFrame, share: float, keys: list[str] | None = None, min_shared: int = 0, sqrt: bool = False) -> DataFrame:
+    """(keys.., i, j): neighbours i < j whose lists share ``min_shared`` or more, and more than ``share`` of the
+    shorter list; ``sqrt``: of the geometric mean of both lengths.
+
+    A prefix filter finds candidates: if so much of the shorter list is in the longer one, then so is one of any
+    n - floor(share * n) of its members. Those in the fewest lists are looked up; only then are lists counted in full.
+    Where so many tips are neighbours that products of blocks of lists are cheaper, by a count, these are made instead.
+    ``neighbors`` is read several times; pass a written table.
+    """
     keys = keys or []
-    n = neighbors.groupBy(*keys, "a").agg(F.count("*").alias("n"))
-    pairs = neighbors.where("a < b").select(*keys, F.col("a").alias("i"), F.col("b").alias("j"))
-    mine = neighbors.select(*keys, F.col("a").alias("i"), F.col("b").alias("c"))
-    theirs = neighbors.select(*keys, F.col("a").alias("j"), F.col("b").alias("c"))
-    common = pairs.join(mine, [*keys, "i"]).join(theirs, [*keys, "j", "c"]).groupBy(*keys, "i", "j").agg(F.count("*").alias("common"))
-    common = common.join(n.withColumnsRenamed({"a": "i", "n": "ni"}), [*keys, "i"]).join(n.withColumnsRenamed({"a": "j", "n": "nj"}), [*keys, "j"])
-    return common.where(F.col("common") > share * F.least("ni", "nj")).select(*keys, "i", "j")
+    n = stash(neighbors.groupBy(*keys, "a").agg(F.count("*").alias("n")), "list-sizes")
+    size = lambda x: n.select(*keys, F.col("a").alias(x), F.col("n").alias(f"n{x}"))
+    pairs = neighbors.where("a < b").select(*keys, F.col("a").alias("i"), F.col("b").alias("j")).join(size("i"), [*keys, "i"]).join(size("j"), [*keys, "j"])
+    expected = share * (F.sqrt(F.col("ni") * F.col("nj")) if sqrt else F.least("ni", "nj"))
+    cost = pairs.agg(F.sum(F.least("ni", "nj")).alias("rows")).crossJoin(n.groupBy(*keys).agg(F.count("*").alias("m")).agg(F.sum(F.col("m").cast("double") * F.col("m") * F.col("m")).alias("cells"))).first()
+    if cost.rows is not None and cost.cells < PRODUCT * cost.rows:
+        above = lambda m, k: share * (np.sqrt(m * k) if sqrt else np.minimum(m, k))
+        near = neighbors.where("a < b").select(*keys, F.col("a").alias("i"), F.col("b").alias("j"))
+        return nb.overlapping(neighbors, min_shared, above, keys).select(*keys, F.col("a").alias("i"), F.col("b").alias("j")).where("i < j").join(near, [*keys, "i", "j"], "left_semi")
+    pairs = pairs.where(F.least("ni", "nj") > expected)
+    first = F.col("ni") <= F.col("nj")
+    pairs = pairs.select(*keys, F.when(first, F.col("i")).otherwise(F.col("j")).alias("s"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("l"), expected.alias("expected"))
+    ranked = neighbors.select(*keys, F.col("a").alias("s"), F.col("b").alias("c")).join(size("c"), [*keys, "c"]).join(size("s"), [*keys, "s"])
+    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy(*keys, "s").orderBy("nc", "c")))
+    rare = ranked.where(F.col("r") <= F.col("ns") - F.floor(share * F.col("ns"))).select(*keys, "s", "c")
+    theirs = neighbors.select(*keys, F.col("a").alias("l"), F.col("b").alias("c"))
+    near = stash(pairs.join(rare, [*keys, "s"]).join(theirs, [*keys, "l", "c"], "left_semi").select(*keys, "s", "l", "expected").distinct(), "candidates")
+    mine = neighbors.select(*keys, F.col("a").alias("s"), F.col("b").alias("c"))
+    common = near.join(mine, [*keys, "s"]).join(theirs, [*keys, "l", "c"]).groupBy(*keys, "s", "l", "expected").agg(F.count("*").alias("common"))
+    return common.where((F.col("common") > F.col("expected")) & (F.col("common") >= min_shared)).select(*keys, F.least("s", "l").alias("i"), F.greatest("s", "l").alias("j"))
 
 
 def components(link: DataFrame, tips: DataFrame) -> DataFrame:
@@ -55,11 +80,30 @@ def backbone(clusters: DataFrame) -> DataFrame:
     return out.select("layer", "n_clusters", "n_single", (F.col("n_clusters") + F.col("n_single")).alias("backbone"), "largest")
 
 
-def advice(quality: DataFrame, ratio: float, size: int) -> DataFrame:
-    """Adds ``step``: 1 raise the radius (largest cluster too large), -1 lower it (backbone too large), 0 stop."""
-    big, wide = F.col("largest"), F.col("backbone")
-    step: Column = F.when((big > size) | (big > ratio * wide), 1).when((wide > size) | (wide > ratio * big), -1).otherwise(0)
-    return quality.withColumn("step", step)
+def resplit(clusters: DataFrame, cluster_id: int, members: DataFrame) -> DataFrame:
+    """``clusters`` with one cluster split further: its tips get the ids of ``members`` (tip_id, cluster_id), counted on
+    from the greatest so far, in the layer below it, which is made (0 for all others) if it isn't there yet."""
+    top = clusters.agg(F.max("cluster_id").alias("top"), F.max("layer").alias("deepest"), F.max(F.when(F.col("cluster_id") == cluster_id, F.col("layer"))).alias("own")).first()
+    new = members.select("tip_id", F.when(F.col("cluster_id") > 0, F.col("cluster_id") + top.top).otherwise(0).alias("new"))
+    if top.own == top.deepest:
+        clusters = clusters.unionByName(clusters.select("tip_id").distinct().select("tip_id", F.lit(top.own + 1).alias("layer"), F.lit(0).cast("long").alias("cluster_id")))
+    inside = clusters.where((F.col("layer") == top.own) & (F.col("cluster_id") == cluster_id)).select("tip_id").join(new, "tip_id").withColumn("layer", F.lit(top.own + 1))
+    return clusters.join(inside, ["tip_id", "layer"], "left").select("tip_id", "layer", F.coalesce("new", "cluster_id").alias("cluster_id"))
+
+
+def advice(quality: DataFrame, ratio: float = 1.2, most_backbone: int = 0, most_members: int = 0) -> DataFrame:
+    """Adds ``step`` (0 stop, -1 lower the radius, 1 raise it), ``valid`` and ``balance``, the mean of both sizes.
+
+    A split is good if backbone and largest cluster are within ``ratio`` of each other and one of the given bounds (0:
+    none) holds, or none is given. Else the larger of the two should shrink; a bound that is broken decides first,
+    the backbone's before the cluster's, and makes the split invalid.
+    """
+    top, low = F.col("backbone"), F.col("largest")
+    alike = (top <= ratio * low) & (low <= ratio * top)
+    held = F.lit(most_backbone == 0 and most_members == 0) | (F.lit(most_backbone > 0) & (top <= most_backbone)) | (F.lit(most_members > 0) & (low <= most_members))
+    over_top, over_low = F.lit(most_backbone > 0) & (top > most_backbone), F.lit(most_members > 0) & (low > most_members)
+    step: Column = F.when(alike & held, 0).when(over_top, -1).when(over_low, 1).when(top >= low, -1).otherwise(1)
+    return quality.withColumn("step", step).withColumn("valid", (alike & held) | ~(over_top | over_low)).withColumn("balance", (top + low) / 2)
 
 
 def summary(clusters: DataFrame, layer: int) -> DataFrame:

@@ -6,7 +6,7 @@ with a tip itself where it qualifies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 BLOCK = 512  # tips of an alignment block
 TILE = 1024  # tips of a block of mutation lists
+COLUMNS = 4096  # mutations that a product takes at a time
 
 
 def weighted(mutations: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -40,7 +41,13 @@ def within_radius(mutations: DataFrame, radius: float, keys: list[str] | None =
     cost = (meet.join(size, keys) if keys else meet.crossJoin(size)).agg(F.sum("met").alias("met"), F.sum(F.col("n") * F.col("n")).alias("all")).first()
     dense = cost.met is not None and cost.met > cost["all"] / 4
     half = (_by_blocks if dense else _by_prefixes)(rows, radius, keys)
-    return half.unionByName(half.where("a < b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    return both_ways(half, keys)
+
+
+def both_ways(half: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Pairs a <= b and their mirror images, in one pass."""
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    return half.select(*(keys or []), F.explode(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))).alias("p"), "shared").select(*(keys or []), "p.a", "p.b", "shared")
 
 
 def _by_prefixes(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
@@ -62,14 +69,22 @@ def _by_prefixes(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, "a", "b", shared.alias("shared")).where(F.col("shared") >= radius)
 
 
-def _by_blocks(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
-    """Pairs a <= b. Tips are dealt into blocks of about TILE by a hash; each pair of blocks is one numpy product."""
+def _paired(dealt: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """(keys.., x, y, left, right): blocks x <= y side by side. Each is sent to its pairs by the pair's own key."""
+    last = F.lit(blocks - 1).cast("long")
+    left = dealt.select(*keys, F.col("block").alias("x"), F.explode(F.sequence("block", last)).alias("y"), F.col("rows").alias("left"))
+    right = dealt.select(*keys, F.col("block").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("x"), F.col("rows").alias("right"))
+    return left.join(right.hint("shuffle_merge"), [*keys, "x", "y"])
+
+
+def _by_blocks(rows: DataFrame, radius: float, keys: list[str], above: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Pairs a <= b. Tips are dealt into blocks of about TILE by a hash; each pair of blocks is one numpy product, made
+    of COLUMNS mutations at a time. ``above(m, n)``: what the product must exceed as well, from how many rows the two
+    tips have."""
     blocks = max(1, rows.select("tip_id").distinct().count() // TILE)
     bags = rows.groupBy(*keys, "tip_id").agg(F.collect_list("mut_id").alias("m"), F.collect_list("weight").alias("w"), F.sum("weight").alias("own")).where(F.col("own") >= radius)
     dealt = bags.groupBy(*keys, F.pmod(F.xxhash64("tip_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("tip_id", "m", "w")).alias("rows"))
-    left = dealt.select(*keys, F.col("block").alias("x"), F.col("rows").alias("left"))
-    right = dealt.select(*keys, F.col("block").alias("y"), F.col("rows").alias("right"))
-    pairs = (left.join(right, keys) if keys else left.crossJoin(right)).where("x <= y")
+    pairs = _paired(dealt, keys, blocks)
     schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes)
 
     def unpacked(rows_: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +97,19 @@ def _by_blocks(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
                 p, pi, pm, pw = unpacked(batch.column("left")[k].values)
                 q, qi, qm, _ = unpacked(batch.column("right")[k].values)
                 names = np.unique(np.concatenate([pm, qm]))
-                one, two = np.zeros((len(p), len(names))), np.zeros((len(q), len(names)))
-                one[pi, np.searchsorted(names, pm)] = pw
-                two[qi, np.searchsorted(names, qm)] = 1.0
-                total = one @ two.T
-                i, j = np.nonzero(total >= radius)
+                pm, qm = np.searchsorted(names, pm), np.searchsorted(names, qm)
+                total = np.zeros((len(p), len(q)))
+                for c in range(0, len(names), COLUMNS):
+                    width = min(COLUMNS, len(names) - c)
+                    here, there = (pm >= c) & (pm < c + width), (qm >= c) & (qm < c + width)
+                    one, two = np.zeros((len(p), width)), np.zeros((len(q), width))
+                    one[pi[here], pm[here] - c] = pw[here]
+                    two[qi[there], qm[there] - c] = 1.0
+                    total += one @ two.T
+                hit = total >= radius
+                if above is not None:
+                    hit &= total > above(np.bincount(pi, minlength=len(p))[:, None], np.bincount(qi, minlength=len(q))[None, :])
+                i, j = np.nonzero(hit)
                 a, b = p[i], q[j]
                 keep = a <= b if batch.column("x")[k].as_py() == batch.column("y")[k].as_py() else np.ones(len(a), bool)
                 given = {key: pa.array([batch.column(key)[k].as_py()] * int(keep.sum()), batch.column(key).type) for key in keys}
@@ -95,6 +118,12 @@ def _by_blocks(rows: DataFrame, radius: float, keys: list[str]) -> DataFrame:
     return pairs.mapInArrow(products, f"{schema + ', ' if schema else ''}a long, b long, shared double")
 
 
+def overlapping(lists: DataFrame, least: int, above: Callable[[np.ndarray, np.ndarray], np.ndarray], keys: list[str] | None = None) -> DataFrame:
+    """(keys.., a, b, shared): tips a <= b whose lists (a, b) share ``least`` or more and more than ``above`` says."""
+    rows = lists.select(*(keys or []), F.col("a").alias("tip_id"), F.col("b").alias("mut_id"), F.lit(1.0).alias("weight"))
+    return _by_blocks(rows, max(least, 1), keys or [], above)
+
+
 def counts(neighbors: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys.., tip_id, n): neighbours of each tip, itself included."""
     return neighbors.groupBy(*(keys or []), F.col("a").alias("tip_id")).agg(F.count("*").alias("n"))
@@ -172,5 +201,4 @@ def dna_within_radius(sites: DataFrame, radius: int) -> DataFrame:
                 a, b, s = a[keep], b[keep], total[i, j][keep]
                 yield pd.DataFrame({"a": a, "b": b, "shared": s})
 
-    half = pairs.mapInPandas(similar, "a long, b long, shared int")
-    return half.unionByName(half.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    return both_ways(pairs.mapInPandas(similar, "a long, b long, shared int"))

@@ -14,6 +14,7 @@ from phylomill.operators import solve as so
 from phylomill.operators import trees as tr
 from phylomill.plans import lineage
 from phylomill.registry import query
+from phylomill.stash import stash
 
 C, M = fx.CHARACTERS, fx.MUTATIONS
 _NEAR = "n AS (SELECT x.tip_id AS a, y.tip_id AS b, CAST(count(*) AS DOUBLE) AS shared FROM m x JOIN m y ON x.mut_id = y.mut_id GROUP BY 1, 2 HAVING count(*) >= 7)"
@@ -35,9 +36,15 @@ def mutations(spark, d):
     return nb.weighted(fx.table(spark, d, M))
 
 
+def linked(spark, d, share=0.8, **form):
+    m = stash(mutations(spark, d), "mutations")
+    return m, cl.links(stash(nb.within_radius(m, 7), "near"), share, **form)
+
+
 def clustered(spark, d):
-    m = mutations(spark, d)
-    return cl.regular_ids(cl.components(cl.links(nb.within_radius(m, 7), 0.8), m), 3)
+    """Written: a query reads it several times."""
+    m, link = linked(spark, d)
+    return stash(cl.regular_ids(cl.components(link, m), 3), "clusters")
 
 
 @query("s21_radius_neighbors", f"{_BASE} SELECT a, b, shared FROM n")
@@ -93,13 +100,18 @@ def _(spark, d):
 
 @query("s27_links", f"{_BASE}, {_LINKS} SELECT i, j FROM l")
 def _(spark, d):
-    return cl.links(nb.within_radius(mutations(spark, d), 7), 0.8)
+    return linked(spark, d)[1]
+
+
+@query("s27_links_by_both_sizes", f"{_BASE}, {_LINKS.replace('HAVING count(*) > 0.8 * least(u.k, v.k)', 'HAVING count(*) > 0.6 * sqrt(u.k * v.k) AND count(*) >= 4')} SELECT i, j FROM l")
+def _(spark, d):
+    return linked(spark, d, 0.6, min_shared=4, sqrt=True)[1]
 
 
 @query("s28_components", f"{_BASE}, {_LINKS}, {_COMP} SELECT tip_id, component FROM q")
 def _(spark, d):
-    m = mutations(spark, d)
-    return cl.components(cl.links(nb.within_radius(m, 7), 0.8), m)
+    m, link = linked(spark, d)
+    return cl.components(link, m)
 
 
 @query("s29_cluster_ids", f"{_BASE}, {_LINKS}, {_COMP}, {_IDS} SELECT tip_id, cluster_id FROM k")
@@ -123,10 +135,21 @@ def _(spark, d):
 @query("s31_split_quality", f"""
 {_LAYERS}, b AS (SELECT layer, count(DISTINCT CASE WHEN cluster_id > 0 THEN cluster_id END) AS n_clusters, count(CASE WHEN cluster_id = 0 THEN 1 END) AS n_single FROM h GROUP BY layer),
 g AS (SELECT layer, max(c) AS largest FROM (SELECT layer, cluster_id, count(*) AS c FROM h WHERE cluster_id > 0 GROUP BY 1, 2) x GROUP BY layer),
-v AS (SELECT b.layer, n_clusters, n_single, n_clusters + n_single AS backbone, coalesce(largest, 0) AS largest FROM b LEFT JOIN g ON g.layer = b.layer)
-SELECT *, CASE WHEN largest > 500 OR largest > 4 * backbone THEN 1 WHEN backbone > 500 OR backbone > 4 * largest THEN -1 ELSE 0 END AS step FROM v""")
+v AS (SELECT b.layer, n_clusters, n_single, n_clusters + n_single AS backbone, coalesce(largest, 0) AS largest FROM b LEFT JOIN g ON g.layer = b.layer),
+w AS (SELECT *, backbone <= 4 * largest AND largest <= 4 * backbone AND (backbone <= 1000 OR largest <= 600) AS good FROM v)
+SELECT layer, n_clusters, n_single, backbone, largest, CASE WHEN good THEN 0 WHEN backbone > 1000 THEN -1 WHEN largest > 600 THEN 1 WHEN backbone >= largest THEN -1 ELSE 1 END AS step,
+good OR NOT (backbone > 1000 OR largest > 600) AS valid, CAST(backbone + largest AS DOUBLE) / 2 AS balance FROM w""")
+def _(spark, d):
+    return cl.advice(cl.backbone(layers(spark, d)), 4, 1000, 600)
+
+
+@query("s30_resplit", f"""
+{_LAYERS} SELECT tip_id, layer, cluster_id FROM h UNION ALL SELECT tip_id, 3, CASE WHEN cluster_id = 2 THEN tip_id % 3 + (CASE WHEN tip_id % 3 > 0 THEN (SELECT max(cluster_id) FROM h) ELSE 0 END) ELSE 0 END FROM h WHERE layer = 2""")
 def _(spark, d):
-    return cl.advice(cl.backbone(layers(spark, d)), 4, 500)
+    """The largest cluster of the second layer is split in two, and some of its tips are left without one."""
+    h = stash(layers(spark, d), "layers")
+    own = h.where("layer = 2 AND cluster_id = 2").select("tip_id", (F.col("tip_id") % 3).alias("cluster_id"))
+    return cl.resplit(h, 2, own)
 
 
 @query("s33_cluster_summary", f"""
@@ -229,7 +252,8 @@ def _(spark, d):
 
 @query("s32_automatic_split")
 def _(spark, d):
-    return lineage.automatic_split(fx.table(spark, d, M))
+    """The radii that the search goes through, from 10 mutations on."""
+    return lineage.automatic_split(fx.table(spark, d, M), 10, min_size=3)[2]
 
 
 @query("s58_vote_shares", f"""
