@@ -10,8 +10,6 @@ CHARACTERS = """
 SELECT CAST(o.o_custkey AS BIGINT) AS tip_id, CAST(l.l_partkey % 30 AS INT) AS site, CAST(MIN(l.l_suppkey % 5) AS INT) AS state
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, l.l_partkey % 30"""
 
-CHARACTERS_SMALL = f"SELECT tip_id, site, state FROM ({CHARACTERS}) c WHERE site < 4"
-
 MUTATIONS = f"SELECT tip_id, site * 100 + state AS mut_id FROM ({CHARACTERS}) c WHERE state > 0"
 
 WEIGHTS = f"""
@@ -23,13 +21,18 @@ BITS = "SELECT vec_id AS tip_id, label, CAST(p AS INT) AS site FROM {embeddings}
 BITS_DUCKDB = """SELECT vec_id AS tip_id, label, CAST(u.p AS INT) AS site
 FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS p, unnest(embedding) AS v FROM {embeddings}) u WHERE u.v > 0"""
 
+#: Groups of 11 (or 22) components of an embedding that are positive for the greater part.
+_GROUPS = "SELECT tip_id, CAST(FLOOR(site / {n}) AS INT) AS site FROM ({bits}) b GROUP BY tip_id, CAST(FLOOR(site / {n}) AS INT) HAVING count(*) * 2 > {n}"
+GROUPS = {n: _GROUPS.format(n=n, bits=BITS) for n in (11, 22)}
+GROUPS_DUCKDB = {n: _GROUPS.format(n=n, bits=BITS_DUCKDB) for n in (11, 22)}
+
+#: Whole texts as sequences; a site is a character.
 _DNA = """
-SELECT doc_id AS tip_id, i AS site,
-       CASE WHEN ch = '' THEN 16 WHEN ch = ' ' THEN 15
-            WHEN ch >= 'a' AND ch <= 'z' THEN CASE ASCII(ch) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END
-            ELSE 16 END AS code
-FROM (SELECT doc_id, i, substring(lower(text), i, 1) AS ch FROM {{documents}} CROSS JOIN (SELECT CAST({i} AS INT) AS i FROM range(1, 65))) q"""
-DNA, DNA_DUCKDB = _DNA.format(i="id"), _DNA.format(i="range")
+SELECT tip_id, CAST(p AS INT) AS site,
+       CASE WHEN ch = ' ' THEN 15 WHEN ch >= 'a' AND ch <= 'z' THEN CASE ASCII(ch) % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END ELSE 16 END AS code
+FROM ({rows}) q"""
+DNA = _DNA.format(rows="SELECT doc_id AS tip_id, i + 1 AS p, ch FROM {documents} LATERAL VIEW posexplode(filter(split(lower(text), ''), c -> c <> '')) e AS i, ch")
+DNA_DUCKDB = _DNA.format(rows="SELECT doc_id AS tip_id, unnest(range(1, len(cs) + 1)) AS p, unnest(cs) AS ch FROM (SELECT doc_id, regexp_extract_all(lower(text), '(?s).') AS cs FROM {documents}) d")
 
 _MOVED = "CASE WHEN c_custkey % 20 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END"
 
@@ -50,7 +53,7 @@ TREE_A = _tree("A", tuple("Rgnst"))
 TREE_EDGES = f"SELECT tree_id, parent, child, CAST(1 + length(child) % 3 AS DOUBLE) AS length FROM ({TREES}) t"
 
 #: Characters of the tips of the trees.
-TIP_STATES = f"SELECT CONCAT('t:', CAST(tip_id AS STRING)) AS tip, site, state FROM ({CHARACTERS}) c WHERE site < 8"
+TIP_STATES = f"SELECT CONCAT('t:', CAST(tip_id AS STRING)) AS tip, site, state FROM ({CHARACTERS}) c"
 
 VOTES = """
 SELECT event_id AS query, CAST(user_id % 12 AS INT) AS edge_child, CAST(FLOOR(value) AS INT) AS shared,

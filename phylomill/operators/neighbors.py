@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from phylomill.stash import stash
+
 BLOCK = 512  # tips of an alignment block
 TILE = 1024  # tips of a block of mutation lists
 COLUMNS = 4096  # mutations that a product takes at a time
@@ -171,34 +172,53 @@ def probe(mutations: DataFrame, radius: float, every: int = 50) -> DataFrame:
     return tips.agg(F.count("*").alias("n_probed"), F.avg("n").alias("mean_neighbors"))
 
 
-def _blocks(sites: DataFrame) -> DataFrame:
-    """(block, tips, codes): up to BLOCK tips of equal width, a byte for each site."""
-    rows = sites.groupBy("tip_id").agg(F.array_sort(F.collect_list(F.struct("site", "code"))).alias("s"))
-    rows = rows.select("tip_id", F.transform("s", lambda x: x["code"].cast("tinyint")).alias("codes"))
-    rows = rows.withColumn("block", (F.row_number().over(W.partitionBy((F.col("tip_id") / (1 << 20)).cast("long")).orderBy("tip_id")) / BLOCK).cast("long") + (F.col("tip_id") / (1 << 20)).cast("long") * (1 << 20))
-    return rows.groupBy("block").agg(F.collect_list(F.struct("tip_id", "codes")).alias("rows"))
-
-
 def dna_within_radius(sites: DataFrame, radius: int) -> DataFrame:
     """(a, b, shared): pairs of sequences with ``radius`` or more compatible sites (a common base; gaps never match).
 
-    Similarity of alignments has no selective key, so blocks of tips meet each other; a block pair is one numpy
-    product of the tips' base indicators, ambiguous sites being counted once.
+    Similarity of alignments has no selective key, so blocks of sequences meet each other; a block pair is compared
+    site by site, 64 at a time, over the sequences that reach there. Sequences with fewer known sites than the radius
+    can't be in a pair, and blocks are made of sequences of about one length.
     """
-    blocks = _blocks(sites)
-    pairs = blocks.select(F.col("block").alias("x"), F.col("rows").alias("left")).join(blocks.select(F.col("block").alias("y"), F.col("rows").alias("right")), F.col("x") <= F.col("y"))
-
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = sites.where("code & 15 != 0")
+    rows = known.groupBy("tip_id").agg(F.collect_list(F.struct("site", F.col("code").cast("tinyint").alias("code"))).alias("cells"), F.count("*").alias("n")).where(F.col("n") >= radius)
+    rows = stash(rows, "sequences")
+    # a hash deals the sequences of each length class (a factor of two) into blocks of about BLOCK
+    rows = rows.withColumn("size", F.floor(F.log2("n")).cast("int"))
+    classes = rows.groupBy("size").agg(F.count("*").alias("c"))
+    first = W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)  # one row for each class
+    classes = classes.withColumn("own", F.ceil(F.col("c") / BLOCK)).withColumn("before", F.coalesce(F.sum("own").over(first), F.lit(0)))
+    dealt = rows.join(F.broadcast(classes), "size").withColumn("block", F.col("before") + F.pmod(F.xxhash64("tip_id"), F.col("own")))
+    dealt = stash(dealt.groupBy("block").agg(F.collect_list(F.struct("tip_id", "cells")).alias("rows")), "blocks")
+    top = dealt.agg(F.max("block")).first()[0]
+    pairs = _paired(dealt, [], (top if top is not None else 0) + 1)
+
+    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tips, longest first, a matrix of their codes, and how far each reaches."""
+        tip, cells = rows.flatten()
+        size = cells.value_lengths().to_numpy()
+        site, code = (x.to_numpy() for x in cells.flatten().flatten())
+        row = np.repeat(np.arange(len(tip)), size)
+        reach = np.zeros(len(tip), np.int64)
+        np.maximum.at(reach, row, site + 1)
+        order = np.argsort(-reach, kind="stable")
+        place = np.empty(len(tip), np.int64)
+        place[order] = np.arange(len(tip))
+        matrix = np.zeros((len(tip), int(reach.max(initial=0))), np.uint8)
+        matrix[place[row], site] = code & 15
+        return tip.to_numpy()[order], matrix, reach[order]
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, left, right in zip(batch.x, batch.y, batch.left, batch.right):
-                p, q = (np.array([r["codes"] for r in rows], np.uint8) & 15 for rows in (left, right))
+            for k in range(len(batch)):
+                (p, pm, pr), (q, qm, qr) = (unpacked(batch.column(side)[k].values) for side in ("left", "right"))
                 total = np.zeros((len(p), len(q)), np.int32)
-                for i in range(0, p.shape[1], 64):
-                    total += ((p[:, None, i : i + 64] & q[None, :, i : i + 64]) != 0).sum(2, dtype=np.int32)
+                for i in range(0, min(pm.shape[1], qm.shape[1]), 64):
+                    m, n = int((pr > i).sum()), int((qr > i).sum())  # sequences that reach this far come first
+                    width = min(i + 64, pm.shape[1], qm.shape[1])
+                    total[:m, :n] += ((pm[:m, None, i:width] & qm[None, :n, i:width]) != 0).sum(2, dtype=np.int32)
                 i, j = np.nonzero(total >= radius)
-                a, b = np.array([r["tip_id"] for r in left])[i], np.array([r["tip_id"] for r in right])[j]
-                keep = a <= b if x == y else np.ones(len(a), bool)
-                a, b, s = a[keep], b[keep], total[i, j][keep]
-                yield pd.DataFrame({"a": a, "b": b, "shared": s})
+                a, b = p[i], q[j]
+                keep = a <= b if batch.column("x")[k].as_py() == batch.column("y")[k].as_py() else np.ones(len(a), bool)
+                yield pa.record_batch({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "shared": total[i, j][keep]})
 
-    return both_ways(pairs.mapInPandas(similar, "a long, b long, shared int"))
+    return both_ways(pairs.mapInArrow(similar, "a long, b long, shared int"))

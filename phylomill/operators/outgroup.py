@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from phylomill.operators import trees
+from phylomill.stash import stash
+
+MOST_ROOTS = 10_000
 
 
 def in_group(characters: DataFrame, clusters: DataFrame, layer: int, roots: DataFrame) -> DataFrame:
@@ -23,33 +26,63 @@ def in_group(characters: DataFrame, clusters: DataFrame, layer: int, roots: Data
     return single.unionByName(pseudo.select("cluster_id", F.concat(F.lit("M:"), F.col("child").cast("string")).alias("tip"), "site", "state"))
 
 
-def conflicts(node_states: DataFrame, outgroups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(tree_id, node, tip_id, n): sites where the node is mutated and the outgroup is known and different.
+def conflicts(node_states: DataFrame, outgroups: DataFrame, pairs: DataFrame, kind: str = "indel") -> DataFrame:
+    """(tree_id, node, tip_id, n): how much speaks against an outgroup's place below a node.
 
-    ``pairs`` (tree_id, node, tip_id) says which to compare; pairs without a conflict come with 0.
+    ``indel``: sites where the node is mutated and the outgroup is known and different. ``binary``: bits (state 2) that
+    the node has and the outgroup hasn't. ``dna``: the node's unambiguous sites (one base) that the outgroup isn't
+    compatible with, less the ambiguous ones that it is compatible with; a site without a row is a gap.
+    ``pairs`` (tree_id, node, tip_id) says which to compare; pairs that share nothing come as well.
     """
-    mutated = node_states.where("state > 0").select("tree_id", "node", "site", "state")
-    known = outgroups.where("state >= 0").select("tip_id", "site", F.col("state").alias("other"))
-    n = pairs.join(mutated, ["tree_id", "node"]).join(known, ["tip_id", "site"]).where("state != other").groupBy("tree_id", "node", "tip_id").agg(F.count("*").alias("n"))
-    return pairs.join(n, ["tree_id", "node", "tip_id"], "left").fillna(0, ["n"]).select("tree_id", "node", "tip_id", "n")
-
-
-def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int) -> DataFrame:
-    """(tree_id, tip_id, n): outgroups with fewer than ``cutoff`` conflicts with the root of a tree.
-
-    The roots are few and their states are sent to the outgroups; each outgroup row meets a root's states once.
+    other = outgroups.select("tip_id", "site", F.col("state").alias("other"))
+    if kind == "indel":
+        own, other = node_states.where("state > 0"), other.where("other >= 0")
+        n = pairs.join(own, ["tree_id", "node"]).join(other, ["tip_id", "site"]).where("state != other").groupBy("tree_id", "node", "tip_id").agg(F.count("*").alias("n"))
+        return pairs.join(n, ["tree_id", "node", "tip_id"], "left").fillna(0, ["n"]).select("tree_id", "node", "tip_id", "n")
+    if kind == "binary":
+        own, alone = node_states.where("state = 2"), F.lit(1)
+        met = F.lit(True)
+        other = other.where("other = 2")
+    else:
+        own, alone = node_states.where("state != 16"), F.when(F.col("state").isin(1, 2, 4, 8), 1).otherwise(0)
+        met = F.col("state").bitwiseAND(F.col("other")).bitwiseAND(15) != 0
+    most = own.groupBy("tree_id", "node").agg(F.sum(alone).alias("most"))
+    less = pairs.join(own, ["tree_id", "node"]).join(other, ["tip_id", "site"]).where(met).groupBy("tree_id", "node", "tip_id").agg(F.count("*").alias("less"))
+    out = pairs.join(most, ["tree_id", "node"], "left").join(less, ["tree_id", "node", "tip_id"], "left").fillna(0, ["most", "less"])
+    return out.select("tree_id", "node", "tip_id", (F.col("most") - F.col("less")).alias("n"))
+
+
+def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int, kind: str = "indel") -> DataFrame:
+    """(tree_id, tip_id, n): outgroups with fewer than ``cutoff`` conflicts (see ``conflicts``) with the root of a tree.
+
+    A root and an outgroup are a row each, with arrays of their cells, so a pair is judged where it is made, in time
+    linear in the cells, and only pairs that pass go on. Roots are sent to all executors up to ``MOST_ROOTS``.
     """
-    roots = root_states.select("tree_id", "node").distinct()
-    pairs = roots.crossJoin(outgroups.select("tip_id").distinct()) if roots.count() <= 10_000 else roots.join(outgroups.select("tip_id").distinct())
-    return conflicts(root_states, outgroups, pairs).where(F.col("n") < cutoff).select("tree_id", "tip_id", "n")
-
-
-def retained(edges: DataFrame, paths: DataFrame, node_states: DataFrame, outgroups: DataFrame, near: DataFrame, cutoff: int) -> DataFrame:
+    site, state = F.col("site").cast("long"), F.col("state").cast("long")
+    listed = lambda test, value: F.array_compact(F.collect_list(F.when(test, value)))
+    shared = lambda x: F.size(F.array_intersect(f"own_{x}", f"has_{x}"))
+    if kind == "indel":
+        made = {"cells": (state > 0, state > 0, site * (1 << 16) + state), "sites": (state > 0, state >= 0, site)}
+        n = shared("sites") - shared("cells")
+    elif kind == "binary":
+        made = {"cells": (state == 2, state == 2, site)}
+        n = F.size("own_cells") - shared("cells")
+    else:
+        bits = F.filter(F.transform(F.array(*[F.lit(b) for b in (1, 2, 4, 8)]), lambda b: F.when(state.bitwiseAND(b.cast("long")) != 0, site * 16 + b)), lambda x: x.isNotNull())
+        made = {"cells": (state != 16, state != 16, bits), "alone": (state.isin(1, 2, 4, 8), F.lit(False), site)}
+        n = F.size("own_alone") - F.size(F.array_distinct(F.transform(F.array_intersect(F.flatten("own_cells"), F.flatten("has_cells")), lambda x: F.floor(x / 16))))
+    roots = stash(root_states.groupBy("tree_id", "node").agg(*[listed(mine, value).alias(f"own_{x}") for x, (mine, _, value) in made.items()]).drop("node"), "roots")
+    tips = outgroups.groupBy("tip_id").agg(*[listed(theirs, value).alias(f"has_{x}") for x, (_, theirs, value) in made.items()])
+    pairs = tips.crossJoin(F.broadcast(roots) if roots.count() <= MOST_ROOTS else roots)
+    return pairs.select("tree_id", "tip_id", n.cast("long").alias("n")).where(F.col("n") < cutoff)
+
+
+def retained(edges: DataFrame, paths: DataFrame, node_states: DataFrame, outgroups: DataFrame, near: DataFrame, cutoff: int, kind: str = "indel") -> DataFrame:
     """(tree_id, node): topmost inner nodes, roots excepted, with ``cutoff`` conflicts or more with every outgroup of
     their tree in ``near`` (tree_id, tip_id)."""
     inner = edges.select("tree_id", F.col("parent").alias("node")).distinct().join(edges.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_semi")
     pairs = inner.join(near.select("tree_id", "tip_id"), "tree_id")
-    least = conflicts(node_states, outgroups, pairs).groupBy("tree_id", "node").agg(F.min("n").alias("least"))
+    least = conflicts(node_states, outgroups, pairs, kind).groupBy("tree_id", "node").agg(F.min("n").alias("least"))
     good = inner.join(least, ["tree_id", "node"], "left").where(F.coalesce(F.col("least") >= cutoff, F.lit(True))).select("tree_id", "node")
     return trees.topmost(paths, good)
 
@@ -70,6 +103,23 @@ def layer_ids(pieces: DataFrame, start: int = 0) -> DataFrame:
     return ranked.join(offset, "tree_id").select("tree_id", "piece", (F.col("o") + F.col("r") + start).cast("long").alias("cluster_id"))
 
 
+def summarized(clusters: DataFrame, layer: int, pieces: DataFrame) -> DataFrame:
+    """``clusters`` after a layer is solved: tips outside all of its clusters take over their cluster of the layer below,
+    members of a broken cluster get the id of their piece (new ids, see ``layer_ids``) or else their cluster of the layer
+    below, and clusters that stayed whole keep their id.
+
+    ``pieces`` (cluster_id, tip_id, piece): all members of the broken clusters, '0' for tips in no piece.
+    """
+    top = clusters.agg(F.max("cluster_id")).first()[0] or 0
+    rows = pieces.select(F.col("cluster_id").alias("tree_id"), "tip_id", "piece")
+    new = rows.join(layer_ids(rows, top).withColumnRenamed("cluster_id", "new"), ["tree_id", "piece"], "left").select(F.col("tree_id").alias("cluster_id"), "tip_id", "new", F.lit(True).alias("broken"))
+    here = clusters.where(F.col("layer") == layer).select("tip_id", "layer", "cluster_id")
+    child = clusters.where(F.col("layer") == layer + 1).select("tip_id", F.col("cluster_id").alias("child"))
+    here = here.join(child, "tip_id", "left").join(new, ["cluster_id", "tip_id"], "left").fillna(0, ["child"])
+    value = F.when(F.col("cluster_id") == 0, F.col("child")).when(F.col("broken"), F.coalesce("new", "child")).otherwise(F.col("cluster_id"))
+    return clusters.where(F.col("layer") != layer).select("tip_id", "layer", "cluster_id").unionByName(here.select("tip_id", "layer", value.alias("cluster_id")))
+
+
 def leaf_sets(parents: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster_id, tip): tips of a cluster through all clusters nested in it; ``parents`` (parent, child)."""
     paths = trees.closure(parents.select(F.lit("c").alias("tree_id"), F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child")))

@@ -19,7 +19,7 @@ def clade_keys(members: DataFrame, rooted: bool = True) -> DataFrame:
         return keys.drop("low")
     tips = rows.select("tree_id", "tip", "a", "b").distinct().groupBy("tree_id").agg(F.count("*").alias("n"), F.bit_xor("a").alias("ta"), F.bit_xor("b").alias("tb"), F.min("tip").alias("least"))
     flip = F.col("low") == F.col("least")
-    return keys.join(F.broadcast(tips), "tree_id").select("tree_id", "node", F.when(flip, F.col("n") - F.col("size")).otherwise(F.col("size")).alias("size"), F.when(flip, F.col("h1").bitwiseXOR(F.col("ta"))).otherwise(F.col("h1")).alias("h1"), F.when(flip, F.col("h2").bitwiseXOR(F.col("tb"))).otherwise(F.col("h2")).alias("h2"))
+    return keys.join(tips, "tree_id").select("tree_id", "node", F.when(flip, F.col("n") - F.col("size")).otherwise(F.col("size")).alias("size"), F.when(flip, F.col("h1").bitwiseXOR(F.col("ta"))).otherwise(F.col("h1")).alias("h1"), F.when(flip, F.col("h2").bitwiseXOR(F.col("tb"))).otherwise(F.col("h2")).alias("h2"))
 
 
 def exact_support(keys: DataFrame, reference: str) -> DataFrame:
@@ -75,7 +75,7 @@ def transfer_distances(left: DataFrame, right: DataFrame) -> DataFrame:
     disjoint ones have d = |A| + |B|, of which the least and the greatest |B| decide.
     """
     n = left.groupBy("tree_id").agg(F.countDistinct("tip").alias("n"))
-    d = clade_distances(left, right).join(F.broadcast(n), "tree_id").groupBy("tree_id", "node", "size", "n", "other_tree").agg(F.min(F.least("distance", F.col("n") - F.col("distance"))).alias("d"))
+    d = clade_distances(left, right).join(n, "tree_id").groupBy("tree_id", "node", "size", "n", "other_tree").agg(F.min(F.least("distance", F.col("n") - F.col("distance"))).alias("d"))
     met = left.select("tree_id", "node", "tip").join(right.select(F.col("tree_id").alias("other_tree"), F.col("node").alias("other"), "tip"), "tip").where("tree_id != other_tree").select("tree_id", "node", "other_tree", "other").distinct()
     sizes = right.groupBy(F.col("tree_id").alias("other_tree"), F.col("node").alias("other")).agg(F.count("*").alias("m"))
     apart = left.select("tree_id", "node").distinct().join(sizes, F.expr("tree_id != other_tree")).join(met, ["tree_id", "node", "other_tree", "other"], "left_anti")

@@ -147,10 +147,26 @@ def branch_lengths(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return edges.select("tree_id", "parent", "child").join(n, ["tree_id", "child"], "left").select("tree_id", "parent", "child", F.coalesce("length", F.lit(0)).alias("length"))
 
 
-def changes_per_site(changed: DataFrame) -> DataFrame:
+def changes_per_site(changed: DataFrame, inner: DataFrame | None = None, gap: int | None = None) -> DataFrame:
+    """(tree_id, site, n); with ``inner`` (tree_id, node) only on edges to these, and with ``gap`` only from and to
+    other states than this one."""
+    if inner is not None:
+        changed = changed.join(inner.select("tree_id", F.col("node").alias("child")).distinct(), ["tree_id", "child"], "left_semi")
+    if gap is not None:
+        changed = changed.where((F.col("s_parent") != gap) & (F.col("s_child") != gap))
     return changed.groupBy("tree_id", "site").agg(F.count("*").alias("n"))
 
 
+def events(changed: DataFrame, weights: DataFrame) -> DataFrame:
+    """(tree_id, events, weighted): changes on all edges, and the sum of their sites' ``weights`` (site, weight)."""
+    return changed.join(weights, "site").groupBy("tree_id").agg(F.count("*").alias("events"), F.sum("weight").alias("weighted"))
+
+
+def collapsed_by_support(edges: DataFrame, paths: DataFrame, support: DataFrame, threshold: float) -> DataFrame:
+    """``collapsed`` at the nodes with less ``support`` (tree_id, node, support) than ``threshold``."""
+    return collapsed(edges, paths, support.where(F.col("support") < threshold))
+
+
 def gained(edges: DataFrame, states: DataFrame) -> DataFrame:
     """(tree_id, child, site, state): mutated states that a node has and its parent lacks."""
     have = states.where("state > 0").select("tree_id", "node", "site", "state")
@@ -184,7 +200,7 @@ def ultrametric(edges: DataFrame, paths: DataFrame) -> DataFrame:
     above = paths.join(own.withColumnsRenamed({"node": "ancestor", "length": "up"}), ["tree_id", "ancestor"]).groupBy("tree_id", "node").agg(F.sum("up").alias("up"))
     depth = tips(edges).withColumnRenamed("tip", "node").join(own, ["tree_id", "node"]).join(above, ["tree_id", "node"], "left").select("tree_id", "node", (F.col("length") + F.coalesce("up", F.lit(0.0))).alias("depth"))
     most = depth.groupBy("tree_id").agg(F.max("depth").alias("most"))
-    add = depth.join(F.broadcast(most), "tree_id").select("tree_id", F.col("node").alias("child"), (F.col("most") - F.col("depth")).alias("add"))
+    add = depth.join(most, "tree_id").select("tree_id", F.col("node").alias("child"), (F.col("most") - F.col("depth")).alias("add"))
     return edges.join(add, ["tree_id", "child"], "left").select("tree_id", "parent", "child", (F.col("length") + F.coalesce("add", F.lit(0.0))).alias("length"))
 
 

@@ -70,9 +70,9 @@ def _(spark, d):
 
 @query("s22_dna_radius", f"""
 WITH x AS (SELECT * FROM ({fx.DNA_DUCKDB}) q WHERE code < 16)
-SELECT p.tip_id AS a, q.tip_id AS b, CAST(count(*) AS INT) AS shared FROM x p JOIN x q ON p.site = q.site AND p.code & q.code <> 0 GROUP BY 1, 2 HAVING count(*) >= 48""")
+SELECT p.tip_id AS a, q.tip_id AS b, CAST(count(*) AS INT) AS shared FROM x p JOIN x q ON p.site = q.site AND p.code & q.code <> 0 GROUP BY 1, 2 HAVING count(*) >= 1000""")
 def _(spark, d):
-    return nb.dna_within_radius(fx.table(spark, d, fx.DNA), 48)
+    return nb.dna_within_radius(fx.table(spark, d, fx.DNA), 1000)
 
 
 _PAIRS = "p AS (SELECT x.tip_id AS a, y.tip_id AS b, CAST(count(*) AS DOUBLE) AS shared FROM m x JOIN m y ON x.mut_id = y.mut_id GROUP BY 1, 2), o AS (SELECT tip_id, count(*) AS k FROM m GROUP BY tip_id)"
@@ -85,12 +85,14 @@ def _(spark, d):
 
 @query("s24_nearest_among", f"""
 WITH m0 AS ({M}), c AS (SELECT a, b FROM (SELECT x.tip_id AS a, y.tip_id AS b, rank() OVER (PARTITION BY x.tip_id ORDER BY count(*) DESC) AS r FROM m0 x JOIN m0 y ON x.mut_id = y.mut_id GROUP BY 1, 2) t WHERE r <= 8),
-m AS (SELECT * FROM m0 WHERE mut_id < 2000), {_PAIRS}
+{_WEIGHED}, p AS (SELECT x.tip_id AS a, y.tip_id AS b, sum(w.weight) AS shared FROM m0 x JOIN m0 y ON x.mut_id = y.mut_id JOIN w ON w.mut_id = x.mut_id AND w.rep = 1 GROUP BY 1, 2), o AS (SELECT tip_id, count(*) AS k FROM m0 GROUP BY tip_id)
 SELECT a, b, shared FROM (SELECT c.a, c.b, coalesce(p.shared, 0) AS shared, rank() OVER (PARTITION BY c.a ORDER BY coalesce(p.shared, 0) DESC) AS r
 FROM c JOIN o ON o.tip_id = c.a LEFT JOIN p ON p.a = c.a AND p.b = c.b WHERE coalesce(p.shared, 0) >= floor(o.k * 0.1)) x WHERE r <= 4""")
 def _(spark, d):
-    m = mutations(spark, d)
-    return nb.nearest_among(nb.nearest(m, 8), m.where("mut_id < 2000"), 4, 0.1)
+    """Candidates by shared mutations, ranked again by weights."""
+    m = stash(mutations(spark, d), "mutations")
+    w = fx.table(spark, d, fx.WEIGHTS).where("rep = 1").select((F.col("site") * 100 + F.col("state")).alias("mut_id"), "weight")
+    return nb.nearest_among(nb.nearest(m, 8), nb.weighted(m.select("tip_id", "mut_id"), w), 4, 0.1)
 
 
 @query("s26_radius_probe", f"{_BASE} SELECT count(*) AS n_probed, avg(k) AS mean_neighbors FROM (SELECT t.tip_id, count(n.b) AS k FROM (SELECT DISTINCT tip_id FROM m) t LEFT JOIN n ON n.a = t.tip_id WHERE t.tip_id % 50 = 0 GROUP BY 1) x")
@@ -208,10 +210,12 @@ def _(spark, d):
 
 @query("s43_dna_join")
 def _(spark, d):
+    """Sequences that agree in 200 sites and 90 % of the shorter one are linked."""
     dna = fx.table(spark, d, fx.DNA)
-    tips = dna.select("tip_id").distinct()
-    near = nb.dna_within_radius(dna, 50)
-    k = cl.regular_ids(cl.components(near.where("a < b").select(F.col("a").alias("i"), F.col("b").alias("j")), tips), 2).where("cluster_id > 0")
+    tips = stash(dna.where("code != 16").groupBy("tip_id").agg(F.count("*").alias("n")), "lengths")
+    near = nb.dna_within_radius(dna, 200).where("a < b").join(tips.withColumnsRenamed({"tip_id": "a", "n": "na"}), "a").join(tips.withColumnsRenamed({"tip_id": "b", "n": "nb"}), "b")
+    link = near.where("shared >= 0.9 * least(na, nb)").select(F.col("a").alias("i"), F.col("b").alias("j"))
+    k = cl.regular_ids(cl.components(link, tips), 2).where("cluster_id > 0")
     rows = dna.join(k, "tip_id").select("cluster_id", F.format_string("%09d", "tip_id").alias("tip"), "site", F.col("code").alias("state"))
     return so.solve(rows, "dna").select("cluster_id", "node", "parent", F.size("states").alias("n_sites"))
 
@@ -245,6 +249,88 @@ def _(spark, d):
     return og.filtered(r, fx.table(spark, d, C), 3)
 
 
+@query("s46_binary_outgroup_filter", f"""
+WITH b AS (SELECT tip_id, site FROM ({fx.BITS_DUCKDB}) x), r AS (SELECT tip_id AS root, site FROM b WHERE tip_id % 50 = 0), z AS (SELECT root, count(*) AS k FROM r GROUP BY 1),
+f AS (SELECT r.root, b.tip_id, count(*) AS c FROM r JOIN b ON b.site = r.site GROUP BY 1, 2)
+SELECT CAST(z.root AS STRING) AS tree_id, t.tip_id, CAST(z.k - coalesce(f.c, 0) AS BIGINT) AS n FROM z CROSS JOIN (SELECT DISTINCT tip_id FROM b) t LEFT JOIN f ON f.root = z.root AND f.tip_id = t.tip_id WHERE z.k - coalesce(f.c, 0) < 12""")
+def _(spark, d):
+    """Every tip whose id is divisible by 50 is a root, held against all tips."""
+    b = fx.table(spark, d, fx.BITS).select("tip_id", "site", F.lit(2).alias("state"))
+    r = b.where("tip_id % 50 = 0").select(F.col("tip_id").cast("string").alias("tree_id"), F.lit("root").alias("node"), "site", "state")
+    return og.filtered(r, b, 12, "binary")
+
+
+@query("s46_dna_outgroup_filter", f"""
+WITH x AS ({fx.DNA_DUCKDB}), r AS (SELECT tip_id AS root, site, code FROM x WHERE tip_id % 50 = 0), z AS (SELECT root, count(CASE WHEN code IN (1, 2, 4, 8) THEN 1 END) AS k FROM r GROUP BY 1),
+f AS (SELECT r.root, x.tip_id, count(*) AS c FROM r JOIN x ON x.site = r.site AND r.code & x.code & 15 <> 0 GROUP BY 1, 2)
+SELECT CAST(z.root AS STRING) AS tree_id, t.tip_id, CAST(z.k - coalesce(f.c, 0) AS BIGINT) AS n FROM z CROSS JOIN (SELECT DISTINCT tip_id FROM x) t LEFT JOIN f ON f.root = z.root AND f.tip_id = t.tip_id WHERE z.k - coalesce(f.c, 0) < 60""")
+def _(spark, d):
+    """Every sequence whose id is divisible by 50 is a root, held against all sequences."""
+    x = fx.table(spark, d, fx.DNA).withColumnRenamed("code", "state")
+    r = x.where("tip_id % 50 = 0").select(F.col("tip_id").cast("string").alias("tree_id"), F.lit("root").alias("node"), "site", "state")
+    return og.filtered(r, x, 60, "dna")
+
+
+_SEGMENTS = f"""
+{_ROOTS}, g AS (SELECT k.cluster_id, k.tip_id, cu.c_mktsegment AS seg FROM k JOIN {{customer}} cu ON cu.c_custkey = k.tip_id WHERE k.cluster_id > 0),
+s2 AS (SELECT g.cluster_id, g.seg, c.site, CASE WHEN min(c.state) = max(c.state) THEN min(c.state) ELSE 0 END AS state FROM c JOIN g ON g.tip_id = c.tip_id GROUP BY 1, 2, 3),
+tt AS (SELECT DISTINCT tip_id FROM c),
+rf AS (SELECT x.cluster_id, c.tip_id, count(*) AS n FROM x JOIN c ON c.site = x.site WHERE x.state > 0 AND c.state <> x.state GROUP BY 1, 2),
+near AS (SELECT r.cluster_id, tt.tip_id FROM (SELECT DISTINCT cluster_id FROM x) r CROSS JOIN tt LEFT JOIN rf ON rf.cluster_id = r.cluster_id AND rf.tip_id = tt.tip_id LEFT JOIN g ON g.cluster_id = r.cluster_id AND g.tip_id = tt.tip_id WHERE coalesce(rf.n, 0) < 2 AND g.tip_id IS NULL),
+nf AS (SELECT s2.cluster_id, s2.seg, c.tip_id, count(*) AS n FROM s2 JOIN c ON c.site = s2.site WHERE s2.state > 0 AND c.state <> s2.state GROUP BY 1, 2, 3),
+ok AS (SELECT i.cluster_id, i.seg FROM (SELECT DISTINCT cluster_id, seg FROM g) i LEFT JOIN near ON near.cluster_id = i.cluster_id LEFT JOIN nf ON nf.cluster_id = i.cluster_id AND nf.seg = i.seg AND nf.tip_id = near.tip_id
+       GROUP BY 1, 2 HAVING min(CASE WHEN near.tip_id IS NULL THEN 99 ELSE coalesce(nf.n, 0) END) >= 2)"""
+
+
+def by_segment(spark, d):
+    """Each cluster as a tree of market segments: (members, retained nodes). Outgroups are all tips outside of it with
+    fewer than two conflicts with its root."""
+    k = clustered(spark, d).where("cluster_id > 0")
+    seg = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("tip_id"), F.concat(F.lit("s:"), "c_mktsegment").alias("node"))
+    g = stash(k.join(seg, "tip_id").select(F.col("cluster_id").cast("string").alias("tree_id"), "node", F.concat(F.lit("t:"), "tip_id").alias("tip"), "tip_id"), "segments")
+    edges = g.select("tree_id", F.lit("R").alias("parent"), F.col("node").alias("child")).distinct().unionByName(g.select("tree_id", F.col("node").alias("parent"), F.col("tip").alias("child")))
+    edges = stash(edges, "edges")
+    p = stash(tr.closure(edges), "paths")
+    m = stash(tr.clades(edges, p), "members")
+    c = stash(fx.table(spark, d, C), "characters")
+    states = stash(tr.indel_ancestors(m, c.select(F.concat(F.lit("t:"), "tip_id").alias("tip"), "site", "state")), "states")
+    near = og.filtered(states.where("node = 'R'"), c, 2).join(g.select("tree_id", "tip_id"), ["tree_id", "tip_id"], "left_anti")
+    return m, stash(og.retained(edges, p, states, c, stash(near, "near"), 2), "retained")
+
+
+@query("s47_retained_nodes", f"{_SEGMENTS} SELECT CAST(cluster_id AS STRING) AS tree_id, concat('s:', seg) AS node FROM ok")
+def _(spark, d):
+    return by_segment(spark, d)[1]
+
+
+@query("s48_broken_trees", f"{_SEGMENTS} SELECT CAST(g.cluster_id AS STRING) AS tree_id, concat('t:', CAST(g.tip_id AS STRING)) AS tip, CASE WHEN ok.seg IS NULL THEN '0' ELSE concat('s:', ok.seg) END AS piece FROM g LEFT JOIN ok ON ok.cluster_id = g.cluster_id AND ok.seg = g.seg")
+def _(spark, d):
+    return og.broken(*by_segment(spark, d))
+
+
+_PIECES = f"{_SEGMENTS}, li AS (SELECT cluster_id, seg, row_number() OVER (ORDER BY CAST(cluster_id AS STRING), concat('s:', seg)) AS id FROM ok)"
+
+
+@query("s50_layer_ids", f"{_PIECES} SELECT CAST(cluster_id AS STRING) AS tree_id, concat('s:', seg) AS piece, id AS cluster_id FROM li")
+def _(spark, d):
+    return og.layer_ids(og.broken(*by_segment(spark, d)))
+
+
+@query("s50_layer_summary", f"""
+{_PIECES}, h2 AS (SELECT tip_id, 1 AS layer, cluster_id FROM k UNION ALL SELECT tip_id, 2, CASE WHEN tip_id % 4 = 0 THEN 1000000 + tip_id % 3 ELSE 0 END FROM k), top AS (SELECT max(cluster_id) AS m FROM h2)
+SELECT u.tip_id, 1 AS layer, CASE WHEN u.cluster_id = 0 THEN v.cluster_id WHEN u.cluster_id % 2 = 0 THEN coalesce(li.id + m, v.cluster_id) ELSE u.cluster_id END AS cluster_id
+FROM h2 u JOIN h2 v ON v.tip_id = u.tip_id AND v.layer = 2 CROSS JOIN top LEFT JOIN g ON g.tip_id = u.tip_id
+LEFT JOIN (SELECT cluster_id, seg, row_number() OVER (ORDER BY CAST(cluster_id AS STRING), concat('s:', seg)) AS id FROM ok WHERE cluster_id % 2 = 0) li ON li.cluster_id = u.cluster_id AND li.seg = g.seg WHERE u.layer = 1
+UNION ALL SELECT tip_id, 2, cluster_id FROM h2 WHERE layer = 2""")
+def _(spark, d):
+    """Clusters of even number are broken at their retained nodes; the layer below has some clusters of its own."""
+    k = clustered(spark, d)
+    below = k.select("tip_id", F.lit(2).alias("layer"), F.when(F.col("tip_id") % 4 == 0, 1000000 + F.col("tip_id") % 3).otherwise(0).cast("long").alias("cluster_id"))
+    h = stash(k.select("tip_id", F.lit(1).alias("layer"), "cluster_id").unionByName(below), "layers")
+    pieces = og.broken(*by_segment(spark, d)).select(F.col("tree_id").cast("long").alias("cluster_id"), F.substring("tip", 3, 20).cast("long").alias("tip_id"), "piece").where("cluster_id % 2 = 0")
+    return og.summarized(h, 1, pieces)
+
+
 @query("s51_hierarchical_build")
 def _(spark, d):
     return lineage.build(fx.table(spark, d, C), layers(spark, d))
@@ -271,6 +357,11 @@ def _(spark, d):
     return ro.placed_edges(fx.table(spark, d, fx.VOTES).select("cluster_id", F.col("edge_child").alias("edge"), (F.col("shared") / 8.0).alias("ratio"), "size"))
 
 
-@query("s57_outgroup_sample")
+_HASH = "((((CAST(1 AS BIGINT) + 1) * 48271 + 11) % 2147483647 * 69621 + 7) % 2147483647 + tip_id) * 48271 + 11"
+
+
+@query("s57_outgroup_sample", f"""
+WITH t AS (SELECT DISTINCT tip_id FROM ({M}) m), h AS (SELECT tip_id, row_number() OVER (ORDER BY ({_HASH}) % 2147483647 * 69621 % 2147483647 + 7 - CASE WHEN ({_HASH}) % 2147483647 * 69621 % 2147483647 + 7 >= 2147483647 THEN 2147483647 ELSE 0 END, tip_id) AS r FROM t)
+SELECT tip_id FROM h WHERE r <= greatest(64, (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM t))""")
 def _(spark, d):
     return ro.sampled_outgroups(fx.table(spark, d, M), 0.5, least=64)

@@ -13,7 +13,7 @@ from phylomill.registry import query
 from phylomill.sources import fasta, matrix
 from phylomill.sources import trees as ts
 
-C, SMALL, BITS = fx.CHARACTERS, fx.CHARACTERS_SMALL, fx.BITS
+C, BITS = fx.CHARACTERS, fx.BITS
 LETTER = "CASE WHEN code BETWEEN 1 AND 15 THEN substring('ATWCMYHGRKDSVBN', code, 1) ELSE '-' END"
 
 
@@ -95,10 +95,12 @@ def _(spark, d):
     return ch.informative(fx.table(spark, d, BITS).select("tip_id", "site"), 250)
 
 
-@query("s13_iupac_codes", f"WITH x AS ({fx.DNA_DUCKDB}) SELECT tip_id, site, {LETTER} AS letter, code FROM x")
+@query("s13_iupac_codes", f"WITH x AS ({fx.DNA_DUCKDB}) SELECT tip_id, string_agg({LETTER}, '' ORDER BY site) AS letters, CAST(sum(code * (site % 97)) AS BIGINT) AS codes FROM x GROUP BY tip_id")
 def _(spark, d):
+    """Every character there and back; a row for each sequence."""
     x = fx.table(spark, d, fx.DNA).withColumn("letter", nt.decoded(F.col("code")))
-    return x.select("tip_id", "site", "letter", nt.encoded(F.col("letter")).alias("code"))
+    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "letter"))), lambda c: c["letter"]), "")
+    return x.withColumn("again", nt.encoded(F.col("letter"))).groupBy("tip_id").agg(letters.alias("letters"), F.sum(F.col("again") * (F.col("site") % 97)).cast("long").alias("codes"))
 
 
 @query("s14_base_counts", "SELECT doc_id, " + ", ".join(f"CAST(length(text) - length(regexp_replace(text, '[{b.upper()}{b}]', '', 'g')) AS INT) AS n_{b}" for b in "atcg") + " FROM {documents}")
@@ -108,9 +110,10 @@ def _(spark, d):
 
 @query("s15_variable_sites", f"""
 WITH x AS ({fx.DNA_DUCKDB}), k AS (SELECT site FROM x GROUP BY site HAVING {" OR ".join(f"(sum(CASE WHEN code & {b} <> 0 THEN 1 ELSE 0 END) BETWEEN 1 AND count(*) - 1)" for b in (1, 2, 4, 8))})
-SELECT tip_id, site, code FROM x WHERE site IN (SELECT site FROM k)""")
+SELECT site, count(*) AS n, CAST(sum(code * (tip_id % 89)) AS BIGINT) AS codes FROM x WHERE site IN (SELECT site FROM k) GROUP BY site""")
 def _(spark, d):
-    return ch.variable_sites(fx.table(spark, d, fx.DNA))
+    """The alignment left, summed up by site."""
+    return ch.variable_sites(fx.table(spark, d, fx.DNA)).groupBy("site").agg(F.count("*").alias("n"), F.sum(F.col("code") * (F.col("tip_id") % 89)).cast("long").alias("codes"))
 
 
 @query("s16_subset", f"WITH c AS ({C}), b AS (SELECT c_custkey AS tip_id FROM {{customer}} WHERE c_mktsegment = 'BUILDING') SELECT tip_id, site, state, tip_id IN (SELECT tip_id FROM b) AS inside FROM c")
@@ -120,35 +123,34 @@ def _(spark, d):
     return ch.subset(c, b).withColumn("inside", F.lit(True)).unionByName(ch.subset(c, b, False).withColumn("inside", F.lit(False)))
 
 
-def _sets(sites: int) -> str:
-    return f"SELECT tip_id, list(site ORDER BY site) AS s FROM ({fx.BITS_DUCKDB}) x WHERE site < {sites} GROUP BY tip_id"
+def _sets(group: int) -> str:
+    return f"SELECT tip_id, list(site ORDER BY site) AS s FROM ({fx.GROUPS_DUCKDB[group]}) x GROUP BY tip_id"
 
 
-@query("s17_exact_duplicates", f"SELECT tip_id, min(tip_id) OVER (PARTITION BY s) AS rep_tip_id FROM ({_sets(6)}) y")
+@query("s17_exact_duplicates", f"SELECT tip_id, min(tip_id) OVER (PARTITION BY s) AS rep_tip_id FROM ({_sets(11)}) y")
 def _(spark, d):
-    return du.exact(fx.table(spark, d, BITS).where("site < 6"))
+    return du.exact(fx.table(spark, d, fx.GROUPS[11]))
 
 
 @query("s18_containment", f"""
-WITH RECURSIVE c AS ({SMALL}), n AS (SELECT tip_id, count(*) AS k FROM c GROUP BY tip_id),
+WITH RECURSIVE c AS ({C}), n AS (SELECT tip_id, count(*) AS k FROM c GROUP BY tip_id),
 p AS (SELECT a.tip_id AS i, b.tip_id AS j FROM c a JOIN n u ON u.tip_id = a.tip_id JOIN c b ON a.site = b.site AND a.state = b.state AND a.tip_id <> b.tip_id GROUP BY 1, 2, u.k HAVING count(*) = u.k),
 f AS (SELECT i, min(j) AS j FROM p GROUP BY i),
 g AS (SELECT f.i, f.j FROM f JOIN n x ON x.tip_id = f.i JOIN n y ON y.tip_id = f.j WHERE f.j < f.i OR y.k > x.k),
 w AS (SELECT tip_id, tip_id AS here FROM n UNION ALL SELECT w.tip_id, g.j FROM w JOIN g ON g.i = w.here)
 SELECT tip_id, here AS rep_tip_id FROM w WHERE here NOT IN (SELECT i FROM g)""")
 def _(spark, d):
-    return du.containing(fx.table(spark, d, SMALL))
+    return du.containing(fx.table(spark, d, C))
 
 
 @query("s19_composed_duplicates", f"""
-WITH a AS (SELECT tip_id, min(tip_id) OVER (PARTITION BY s) AS rep FROM ({_sets(6)}) y),
-b AS (SELECT tip_id, min(tip_id) OVER (PARTITION BY s) AS rep FROM ({_sets(3)}) y WHERE tip_id IN (SELECT rep FROM a))
+WITH a AS (SELECT tip_id, min(tip_id) OVER (PARTITION BY s) AS rep FROM ({_sets(11)}) y),
+b AS (SELECT tip_id, min(tip_id) OVER (PARTITION BY s) AS rep FROM ({_sets(22)}) y WHERE tip_id IN (SELECT rep FROM a))
 SELECT a.tip_id, coalesce(b.rep, a.rep) AS rep_tip_id FROM a LEFT JOIN b ON b.tip_id = a.rep""")
 def _(spark, d):
-    bits = fx.table(spark, d, BITS)
-    first = du.exact(bits.where("site < 6"))
+    first = du.exact(fx.table(spark, d, fx.GROUPS[11]))
     reps = first.select(F.col("rep_tip_id").alias("tip_id")).distinct()
-    return du.composed(first, du.exact(bits.where("site < 3").join(reps, "tip_id", "left_semi")))
+    return du.composed(first, du.exact(fx.table(spark, d, fx.GROUPS[22]).join(reps, "tip_id", "left_semi")))
 
 
 _REP = "SELECT concat('t:', CAST(c_custkey AS STRING)) AS tip, concat('t:', CAST(min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey % 3) AS STRING)) AS rep FROM {customer}"
@@ -197,3 +199,10 @@ SELECT CAST(r.range AS INT) AS rep, site, state, 0.5E0 + (({_scrambled("r.range"
 FROM (SELECT DISTINCT site, state FROM ({C}) c WHERE state > 0) m CROSS JOIN range(1, 6) r""")
 def _(spark, d):
     return rs.random_weights(fx.table(spark, d, C).where("state > 0"), 5)
+
+
+@query("s80_noise_weights", f"""
+SELECT CAST(r.range AS INT) AS rep, site, state, 1.0E0 + ((({_scrambled("r.range", "site", "state")}) % 1024) / 512.0E0 - 1.0E0) * 0.25E0 AS weight
+FROM (SELECT DISTINCT site, state FROM ({C}) c WHERE state > 0) m CROSS JOIN range(1, 6) r""")
+def _(spark, d):
+    return rs.noise_weights(fx.table(spark, d, C).where("state > 0"), 5, 0.25)

@@ -131,7 +131,15 @@ def _(spark, d):
 
 @query("s69_evolution_events", f"{CHANGED} SELECT tree_id, count(*) AS events, CAST(sum(1 + site % 2) AS BIGINT) AS weighted FROM c GROUP BY 1")
 def _(spark, d):
-    return changed(spark, d).groupBy("tree_id").agg(F.count("*").alias("events"), F.sum(1 + F.col("site") % 2).cast("long").alias("weighted"))
+    weights = states(spark, d).select("site").distinct().withColumn("weight", (1 + F.col("site") % 2).cast("long"))
+    return tr.events(changed(spark, d), weights)
+
+
+@query("s67_inner_changes_per_site", f"{CHANGED} SELECT tree_id, site, count(*) AS n FROM c WHERE child NOT LIKE 't:%' AND s_parent <> 4 AND s_child <> 4 GROUP BY 1, 2")
+def _(spark, d):
+    """Changes on edges to inner nodes; state 4 stands for a gap."""
+    e = edges(spark, d)
+    return tr.changes_per_site(changed(spark, d), e.select("tree_id", F.col("parent").alias("node")), 4)
 
 
 @query("s81_homoplasy_weights", f"{GAINED}, o AS (SELECT tree_id, site, state, count(*) AS n FROM g GROUP BY 1, 2, 3) SELECT tree_id, site, state, round(1.0E0 / n / avg(1.0E0 / n) OVER (PARTITION BY tree_id), 9) AS weight FROM o")
@@ -158,8 +166,8 @@ def _(spark, d):
 @query("s72_collapsed_by_support", CLO + "," + _COLLAPSED.replace("{drop}", "substring(child, 1, 1) IN ('n', 's', 'g', 'm') AND length(child) % 4 < 2"))
 def _(spark, d):
     e = edges(spark, d)
-    weak = e.where("substring(child, 1, 1) IN ('n', 's', 'g', 'm')").withColumn("support", (F.length("child") % 4) / 4).where("support < 0.5")
-    return tr.collapsed(e, paths(spark, d), weak.select("tree_id", F.col("child").alias("node")))
+    support = e.where("substring(child, 1, 1) IN ('n', 's', 'g', 'm')").select("tree_id", F.col("child").alias("node"), ((F.length("child") % 4) / 4).alias("support"))
+    return tr.collapsed_by_support(e, paths(spark, d), support, 0.5)
 
 
 @query("s73_ultrametric", f"""
@@ -169,14 +177,10 @@ def _(spark, d):
     return tr.ultrametric(edges(spark, d), paths(spark, d))
 
 
-@query("s74_ordered_tips", f"{CLO} SELECT t.tree_id, t.tip, CAST(row_number() OVER (PARTITION BY t.tree_id ORDER BY c.c_name DESC) AS INT) AS place FROM t JOIN {{customer}} c ON concat('t:', CAST(c.c_custkey AS STRING)) = t.tip")
+@query("s74_ordered_tips", f"{CLO} SELECT t.tree_id, t.tip, CAST(row_number() OVER (PARTITION BY t.tree_id ORDER BY c.c_custkey DESC) AS INT) AS place FROM t JOIN {{customer}} c ON concat('t:', CAST(c.c_custkey AS STRING)) = t.tip")
 def _(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("t:"), "c_custkey").alias("tip"), "c_name")
-    e = edges(spark, d)
-    order = tr.tips(e).join(c, "tip")
-    from pyspark.sql import Window as W
-
-    return order.select("tree_id", "tip", F.row_number().over(W.partitionBy("tree_id").orderBy(F.desc("c_name"))).alias("place"))
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("t:"), "c_custkey").alias("tip"), (-F.col("c_custkey")).alias("place"))
+    return tr.ordered_tips(edges(spark, d), c)
 
 
 @query("s77_pure_nodes", f"{CLO} SELECT m.tree_id, m.node, CASE WHEN min(c.c_mktsegment) = max(c.c_mktsegment) THEN min(c.c_mktsegment) ELSE '0' END AS identity FROM m JOIN {{customer}} c ON concat('t:', CAST(c.c_custkey AS STRING)) = m.tip GROUP BY 1, 2")
@@ -199,7 +203,7 @@ def _(spark, d):
     return from_ancestors(m, own, tr.indel_ancestors(m, s).select("node", "site", "state"))
 
 
-_OUT = f"SELECT CAST(tip_id AS BIGINT) AS tip_id, site, state FROM ({fx.CHARACTERS}) c WHERE site < 8"
+_OUT = f"SELECT CAST(tip_id AS BIGINT) AS tip_id, site, state FROM ({fx.CHARACTERS}) c"
 
 
 @query("s45_conflicts", f"""
@@ -212,37 +216,6 @@ def _(spark, d):
     return og.conflicts(a, out, a.select("tree_id", "node").distinct().crossJoin(out.select("tip_id").distinct()))
 
 
-_KEPT = f"""{ALL}, o AS (SELECT tip_id, site, state FROM ({_OUT}) q WHERE tip_id % 50 = 0),
-i AS (SELECT DISTINCT e.tree_id, e.child AS node FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.tree_id = e.tree_id AND f.parent = e.child)),
-j AS (SELECT i.tree_id, i.node, w.tip_id, (SELECT count(*) FROM a JOIN o ON o.site = a.site WHERE a.tree_id = i.tree_id AND a.node = i.node AND o.tip_id = w.tip_id AND a.state > 0 AND a.state <> o.state) AS n FROM i CROSS JOIN (SELECT DISTINCT tip_id FROM o WHERE tip_id % 350 = 0) w),
-b AS (SELECT tree_id, node FROM j GROUP BY 1, 2 HAVING min(n) >= 1),
-h AS (SELECT tree_id, node FROM b WHERE NOT EXISTS (SELECT 1 FROM p JOIN b y ON y.tree_id = p.tree_id AND y.node = p.ancestor WHERE p.tree_id = b.tree_id AND p.node = b.node))"""
-
-
-def retained(spark, d, p=None):
-    p = paths(spark, d) if p is None else p
-    m = members(spark, d, p)
-    a = stash(tr.indel_ancestors(m, states(spark, d)), "ancestors")
-    out = fx.table(spark, d, _OUT)
-    near = tr.roots(edges(spark, d)).select("tree_id").crossJoin(out.where("tip_id % 350 = 0").select("tip_id").distinct())
-    return m, og.retained(edges(spark, d), p, a, out, near, 1)
-
-
-@query("s47_retained_nodes", f"{_KEPT} SELECT tree_id, node FROM h")
-def _(spark, d):
-    return retained(spark, d)[1]
-
-
-@query("s48_broken_trees", f"{_KEPT} SELECT t.tree_id, t.tip, coalesce(x.node, '0') AS piece FROM t LEFT JOIN (SELECT m.tree_id, m.tip, m.node FROM m JOIN h ON h.tree_id = m.tree_id AND h.node = m.node) x ON x.tree_id = t.tree_id AND x.tip = t.tip")
-def _(spark, d):
-    return og.broken(*retained(spark, d))
-
-
-@query("s50_layer_ids", f"{_KEPT} SELECT tree_id, node AS piece, row_number() OVER (ORDER BY tree_id, node) AS cluster_id FROM h")
-def _(spark, d):
-    return og.layer_ids(og.broken(*retained(spark, d)))
-
-
 @query("s49_subtrees", f"{CLO} SELECT e.tree_id, p.ancestor AS subtree, e.parent, e.child, e.length FROM e JOIN p ON p.tree_id = e.tree_id AND p.node = e.child WHERE p.ancestor LIKE 'n:%'")
 def _(spark, d):
     e = edges(spark, d)
@@ -297,8 +270,29 @@ def _(spark, d):
     return ro.unbroken(e, paths(spark, d), e.where("child LIKE 's:%' AND length = 2").select("tree_id", F.col("child").alias("node")))
 
 
-@query("s61_rerooted")
-def _(spark, d):
+_AT = f"""
+{CLO}, nr AS (SELECT tree_id, min(child) AS node FROM e WHERE child LIKE 'n:%' OR child LIKE 'm:%' GROUP BY 1), way AS (SELECT p.tree_id, p.ancestor AS node FROM p JOIN nr ON nr.tree_id = p.tree_id AND nr.node = p.node),
+off AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM way w WHERE w.tree_id = e.tree_id AND w.node = e.child) AND NOT EXISTS (SELECT 1 FROM nr WHERE nr.tree_id = e.tree_id AND nr.node = e.child)),
+q AS (SELECT tree_id, parent, child, length FROM off
+  UNION ALL SELECT e.tree_id, e.child, e.parent, e.length FROM e JOIN way w ON w.tree_id = e.tree_id AND w.node = e.child
+  UNION ALL SELECT e.tree_id, concat('root:', e.child), e.child, e.length / 2 FROM e JOIN nr ON nr.tree_id = e.tree_id AND nr.node = e.child
+  UNION ALL SELECT e.tree_id, concat('root:', e.child), e.parent, e.length / 2 FROM e JOIN nr ON nr.tree_id = e.tree_id AND nr.node = e.child),
+lone AS (SELECT tree_id, min(child) AS low, min(length) AS extra FROM q WHERE parent = 'R' GROUP BY 1 HAVING count(*) = 1)"""
+
+
+def new_roots(spark, d):
     e = edges(spark, d)
-    at = e.where("child LIKE 'n:%' OR child LIKE 'm:%'").groupBy("tree_id").agg(F.min("child").alias("node"))
+    return e, e.where("child LIKE 'n:%' OR child LIKE 'm:%'").groupBy("tree_id").agg(F.min("child").alias("node"))
+
+
+@query("s61_rerooted", f"{_AT} SELECT q.tree_id, q.parent, CASE WHEN q.child = 'R' THEN coalesce(l.low, q.child) ELSE q.child END AS child, q.length + CASE WHEN q.child = 'R' THEN coalesce(l.extra, 0) ELSE 0 END AS length FROM q LEFT JOIN lone l ON l.tree_id = q.tree_id WHERE NOT (q.parent = 'R' AND l.tree_id IS NOT NULL)")
+def _(spark, d):
+    e, at = new_roots(spark, d)
     return ro.rerooted(e, paths(spark, d), at)
+
+
+@query("s61_moved_breaks", f"{_AT} SELECT e.tree_id, e.child AS node, CASE WHEN w.node IS NULL THEN e.child WHEN e.parent = 'R' THEN coalesce(l.low, 'R') ELSE e.parent END AS moved FROM e LEFT JOIN way w ON w.tree_id = e.tree_id AND w.node = e.child LEFT JOIN lone l ON l.tree_id = e.tree_id WHERE e.child NOT LIKE 't:%'")
+def _(spark, d):
+    """The edge above every inner node is a break."""
+    e, at = new_roots(spark, d)
+    return ro.moved_breaks(e, paths(spark, d), at, e.where("child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
