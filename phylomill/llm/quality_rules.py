@@ -51,16 +51,16 @@ def _covered(starts: Column, width: int) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
 
 
-def statistics(docs: DataFrame, keyed: bool = False) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), a row for each row."""
-    keys = [k.alias(f"k{i + 1}") for i, k in enumerate(content_key())] if keyed else []
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("t"))
+def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), a row for each row; ``whole``: with it."""
+    own = [F.struct(*["`" + c.replace("`", "``") + "`" for c in docs.columns]).alias("row")] if whole else []
+    t = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("t"))
     t = t.withColumn("trimmed", F.btrim("t", F.lit(BLANK)))
     t = t.withColumn("w", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", r"[\x20\x09-\x0D]+", -1)))
     t = t.withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != ""))
     n = F.size("w")
     t = t.select(
-        "doc_id", *(["k1", "k2"] if keyed else []), "lang", "source",
+        "doc_id", *(["row"] if whole else []), "lang", "source",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -208,33 +208,25 @@ def mcd(rows: DataFrame) -> tuple[DataFrame, bool]:
     return stash(_factored(_moments(near, ["g"], REWEIGHTED), ["g"]).drop("det"), "mcd"), small
 
 
-def content_key(lang: str = "lang", source: str = "source", text: str = "text") -> list[Column]:
-    """What a verdict depends on, in 96 bits: two rows of one key are judged alike."""
-    t, l, s = F.coalesce(text, F.lit("")), F.coalesce(lang, F.lit("")), F.coalesce(source, F.lit(""))
-    return [F.xxhash64(t, l, s), F.xxhash64(F.crc32(t.cast("binary")), F.length(t), l, s)]
-
-
-def judge(docs: DataFrame, keyed: bool = False) -> DataFrame:
+def judge(docs: DataFrame, whole: bool = False) -> DataFrame:
     """One row for each row of ``docs``: base statistics, base_failed, d2 (null where the base rules fail), kept.
 
-    ``keyed``: with k1 and k2, the ``content_key`` of the row.
+    ``whole``: with the row itself in the struct ``row``.
     """
     # written before it is grouped, so that texts are gone through once
-    rows = grouped(stash(vectors(statistics(docs, keyed)), "statistics"))
+    rows = grouped(stash(vectors(statistics(docs, whole)), "statistics"))
     passed = rows.where("NOT base_failed")
     estimates, small = mcd(passed)
     out = distances(passed, estimates, small, ["g"]).unionByName(rows.where("base_failed").withColumn("d2", F.lit(None).cast("double")), allowMissingColumns=True)
     kept = ~F.col("base_failed") & (F.col("d2") <= CUTOFF)
-    keys = ["k1", "k2"] if keyed else []
-    return out.select("doc_id", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "d2")
+    own = ["row"] if whole else []
+    return out.select("doc_id", *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "d2")
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, each by its own text, language and source, their columns unchanged."""
-    bad = judge(docs, keyed=True).where("NOT kept").select(F.col("k1").alias("phylomill_k1"), F.col("k2").alias("phylomill_k2")).distinct()
-    bad = stash(bad, "rejected")  # so that the join can split the copies of one text
-    k1, k2 = content_key()
-    return docs.join(bad, (k1 == F.col("phylomill_k1")) & (k2 == F.col("phylomill_k2")), "left_anti")
+    """The rows of ``docs`` that are kept, their columns unchanged. Rows go with their statistics, so nothing is joined
+    back to the texts, and null or repeated doc_ids play no part."""
+    return judge(docs, whole=True).where("kept").select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_minimum_determinant_against_numpy(spark, monkeypatch):
     rows, groups = [], {}
     for g, n in (("en", 300), ("de", 90), ("fr", 40)):
         x = np.abs(r.normal([1.6, 0.9, 1.2, 1.0], [0.2, 0.5, 0.7, 0.6], (n, 4)) @ (np.eye(4) + 0.3 * np.tri(4, k=-1)))
-        x[: n // 5] += [1.0, 2.0, 1.5, 0.5]
+        x[: n // 5] += [3.0, 4.0, 4.0, 3.0]
         groups[g] = np.round(x * qr.GRID) / qr.GRID
         rows += [(g, "s", f"{g}\x01s", *map(float, v)) for v in x]
     df = spark.createDataFrame(rows, "lang string, source string, g string, x1 double, x2 double, x3 double, x4 double")
