@@ -12,6 +12,8 @@ from phylomill.operators import components as cc
 from phylomill.operators import duplicates as du
 from phylomill.operators import impute as im
 from phylomill.operators import neighbors as nb
+from phylomill.operators import outgroup as og
+from phylomill.operators import rooting as ro
 from phylomill.operators import solve as so
 from phylomill.operators import support as su
 from phylomill.operators import trees as tr
@@ -185,3 +187,125 @@ def test_greedy_join_equals_naive():
         parent, _ = so.agglomerate(m)
         got = [tuple(np.flatnonzero(parent == k)) for k in range(9, 17)]
         assert got == naive(m.tolist())
+
+
+def test_containment_equals_naive(spark):
+    r = random.Random(7)
+    table = {t: [r.choice([None, None, 1, 2]) for _ in range(5)] for t in range(60)}
+    sets = {t: {(i, x) for i, x in enumerate(v) if x is not None} for t, v in table.items()}
+    sets = {t: v for t, v in sets.items() if v}
+    points = {}
+    for t, own in sets.items():
+        first = min((o for o, other in sets.items() if o != t and own <= other), default=None)
+        points[t] = first if first is not None and (first < t or len(sets[first]) > len(own)) else t
+    want = {}
+    for t in sets:
+        at = t
+        while points[at] != at:
+            at = points[at]
+        want[t] = at
+    assert dict(rows(du.containing(cells(spark, table)))) == want
+
+
+def plain_links(lists, share, least, sqrt):
+    out = []
+    for i in lists:
+        for j in lists[i]:
+            if i < j:
+                m, n, k = len(lists[i]), len(lists[j]), len(lists[i] & lists[j])
+                if k >= least and k > share * ((m * n) ** 0.5 if sqrt else min(m, n)):
+                    out.append((i, j))
+    return sorted(out)
+
+
+def test_links_equal_naive_both_ways(spark, monkeypatch):
+    r = random.Random(2)
+    lists = {i: {i} for i in range(80)}
+    for _ in range(900):
+        i, j = r.randrange(80), r.randrange(80)
+        if i // 20 == j // 20 or r.random() < 0.1:
+            lists[i].add(j)
+            lists[j].add(i)
+    near = spark.createDataFrame([(i, j) for i in lists for j in lists[i]], "a long, b long").cache()
+    for share, least, sqrt in ((0.5, 0, False), (0.4, 6, True), (0.0, 0, False)):
+        want = plain_links(lists, share, least, sqrt)
+        for product in (0, 10**9):
+            monkeypatch.setattr(cl, "PRODUCT", product)
+            assert want and rows(cl.links(near, share, None, least, sqrt)) == want, (share, product)
+
+
+def test_advice_follows_the_bounds(spark):
+    # (backbone, largest, bounds) -> step, valid
+    cases = [((100, 90), (0, 0), 0, True), ((100, 90), (50, 0), -1, False), ((100, 90), (0, 80), 1, False), ((100, 90), (0, 95), 0, True), ((300, 90), (0, 0), -1, True), ((90, 300), (0, 0), 1, True), ((300, 290), (100, 100), -1, False)]
+    for (top, low), bounds, step, valid in cases:
+        q = spark.createDataFrame([(top, low)], "backbone long, largest long")
+        got = cl.advice(q, 1.2, *bounds).first()
+        assert (got.step, got.valid, got.balance) == (step, valid, (top + low) / 2), (top, low, bounds)
+
+
+def test_radius_search_equals_the_rule(spark):
+    """Three families of tips; the search is replayed with splits at every radius."""
+    from phylomill.plans import lineage
+
+    r = random.Random(3)
+    rows_ = [(t, 100 * f + m) for f in range(3) for t in range(20 * f, 20 * f + 20) for m in range(12) if r.random() < 0.8] + [(t, 999 - t % 3) for t in range(60)]
+    items = spark.createDataFrame(rows_, "tip_id long, mut_id long")
+    radius, members, tried = lineage.automatic_split(items, 12, step=1, least=1, min_size=3)
+    steps = [tuple(x) for x in tried.orderBy(F.desc("radius")).collect()]
+    assert len(steps) > 2 and sum(x[-1] for x in steps) == 1 and radius == next(x[0] for x in steps if x[-1])
+    for x in steps:
+        own = {}
+        for _, c in rows(lineage.split(stash_weighted(items), x[0], 0.8)):
+            own[c] = own.get(c, 0) + 1
+        big = [n for n in own.values() if n >= 3]
+        assert (x[2], x[3]) == (len(big) + sum(n for n in own.values() if n < 3), max(own.values()))
+    assert members.count() == 60
+
+
+def stash_weighted(items):
+    from phylomill.stash import stash
+
+    return stash(nb.weighted(items), "items")
+
+
+def test_large_clusters_are_solved_in_parts(spark):
+    r = random.Random(6)
+    table = [(1, f"t{t:02d}", s, r.randint(0, 3)) for t in range(40) for s in range(12) if r.random() < 0.8] + [(2, f"u{t}", s, 1) for t in range(3) for s in range(4)]
+    df = spark.createDataFrame(table, "cluster_id long, tip string, site int, state int")
+    for kind in ("indel", "dna"):
+        out = so.solve(df.withColumn("state", F.expr("shiftleft(1, state)")) if kind == "dna" else df, kind, most=8).collect()
+        for c, n in ((1, 40), (2, 3)):
+            own = [x for x in out if x.cluster_id == c]
+            nodes, up = {x.node for x in own}, {x.node: x.parent for x in own}
+            assert len(own) == len(nodes) == 2 * n - 1 and sum(p is None for p in up.values()) == 1
+            assert nodes - set(up.values()) == {x[1] for x in table if x[0] == c} and {p for p in up.values() if p} <= nodes
+
+
+def test_conflicts_of_all_kinds(spark):
+    r = random.Random(9)
+    for kind, states in (("indel", [0, 1, 2]), ("binary", [1, 2]), ("dna", [1, 2, 4, 8, 3, 15, 16])):
+        node = {s: r.choice(states) for s in range(30) if r.random() < 0.9}
+        outs = {t: {s: r.choice(states) for s in range(30) if r.random() < 0.8} for t in range(12)}
+
+        def n(o):
+            if kind == "indel":
+                return sum(x > 0 and s in o and o[s] != x for s, x in node.items())
+            if kind == "binary":
+                return sum(x == 2 and o.get(s) != 2 for s, x in node.items())
+            meets = lambda s, x: s in o and x & o[s] & 15 != 0
+            return sum(x in (1, 2, 4, 8) and not meets(s, x) for s, x in node.items()) - sum(x not in (1, 2, 4, 8, 16) and meets(s, x) for s, x in node.items())
+
+        want = {t: n(o) for t, o in outs.items()}
+        ns = spark.createDataFrame([("T", "R", s, x) for s, x in node.items()], "tree_id string, node string, site int, state int")
+        o = spark.createDataFrame([(t, s, x) for t, c in outs.items() for s, x in c.items()], "tip_id long, site int, state int")
+        pairs = spark.createDataFrame([("T", "R", t) for t in outs], "tree_id string, node string, tip_id long")
+        assert {x.tip_id: x.n for x in og.conflicts(ns, o, pairs, kind).collect()} == want, kind
+        cut = sorted(want.values())[6]
+        assert {x.tip_id: x.n for x in og.filtered(ns, o, cut, kind).collect()} == {t: k for t, k in want.items() if k < cut}, kind
+
+
+def test_outgroup_sample(spark):
+    tips = spark.createDataFrame([(t,) for t in range(500)] * 2, "tip_id long")
+    every = sorted((x.h, x.tip_id) for x in tips.distinct().select("tip_id", ro.scrambled(F.lit(1), F.col("tip_id")).alias("h")).collect())
+    for n in (1, 77, 250, 500, 900):
+        assert sorted(x.tip_id for x in ro.sampled_outgroups(tips, 0.0, n).collect()) == sorted(t for _, t in every[:n])
