@@ -79,7 +79,15 @@ def _(spark, d):
     return su.transfer_distances(m, m).where("tree_id = 'A'")
 
 
-@query("s89_consensus_clades")
+def _consensus() -> str:
+    """The four trees one after the other."""
+    out = f"{NEAR}, sup AS (SELECT tree_id, node, size FROM w GROUP BY 1, 2, 3 HAVING 2 * (sum(CASE WHEN distance <= 0.1 * size THEN 1 ELSE 0 END) + 1) > 4), nn AS (SELECT * FROM w WHERE distance <= 0.1 * size), kA AS (SELECT * FROM sup WHERE tree_id = 'A')"
+    for last, t in zip("ABC", "BCD"):
+        out += f", k{t} AS (SELECT * FROM k{last} UNION ALL SELECT s.* FROM sup s WHERE s.tree_id = '{t}' AND NOT EXISTS (SELECT 1 FROM k{last} k JOIN nn ON nn.tree_id = k.tree_id AND nn.node = k.node WHERE nn.other_tree = '{t}' AND nn.other = s.node))"
+    return out + " SELECT tree_id, node, size FROM kD"
+
+
+@query("s89_consensus_clades", _consensus())
 def _(spark, d):
     return co.consensus_clades(nearest(spark, d), 0.1, co.ordered(edges(spark, d)))
 
@@ -112,7 +120,21 @@ def _(spark, d):
     return tr.topmost(paths(spark, d), edges(spark, d).where("length = 2 AND child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
 
 
-@query("s93_fitted_clades")
+def _fitted() -> str:
+    """Tree A has four levels, so the search ends after as many."""
+    out = f"""{CLO}, ae AS (SELECT parent AS up, child FROM e WHERE tree_id = 'A'), ow AS (SELECT node AS child, tip FROM m WHERE tree_id = 'A' UNION ALL SELECT tip, tip FROM t WHERE tree_id = 'A'),
+st AS (SELECT node AS set_id, tip FROM m WHERE tree_id = 'D' AND node LIKE 'n:%'), to_ AS (SELECT set_id, count(*) AS n FROM st GROUP BY 1), sz AS (SELECT child, count(*) AS m FROM ow GROUP BY 1),
+ins AS (SELECT st.set_id, ow.child, ae.up, sz.m, count(*) AS i FROM ow JOIN st ON st.tip = ow.tip JOIN sz ON sz.child = ow.child JOIN ae ON ae.child = ow.child GROUP BY 1, 2, 3, 4),
+now0 AS (SELECT set_id, n, 'R' AS up FROM to_)"""
+    for r in range(5):
+        out += f""", here{r} AS (SELECT now{r}.n, ins.* FROM now{r} JOIN ins ON ins.set_id = now{r}.set_id AND ins.up = now{r}.up),
+fits{r} AS (SELECT set_id FROM here{r} WHERE m <= 2 * i GROUP BY set_id, n HAVING n + sum(m) - 2 * sum(i) <= 0.2 * n),
+found{r} AS (SELECT set_id, up, child FROM here{r} WHERE m <= 2 * i AND set_id IN (SELECT set_id FROM fits{r})),
+now{r + 1} AS (SELECT set_id, n, child AS up FROM here{r} WHERE i >= (1 - 0.2) * n AND set_id NOT IN (SELECT set_id FROM fits{r}) AND child IN (SELECT up FROM ae))"""
+    return out + " " + " UNION ALL ".join(f"SELECT set_id, up AS \"at\", child FROM found{r}" for r in range(5))
+
+
+@query("s93_fitted_clades", _fitted())
 def _(spark, d):
     e = edges(spark, d)
     m = stash(members(spark, d), "clades")

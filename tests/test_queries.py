@@ -8,7 +8,7 @@ import pytest
 from phylomill import registry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["s01_fasta_records", "s04_digit_matrix", "s06_jplace_placements", "s08_regularized", "s09_mutation_dictionary", "s09_packed_words", "s15_variable_sites", "s17_exact_duplicates", "s20_reinserted", "s21_radius_neighbors", "s22_dna_radius", "s23_nearest", "s36_neighbor_votes", "s52_stitched", "s58_vote_shares", "s59_placed_edges", "s75_closure", "s79_bootstrap_alignment", "s94_deferred_sets"]
+QUICK = ["s01_fasta_records", "s04_digit_matrix", "s06_jplace_placements", "s08_regularized", "s09_mutation_dictionary", "s09_packed_words", "s15_variable_sites", "s17_exact_duplicates", "s20_reinserted", "s21_radius_neighbors", "s22_dna_radius", "s23_nearest", "s36_neighbor_votes", "s52_stitched", "s58_vote_shares", "s59_placed_edges", "s75_closure", "s79_bootstrap_alignment", "s94_deferred_sets", "s18_containment", "s27_links", "s27_links_by_both_sizes", "s30_resplit", "s31_split_quality", "s46_binary_outgroup_filter", "s47_retained_nodes", "s50_layer_summary", "s57_outgroup_sample", "s61_rerooted", "s61_moved_breaks", "s80_noise_weights", "s93_fitted_clades"]
 
 
 @pytest.fixture(scope="module")
