@@ -56,8 +56,16 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
 PHONE = r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![\p{L}0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
-SECRET = r"(?<![\p{L}0-9])[0-9a-fA-F]{32,128}(?![\p{L}0-9])|(?<=(?i:key|token|secret|password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{16,}|(?<=(?i:password|passwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?=[!-~]{0,63}[0-9])[!#-&(-~]{8,64}"
-PATTERN = f"{EMAIL}|{SECRET}|{IP}|{IPV6}|{IBAN}|{SSN}|{CARD}|{PHONE}|{NAME}"
+# a look behind for a keyword is dear, so it comes after cheap tests of what is around a place
+_AFTER = r"(?<=[:=\s\"'])"
+_KEYWORD = r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+SECRET = (
+    r"(?=[0-9a-fA-F]{32})(?<![\p{L}0-9])[0-9a-fA-F]{32,128}(?![\p{L}0-9])"
+    rf"|{_AFTER}(?:(?=[A-Za-z0-9+/_-]{{16}})(?<=(?i:key|token|secret|password|passwd){_KEYWORD}[A-Za-z0-9+/_-]{{16,}}"
+    rf"|(?=[!#-&(-~]{{8}})(?=[!-~]{{0,63}}[0-9])(?<=(?i:password|passwd){_KEYWORD}[!#-&(-~]{{8,64}})"
+)
+# one look ahead passes most places by all patterns of a sort
+PATTERN = rf"{EMAIL}|{SECRET}|(?=[0-9A-Fa-f]{{1,4}}:){IPV6}|(?=[+(0-9])(?:{IP}|{SSN}|{CARD}|{PHONE})|(?=\p{{Lu}})(?:{IBAN}|{NAME})"
 #: No mention is without a digit, an @, two colons, one of these or a keyword of a secret.
 HINTS = [*FEMALE, *MALE, *NEUTRAL]
 
@@ -223,6 +231,8 @@ def keyed(entities: DataFrame, key: str) -> DataFrame:
 
 def _distinct(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate): surrogates, of the parts of names stems, that are distinct and not in the corpus."""
+    # spread out by a number: few bytes, but a surrogate takes long to make
+    entities = stash(entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "entity"), "entities")
     made = stash(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(0), key)), "surrogates")
     # a stem gets an ending of one or two letters, which mustn't make it a part of the corpus
     own = F.when(F.col("kind") == "part", F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.substring("entity", F.lit(1), F.length("entity") - k))).otherwise(F.array("entity"))
