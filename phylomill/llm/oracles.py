@@ -112,3 +112,28 @@ def _op10() -> str:
 
 
 OP10 = _op10()
+
+
+_CRC_TABLE = "t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc(text: str) -> str:
+    """The CRC-32 of an expression's UTF-8 bytes; the CTE ``t`` has the table of one byte."""
+    h, digit = f"hex(encode({text}))", lambda i: f"(instr('0123456789ABCDEF', substring({h}, {i}, 1)) - 1)"
+    octets = f"list_transform(range(0, len({h}) // 2), lambda i: {digit('2 * i + 1')} * 16 + {digit('2 * i + 2')})"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+OP13 = rf"""
+WITH {_CRC_TABLE},
+a AS (SELECT doc_id AS id, 1 AS side, text FROM documents UNION ALL SELECT item_id, 2, text FROM benchmark),
+l AS (SELECT id, side, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM a),
+w AS (SELECT id, side, unnest(ws) AS word FROM l),
+k AS MATERIALIZED (SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w) q, t),
+b AS (SELECT bucket, count(*) FILTER (WHERE side = 1) AS s, count(*) FILTER (WHERE side = 2) AS t FROM w JOIN k ON k.word = w.word GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((s + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM b),
+f AS (SELECT id, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM w JOIN k ON k.word = w.word JOIN g ON g.bucket = k.bucket WHERE side = 1 GROUP BY id),
+r AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, substring(sha256(concat('2024:', doc_id)), 1, 8) AS h FROM documents LEFT JOIN f ON f.id = doc_id),
+z AS (SELECT doc_id, n, weight, weight + CAST(floor(-1000 * ln(-ln((CAST(list_reduce(list_transform(range(1, 9), lambda i: instr('0123456789abcdef', substring(h, i, 1)) - 1), lambda x, y: 16 * x + y) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM r),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS want FROM z WHERE n >= 20)
+SELECT z.doc_id, n AS n_features, weight, score, CASE WHEN place <= want THEN place END AS rank FROM z LEFT JOIN o ON o.doc_id = z.doc_id"""

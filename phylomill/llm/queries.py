@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phylomill.llm import automaton_dedup, decontaminate, line_dedup, near_dedup, oracles, quality_classifier, quality_rules, sentencepieces, suffix_dedup, surrogates, token_counts
+from phylomill.llm import automaton_dedup, decontaminate, importance, line_dedup, near_dedup, oracles, quality_classifier, quality_rules, sentencepieces, suffix_dedup, surrogates, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,8 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": sentencepieces.op8_sentencepiece,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": oracles.OP2, "op4_automaton_dedup": oracles.OP4, "op6_near_dedup": oracles.OP6, "op10_quality_rules": oracles.OP10}
+    return {"op2_suffix_dedup": oracles.OP2, "op4_automaton_dedup": oracles.OP4, "op6_near_dedup": oracles.OP6, "op10_quality_rules": oracles.OP10, "op13_importance_resampling": oracles.OP13}
