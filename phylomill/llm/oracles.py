@@ -137,3 +137,30 @@ r AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, substri
 z AS (SELECT doc_id, n, weight, weight + CAST(floor(-1000 * ln(-ln((CAST(list_reduce(list_transform(range(1, 9), lambda i: instr('0123456789abcdef', substring(h, i, 1)) - 1), lambda x, y: 16 * x + y) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM r),
 o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS want FROM z WHERE n >= 20)
 SELECT z.doc_id, n AS n_features, weight, score, CASE WHEN place <= want THEN place END AS rank FROM z LEFT JOIN o ON o.doc_id = z.doc_id"""
+
+
+OP12 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+l AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+') AS ws FROM documents),
+r AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS run FROM l) q GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT run, c, length(run) AS k, {_crc("concat(doc_id, ':', run)")} AS h FROM r, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substring(run, 1, h % k), substring(run, h % k + 2)) ELSE run END AS word, c FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+d AS MATERIALIZED (SELECT word, n, p, concat(substring(word, 1, p), substring(word, p + 2)) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS p FROM v) q),
+e AS MATERIALIZED (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+o AS (SELECT word, near, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM e),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN o.n >= 2 * v.n THEN near END AS form, CASE WHEN o.n >= 2 * v.n THEN o.n END AS form_n FROM v LEFT JOIN o ON o.word = v.word AND place = 1),
+x AS (SELECT word, word AS root FROM f UNION SELECT x.word, f.form FROM x JOIN f ON f.word = x.root WHERE f.form IS NOT NULL),
+z AS (SELECT x.word, x.root FROM x JOIN f ON f.word = x.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON z.word = f.word"""
+
+
+OP11 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+n AS MATERIALIZED (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS r FROM v WHERE label IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS p, b.vec_id AS q FROM n a JOIN n b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.r * b.r) >= 0.93),
+r AS (SELECT p AS vec_id, q AS root FROM e UNION SELECT r.vec_id, e.q FROM r JOIN e ON e.p = r.root),
+o AS (SELECT vec_id, min(root) AS c FROM r GROUP BY vec_id),
+k AS (SELECT p AS vec_id, count(*) AS n_links FROM e GROUP BY p)
+SELECT d.vec_id, coalesce(n_links, 0) AS n_links, least(coalesce(c, d.vec_id), d.vec_id) AS component_id, coalesce(c, d.vec_id) >= d.vec_id AS kept
+FROM embeddings d LEFT JOIN o ON o.vec_id = d.vec_id LEFT JOIN k ON k.vec_id = d.vec_id"""
