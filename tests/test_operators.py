@@ -268,19 +268,6 @@ def stash_weighted(items):
     return stash(nb.weighted(items), "items")
 
 
-def test_large_clusters_are_solved_in_parts(spark):
-    r = random.Random(6)
-    table = [(1, f"t{t:02d}", s, r.randint(0, 3)) for t in range(40) for s in range(12) if r.random() < 0.8] + [(2, f"u{t}", s, 1) for t in range(3) for s in range(4)]
-    df = spark.createDataFrame(table, "cluster_id long, tip string, site int, state int")
-    for kind in ("indel", "dna"):
-        out = so.solve(df.withColumn("state", F.expr("shiftleft(1, state)")) if kind == "dna" else df, kind, most=8).collect()
-        for c, n in ((1, 40), (2, 3)):
-            own = [x for x in out if x.cluster_id == c]
-            nodes, up = {x.node for x in own}, {x.node: x.parent for x in own}
-            assert len(own) == len(nodes) == 2 * n - 1 and sum(p is None for p in up.values()) == 1
-            assert nodes - set(up.values()) == {x[1] for x in table if x[0] == c} and {p for p in up.values() if p} <= nodes
-
-
 def test_conflicts_of_all_kinds(spark):
     r = random.Random(9)
     for kind, states in (("indel", [0, 1, 2]), ("binary", [1, 2]), ("dna", [1, 2, 4, 8, 3, 15, 16])):
