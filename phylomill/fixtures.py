@@ -12,6 +12,10 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_cu
 
 MUTATIONS = f"SELECT tip_id, site * 100 + state AS mut_id FROM ({CHARACTERS}) c WHERE state > 0"
 
+#: The same cells as set bits (state 2) and as bases, one state being ambiguous.
+CHARACTER_BITS = f"SELECT tip_id, site, 2 AS state FROM ({CHARACTERS}) c WHERE state > 2"
+CHARACTER_BASES = f"SELECT tip_id, site, CASE state WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 15 END AS state FROM ({CHARACTERS}) c"
+
 WEIGHTS = f"""
 SELECT r.rep, m.site, m.state, 0.5E0 + ((m.site * 7919 + m.state * 104729 + r.rep * 1299709) % 1024) / 1024.0E0 AS weight
 FROM (SELECT DISTINCT site, state FROM ({CHARACTERS}) c WHERE state > 0) m

@@ -303,6 +303,59 @@ def _(spark, d):
     return by_segment(spark, d)[1]
 
 
+def _by_kind(bits: str, up: str, alone: str, met: str, cutoff: int) -> str:
+    """The segments' trees of other data: states of the segments and of the root, and conflicts as a count less another."""
+    return f"""
+{_BASE}, {_LINKS}, {_COMP}, {_IDS}, c AS ({bits}),
+g AS (SELECT k.cluster_id, k.tip_id, cu.c_mktsegment AS seg FROM k JOIN {{customer}} cu ON cu.c_custkey = k.tip_id WHERE k.cluster_id > 0),
+z1 AS (SELECT cluster_id, seg, count(*) AS size FROM g GROUP BY 1, 2), z2 AS (SELECT cluster_id, count(DISTINCT seg) AS size FROM g GROUP BY 1),
+a1 AS (SELECT g.cluster_id, g.seg, site, {up} AS state, count(*) AS have FROM c JOIN g ON g.tip_id = c.tip_id GROUP BY 1, 2, 3),
+s1 AS (SELECT a1.* FROM a1 JOIN z1 ON z1.cluster_id = a1.cluster_id AND z1.seg = a1.seg WHERE {alone} <> 2 OR have = size),
+a2 AS (SELECT cluster_id, site, {up} AS state, count(*) AS have FROM s1 GROUP BY 1, 2),
+s2 AS (SELECT a2.* FROM a2 JOIN z2 ON z2.cluster_id = a2.cluster_id WHERE {alone} <> 2 OR have = size),
+tt AS (SELECT DISTINCT tip_id FROM c),
+m2 AS (SELECT z2.cluster_id, count(CASE WHEN s2.state IN (1, 2, 4, 8) THEN 1 END) AS most FROM z2 LEFT JOIN s2 ON s2.cluster_id = z2.cluster_id GROUP BY 1),
+l2 AS (SELECT s2.cluster_id, c.tip_id, count(*) AS less FROM s2 JOIN c ON c.site = s2.site WHERE {met.format(a="s2", b="c")} GROUP BY 1, 2),
+near AS (SELECT m2.cluster_id, tt.tip_id FROM m2 CROSS JOIN tt LEFT JOIN l2 ON l2.cluster_id = m2.cluster_id AND l2.tip_id = tt.tip_id LEFT JOIN g ON g.cluster_id = m2.cluster_id AND g.tip_id = tt.tip_id WHERE most - coalesce(less, 0) < {cutoff} AND g.tip_id IS NULL),
+m1 AS (SELECT z1.cluster_id, z1.seg, count(CASE WHEN s1.state IN (1, 2, 4, 8) THEN 1 END) AS most FROM z1 LEFT JOIN s1 ON s1.cluster_id = z1.cluster_id AND s1.seg = z1.seg GROUP BY 1, 2),
+l1 AS (SELECT s1.cluster_id, s1.seg, c.tip_id, count(*) AS less FROM s1 JOIN c ON c.site = s1.site WHERE {met.format(a="s1", b="c")} GROUP BY 1, 2, 3)
+SELECT CAST(m1.cluster_id AS STRING) AS tree_id, concat('s:', m1.seg) AS node FROM m1 LEFT JOIN near ON near.cluster_id = m1.cluster_id LEFT JOIN l1 ON l1.cluster_id = m1.cluster_id AND l1.seg = m1.seg AND l1.tip_id = near.tip_id
+GROUP BY 1, 2 HAVING min(CASE WHEN near.tip_id IS NULL THEN 99 ELSE most - coalesce(less, 0) END) >= {cutoff}"""
+
+
+def retained_by_segment(spark, d, kind: str, source: str, cutoff: int):
+    """Like ``by_segment`` for bits (what all below have) and bases (what all below allow, else what any has)."""
+    k = clustered(spark, d).where("cluster_id > 0")
+    seg = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("tip_id"), F.concat(F.lit("s:"), "c_mktsegment").alias("node"))
+    g = stash(k.join(seg, "tip_id").select(F.col("cluster_id").cast("string").alias("tree_id"), "node", F.concat(F.lit("t:"), "tip_id").alias("tip"), "tip_id"), "segments")
+    edges = stash(g.select("tree_id", F.lit("R").alias("parent"), F.col("node").alias("child")).distinct().unionByName(g.select("tree_id", F.col("node").alias("parent"), F.col("tip").alias("child"))), "edges")
+    c = stash(fx.table(spark, d, source), "characters")
+    below, parent = g.join(c, "tip_id").select("tree_id", "node", "site", "state"), None
+    states = []
+    for _ in range(2):  # the segments of the tips, and the roots of the segments
+        both = F.bit_and("state")
+        up = below.groupBy("tree_id", "node", "site").agg(F.when(both != 0, both).otherwise(F.bit_or("state")).alias("state"), F.count("*").alias("have"))
+        if kind == "binary":
+            size = (g if parent is None else g.select("tree_id", F.lit("R").alias("node"), F.col("node").alias("x")).distinct()).groupBy("tree_id", "node").agg(F.count("*").alias("size"))
+            up = up.join(size, ["tree_id", "node"]).where("have = size")
+        states.append(stash(up.select("tree_id", "node", "site", "state"), "states"))
+        parent = F.lit("R")
+        below = states[-1].withColumn("node", parent)
+    roots = states[1].unionByName(g.select("tree_id", F.lit("R").alias("node"), F.lit(-1).alias("site"), F.lit(so.RULES[kind][2]).alias("state")).distinct())
+    near = og.filtered(roots, c, cutoff, kind).join(g.select("tree_id", "tip_id"), ["tree_id", "tip_id"], "left_anti")
+    return og.retained(edges, stash(tr.closure(edges), "paths"), states[0], c, stash(near, "near"), cutoff, kind)
+
+
+@query("s47_binary_retained_nodes", _by_kind(fx.CHARACTER_BITS, "2", "2", "true", 2))
+def _(spark, d):
+    return retained_by_segment(spark, d, "binary", fx.CHARACTER_BITS, 2)
+
+
+@query("s47_dna_retained_nodes", _by_kind(fx.CHARACTER_BASES, "CASE WHEN bit_and(state) <> 0 THEN bit_and(state) ELSE bit_or(state) END", "1", "{a}.state & {b}.state & 15 <> 0", 2))
+def _(spark, d):
+    return retained_by_segment(spark, d, "dna", fx.CHARACTER_BASES, 2)
+
+
 @query("s48_broken_trees", f"{_SEGMENTS} SELECT CAST(g.cluster_id AS STRING) AS tree_id, concat('t:', CAST(g.tip_id AS STRING)) AS tip, CASE WHEN ok.seg IS NULL THEN '0' ELSE concat('s:', ok.seg) END AS piece FROM g LEFT JOIN ok ON ok.cluster_id = g.cluster_id AND ok.seg = g.seg")
 def _(spark, d):
     return og.broken(*by_segment(spark, d))
@@ -336,6 +389,17 @@ def _(spark, d):
     return lineage.build(fx.table(spark, d, C), layers(spark, d))
 
 
+@query("s51_binary_build")
+def _(spark, d):
+    """States over 2 as set bits, of which a tip may have none."""
+    return lineage.build(fx.table(spark, d, fx.CHARACTER_BITS), layers(spark, d), 2, 1, "binary")
+
+
+@query("s51_dna_build")
+def _(spark, d):
+    return lineage.build(fx.table(spark, d, fx.CHARACTER_BASES), layers(spark, d), 3, 1, "dna")
+
+
 @query("s32_automatic_split")
 def _(spark, d):
     """The radii that the search goes through, from 10 mutations on."""
