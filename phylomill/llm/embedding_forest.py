@@ -239,7 +239,7 @@ def _split(routed: DataFrame, threshold: float, leaf: int, most: int) -> tuple[D
         if large.isEmpty():
             return routed, tight
         fit = max(2 * LEAST_FIT, min(4_096, SAMPLE_BYTES // (8 * max(1, routed.select(F.max(F.size("v"))).first()[0]))))
-        drawn = members(routed).join(large, "cell").where(F.pmod(F.xxhash64("k1", "cell"), F.lit(1 << 30)) < F.lit(1 << 30) * fit / F.col("n"))
+        drawn = members(routed).join(large, "cell").where(F.pmod(F.xxhash64("k1", "cell"), F.lit(1 << 30)) < F.lit(float(fit << 30)) / F.col("n"))
         drawn = drawn.select("cell", "v", "ball", F.greatest(F.lit(1.0), F.col("n") / fit).alias("scale"))
         own = stash(drawn.groupBy("cell").applyInArrow(_own_tree(threshold, leaf), "cell long, low array<double>, high array<double>, child array<long>"), "own-trees")
         # a cell without a split is tight, or its vectors are the same but for rounding
