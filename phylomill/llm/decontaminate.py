@@ -5,13 +5,15 @@ after a number become typed placeholders. Capitalised words in a row are one nam
 number, so that "Anna Smith" and "Bert", or "forty two" and "7", fill the same slot. Windows of ``WIDTH`` such words are joined by hash between documents and benchmark items, so a
 question with other numbers or names still matches. Places are counted in words after all runs are taken together,
 so that names of different lengths don't shift them. Matches of a document and an item on one diagonal are taken
-together; their slots must be consistent: an item's value always stands for one value of the document and the
-other way round. A document is contaminated by an item if consistent windows cover ``SHARE`` of the item's, or of
+together, and then its diagonals, the longest first; their slots must be consistent: an item's value always stands for
+one value of the document and the other way round, and a diagonal that contradicts longer ones doesn't count. A document is contaminated by an item if consistent windows cover ``SHARE`` of the item's, or of
 those that aren't mostly placeholders.
 
 A window has up to three keys. In the first, a capitalised word that opens a sentence, or one in capitals, is a plain
 word; in the second, every word with a capital letter in front (Latin, Greek, Cyrillic) is a name, so that names
-match wherever they stand; slots are held for consistency with and without the second. The third has all words
+match wherever they stand, but for nouns: articles, and inside a sentence what follows an article or a number. A word that
+opens a sentence is no part of the name behind it if the document has that name elsewhere. Particles inside a name belong
+to it. Slots are held for consistency with and without the second. The third has all words
 as they are, so that a verbatim copy always matches.
 
 Benchmark windows are sent to all executors as sorted hashes while they are at most ``MOST_WINDOWS`` (32 MB), so that
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phylomill.llm import textscan as ts
@@ -37,7 +39,7 @@ from phylomill.stash import stash
 WIDTH, LEAST = 8, 5
 SHARE = 0.5
 MOST_WINDOWS = 4_000_000
-# Units that count as such after a number.
+# Units that count as such after a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
     "mg g kg t oz lb lbs gram grams kilogram kilograms ton tons tonne tonnes ounce ounces pound pounds "
@@ -45,7 +47,7 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons kmh mph percent dollars dollar euro euros cents cent degrees celsius fahrenheit "
     "stunde stunden tag tage jahr jahre minuten heure heures jour jours an ans minutos hora horas horas día días año años"
 ).split()
-# Words that are numbers.
+# Words that are numbers.
 NUMBERS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
@@ -53,6 +55,14 @@ NUMBERS = (
     "deux trois quatre cinq huit neuf dix onze douze vingt trente quarante cinquante cent mille "
     "dos tres cuatro cinco siete ocho nueve diez once doce veinte treinta cuarenta cincuenta cien mil"
 ).split()
+# What stands before a capitalised noun rather than a name.
+ARTICLES = (
+    "der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner am im zum zur vom beim ins ans "
+    "mein meine meinen meinem dein deine sein seine seinen seinem ihr ihre ihren ihrem unser unsere jeder jede jedes dieser diese dieses diesen the le les une el los las"
+).split()
+# What stands inside a name, and what may follow it there.
+PARTICLES = "de del della di da van von zu".split()
+SECOND = "de den der la las los".split()
 WORD, NUMBER, NAME, UNIT = range(4)
 _PLACE = ts.mix(np.arange(1, 5, dtype=np.uint64))
 _KEEP = np.zeros(256, bool)
@@ -131,13 +141,27 @@ class Template:
         after = np.zeros(len(real), bool)
         after[1:] = self.kind[:-1] == NUMBER
         self.kind[after & (self.kind == WORD) & ts.among(_keys("units", UNITS), h)] = UNIT
+        # inside a sentence, a capitalised word behind an article or a number is a noun
+        article = ts.among(_keys("articles", ARTICLES), h)
+        noun = np.zeros(len(real), bool)
+        noun[1:] = (article[:-1] | (self.kind[:-1] == NUMBER)) & ~opens[real[1:]]
+        small = ~capital[real]
+        inner, second = (ts.among(_keys(name, words_), h) & small for name, words_ in (("particles", PARTICLES), ("second", SECOND)))
+        noun[2:] &= ~(inner[:-2] & second[1:-1])
+        self.kind[noun & (self.kind == NAME)] = WORD
         self.plain = h
-        self.wide = np.where((self.kind == WORD) & capital[real], NAME, self.kind).astype(np.int8)
+        self.wide = np.where((self.kind == WORD) & capital[real] & ~noun & ~article, NAME, self.kind).astype(np.int8)
+        for k in (self.kind, self.wide):
+            name = k == NAME
+            one = np.flatnonzero(name[:-2] & inner[1:-1] & name[2:]) + 1
+            two = np.flatnonzero(name[:-3] & inner[1:-2] & second[2:-1] & name[3:]) + 1
+            k[np.concatenate((one, two, two + 1))] = NAME
         self.data = data
         # a run of names doesn't go on behind a full stop
         breaks = np.concatenate([[True], _STOP[data[words.end[real][:-1] - 1]]]) if len(real) else np.zeros(0, bool)
         every = np.arange(len(real))
-        heads = [_joined(k, spelled, self.first, breaks) for k in (self.kind, self.wide)] + [every]
+        apart = breaks | self._own_names(opens[real])
+        heads = [_joined(k, spelled, self.first, b) for k, b in ((self.kind, breaks), (self.wide, apart))] + [every]
         self.views = [(kind, at, np.searchsorted(at, self.first)) for kind, at in zip((self.kind, self.wide, None), heads)]
         # the place of a word counts the runs of the second view; texts that differ in the length of names agree in it
         is_head = np.zeros(len(real), np.int64)
@@ -145,6 +169,23 @@ class Template:
         self.place = np.cumsum(is_head) - 1
         self.count = np.diff(self.views[1][2])
 
+    def _own_names(self, opens: np.ndarray) -> np.ndarray:
+        """Names right behind a capitalised word that opens a sentence, which their document also has without this word: the
+        opening word is no part of them."""
+        out = np.zeros(len(opens), bool)
+        doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)).astype(np.uint64)
+        name = np.flatnonzero(self.wide == NAME)
+        if not len(name):
+            return out
+        inside = (name > 0) & (name > self.first[:-1][doc[name].astype(np.int64)])
+        before = np.where(inside, self.plain[name - 1], np.uint64(0))
+        alone = ts.mix(self.plain[name] + doc[name])
+        _, group, every = np.unique(alone, return_inverse=True, return_counts=True)
+        _, pair, same = np.unique(ts.mix(alone + before), return_inverse=True, return_counts=True)
+        follows = inside & opens[name - 1] & (self.wide[name - 1] == NAME)
+        out[name[follows & (every[group] > same[pair])]] = True
+        return out
+
     def windows(self, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Starts (in template words of the view), hashes and documents of the windows that lie in one document, by key."""
         out = []
@@ -244,20 +285,41 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int =
     places = own.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("place").alias("n"), F.countDistinct(F.when(F.col("key") < 2, F.col("place"))).alias("n_light"))
     found = named(docs).mapInArrow(_windows(widths, keys, width, least), _SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("own"), F.col("key").alias("doc_key"))
     heavy = own.groupBy("id", "place").agg((F.min("key") == 2).alias("heavy"))
+    # written, so that the join by hash reads two plain exchanges and a window of many items and documents can be split
+    sure = own.where("key = 0").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("sure"))
+    bench = own.join(heavy, ["id", "place"]).join(sure, "id", "left").withColumn("sure", F.coalesce("sure", F.array().cast("array<string>")))
+    bench = stash(bench.withColumnRenamed("id", "item_id"), "windows")
     # a verbatim window has the item's own values
-    found = found.join(own.join(heavy, ["id", "place"]).withColumnRenamed("id", "item_id"), "hash").withColumn("own", F.coalesce("own", "slots")).where(F.size("own") == F.size("slots"))
+    found = found.join(bench, "hash").withColumn("own", F.coalesce("own", "slots")).where(F.size("own") == F.size("slots"))
     found = found.withColumn("pairs", F.arrays_zip(F.col("slots").alias("x"), F.col("own").alias("y")))
-    # slots are consistent with the second keys or without them
+    # slots are consistent with the second keys, or without them; then a second key's values still hold for what is a
+    # name, a number or a unit of the item by the first as well
     second = (F.col("key") == 1) | (F.col("doc_key") == 1)
-    found = found.withColumn("wide", F.explode(F.when(second, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    lines = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("diagonal"), "wide").agg(F.collect_set(F.struct("place", "heavy")).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    side = lambda s: F.size(F.array_distinct(F.transform("pairs", lambda p: p[s])))
-    lines = lines.where((side("x") == F.size("pairs")) & (side("y") == F.size("pairs")))
-    lines = lines.withColumn("exact", F.forall("pairs", lambda p: p["x"] == p["y"]))
-    whole = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.coalesce(F.min(F.when(~F.col("wide"), F.col("exact"))), F.min("exact")).alias("exact"))
+    row = lambda wide, counts, pairs: F.struct(F.lit(wide).alias("wide"), counts.alias("counts"), pairs.alias("pairs"))
+    held = F.filter("pairs", lambda p: F.array_contains("sure", p["x"]))
+    found = found.withColumn("r", F.explode(F.array(row(True, F.lit(True), F.col("pairs")), row(False, ~second, F.when((F.col("key") == 1) & (F.col("doc_key") == 1), held).when(second, F.slice("pairs", 1, 0)).otherwise(F.col("pairs"))))))
+    found = found.select("doc_id", "item_id", "r.*", "place", "heavy", (F.col("at") - F.col("place")).alias("diagonal"))
+    lines = found.groupBy("doc_id", "item_id", "wide", "diagonal").agg(F.collect_set(F.when(F.col("counts"), F.struct("place", "heavy"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    lines = lines.where(_consistent(F.col("pairs")))
+    # the diagonals of a pair, the longest first; one whose slots contradict those before it doesn't count
+    each = F.reverse(F.array_sort(F.collect_list(F.struct(F.size("places").alias("n"), "diagonal", "places", "pairs"))))
+
+    def together(s, d):
+        pairs = F.array_union(s["pairs"], d["pairs"])
+        return F.when(_consistent(pairs), F.struct(F.array_union(s["places"], d["places"]).alias("places"), pairs.alias("pairs"))).otherwise(s)
+
+    whole = lines.groupBy("doc_id", "item_id", "wide").agg(each.alias("each")).withColumn("each", F.aggregate("each", F.struct(F.expr("slice(each[0].places, 1, 0)").alias("places"), F.expr("slice(each[0].pairs, 1, 0)").alias("pairs")), together))
+    whole = whole.select("doc_id", "item_id", "wide", "each.places", F.forall("each.pairs", lambda p: p["x"] == p["y"]).alias("exact"))
     of_light = F.when(F.col("n_light") > 0, F.size(F.filter("places", lambda p: ~p["heavy"])) / F.col("n_light"))
-    whole = whole.join(places, "item_id").select("doc_id", "item_id", F.greatest(F.size("places") / F.col("n"), of_light).alias("coverage"), "exact")
-    return whole.where(F.col("coverage") >= share)
+    whole = whole.join(places, "item_id").select("doc_id", "item_id", "wide", F.greatest(F.size("places") / F.col("n"), of_light).alias("coverage"), "exact")
+    best = F.max_by(F.struct("coverage", "exact"), F.struct("coverage", ~F.col("wide"))).alias("best")
+    return whole.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.coverage", "best.exact").where(F.col("coverage") >= share)
+
+
+def _consistent(pairs: Column) -> Column:
+    """Whether no value of either side has two of the other."""
+    side = lambda x: F.size(F.array_distinct(F.transform(pairs, lambda p: p[x])))
+    return (side("x") == F.size(pairs)) & (side("y") == F.size(pairs))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -120,3 +120,32 @@ def test_clashing_names_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, gone_id int")
     it = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert sorted((r.doc_id or 0, r.gone_id) for r in dc.decontaminate(df, it).collect()) == [(0, 1), (2, 3)]
+
+
+def test_names_behind_an_opening_word(spark):
+    items = [(1, "Anna has 12 red apples in her basket. Later Anna buys 7 pears at the market and eats them.")]
+    docs = [
+        (1, "Bert has 30 red apples in her basket. Later Bert buys 8 pears at the market and eats them."),
+        (2, "Bert has 30 red apples in her basket. Later Emil buys 8 pears at the market and eats them."),
+        (3, "Bert Jones has 30 red apples in her basket. Later Bert Jones buys 8 pears at the market and eats them."),
+    ]
+    assert set(run(spark, docs, items)[2]) == {(1, 1), (3, 1)}
+
+
+def test_common_nouns_are_no_names(spark):
+    items = [(1, "Der Vater kauft am Morgen drei Brote und danach gibt Anna dem Kind zwei Brote davon ab.")]
+    docs = [
+        (1, "Der Onkel kauft am Abend vier Hefte und danach gibt Anna dem Lehrer fünf Hefte davon ab."),
+        (2, "Der Vater kauft am Morgen vier Brote und danach gibt Bert dem Kind fünf Brote davon ab."),
+    ]
+    assert set(run(spark, docs, items)[2]) == {(2, 1)}
+
+
+def test_diagonals_must_agree(spark):
+    """The halves of an item stand in a document with other words between them, once with one buyer and once with two."""
+    items = [(1, "when Anna bought 12 coins at the old market she was glad and because Anna bought 12 coins she had to carry them home in a bag")]
+    first, second = "when {} bought {} coins at the old market she was glad", "and because {} bought {} coins she had to carry them home in a bag"
+    docs = [(1, first.format("Bert", 30) + " for a long long time indeed " + second.format("Bert", 30)), (2, first.format("Bert", 30) + " for a long long time indeed " + second.format("Emil", 44))]
+    df, it, _ = run(spark, docs, items)
+    got = {r.doc_id: r.coverage for r in dc.matches(df, it, share=0.0).collect()}
+    assert got[1] > 0.6 > 0.5 > got[2] > 0
