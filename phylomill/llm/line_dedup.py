@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import LongType, StructField, StructType
 
 from phylomill.llm.quality_rules import BLANK
-from phylomill.llm.repeats import unused
+from phylomill.llm.repeats import by_place, quoted, unused
 from phylomill.stash import stash
 
 MIN_WORDS = 20
@@ -238,9 +238,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("n_deleted")
     gone, own = unused(docs, "gone_"), unused(docs, "id_")
     found = blocks(docs, min_words).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "n")).alias(gone))
-    out = docs.join(found.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(own), "left").select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns], gone)
-    schema = StructType([*docs.schema.fields, StructField("n_deleted", LongType())])
-    return out.mapInArrow(_delete(gone), schema)
+    out = docs.join(found.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(own), "left").select(*quoted(docs.columns), gone)
+    return by_place(out, _delete(gone), StructType([*docs.schema.fields, StructField("n_deleted", LongType())]), ("text", gone))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

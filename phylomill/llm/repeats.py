@@ -18,6 +18,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from phylomill.llm import textscan as ts
 from phylomill.stash import stash
@@ -56,6 +57,23 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
+def by_place(docs: DataFrame, f: Callable, schema: StructType, apart: tuple[str, ...] = ()) -> DataFrame:
+    """``docs.mapInArrow(f, schema)`` for columns of any name, such as one with a dot or a backtick.
+
+    mapInArrow resolves names itself and takes them for paths; so all columns but those in ``apart`` go by their places,
+    there and back. ``schema`` has the columns of ``docs`` in their order, and new ones behind them.
+    """
+    short = {c: c if c in apart else f"c{k}_" for k, c in enumerate(docs.columns)}
+    fields = [StructField(short.get(x.name, x.name), x.dataType, x.nullable) for x in schema.fields]
+    out = docs.toDF(*short.values()).mapInArrow(f, StructType(fields))
+    return out.toDF(*schema.names)
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column names as ``select`` takes them."""
+    return ["`" + c.replace("`", "``") + "`" for c in names]
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id isn't among the distinct ``ids``; rows without a doc_id stay."""
     name = unused(docs, "gone_id")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from phylomill.llm import textscan as ts
+from phylomill.llm.repeats import by_place, quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = 0x2581
@@ -288,14 +289,14 @@ def _with(docs: DataFrame, *new: StructField) -> tuple[DataFrame, StructType]:
     names = {f.name.lower() for f in new}
     fields = [f for f in docs.schema.fields if f.name.lower() not in names]
     if len(fields) < len(docs.columns):
-        docs = docs.select(*["`" + f.name.replace("`", "``") + "`" for f in fields])
+        docs = docs.select(*quoted([f.name for f in fields]))
     return docs, StructType([*docs.schema.fields, *new])
 
 
 def encode(docs: DataFrame, path: str = MODEL, name: str = "pieces") -> DataFrame:
     """``docs`` with the ids of each text's pieces in ``name`` (array<int>)."""
     docs, schema = _with(docs, StructField(name, ArrayType(IntegerType())))
-    return docs.mapInArrow(_encode(path, name), schema)
+    return by_place(docs, _encode(path, name), schema, ("text",))
 
 
 def decode(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", name: str = "decoded") -> DataFrame:
@@ -307,7 +308,7 @@ def decode(rows: DataFrame, path: str = MODEL, pieces: str = "pieces", name: str
             yield batch.append_column(name, pa.array([m.decode(x or []) for x in batch.column(pieces).to_pylist()], pa.string()))
 
     rows, schema = _with(rows, StructField(name, StringType()))
-    return rows.mapInArrow(run, schema)
+    return by_place(rows, run, schema, (pieces,))
 
 
 def _digest(path: str):
@@ -340,7 +341,7 @@ def checked(docs: DataFrame, path: str = MODEL) -> DataFrame:
             yield batch.append_column("round_trip", pa.array(same, pa.bool_()))
 
     docs, schema = _with(docs, StructField("pieces", ArrayType(IntegerType())), StructField("round_trip", BooleanType()))
-    return docs.mapInArrow(run, schema)
+    return by_place(docs, run, schema, ("text",))
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ The parts of names are keyed each by itself, whatever the title and the other pa
 The first of several parts ends by gender; a last or only part, a surname, is the same under all titles. Stems are
 distinct and get a syllable more with each attempt, so any number of names has distinct surrogates. Where a text names
 somebody with a title, the same name's parts are replaced in the rest of the text as well, with or without a title, so
-that all mentions still tell of one person.
+that all mentions still tell of one person; but for parts that the corpus has as ordinary words in lower case (Will, May),
+which are replaced behind a title only. Hyphens and apostrophes of a part stay.
 
 Surrogates are made for the distinct entities and checked: one that two entities of a kind share, or that is an
 entity of the corpus itself, is made anew with the next attempt for all but the least entity, until none is left.
@@ -28,15 +29,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylomill.llm.repeats import unused
+from phylomill.llm.repeats import quoted, unused
 from phylomill.stash import stash
 
+LEAST_PLAIN = 2  # documents that have an ordinary word in lower case, at least
+MOST_PARTS = 500_000  # parts of names that are sent to all executors (under 30 MB), and joined beyond
 LATE = 16  # attempts from which on surrogates grow
-# Titles and the gender they tell.
+# Titles and the gender they tell.
 FEMALE = "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora Srta Doña Госпожа Κυρία".split()
 MALE = "Mr Sir Herr Monsieur Sr Señor Don Господин Κύριος".split()
-NEUTRAL = "Dr Prof Mx".split()
-# Alphabets and name syllables by script.
+NEUTRAL = "Dr Prof Professor President Mx".split()
+# Alphabets and name syllables by script.
 ALPHABETS = {"[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "[0-9]": "0123456789", "[à-öø-ÿ]": "àâäçèéêëíïñóôöúüÿ", "[À-ÖØ-Þ]": "ÀÂÄÇÈÉÊËÍÏÑÓÔÖÚÜÞ", "[а-я]": "абвгдежзиклмнопрстуфхцчшэюя", "[А-Я]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω", "[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 HEX = {"[0-9]": "0123456789", "[a-f]": "abcdef", "[A-F]": "ABCDEF"}
 SYLLABLES = {
@@ -59,7 +62,10 @@ PHONE = r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .
 # a look behind for a keyword is dear, so it comes after cheap tests of what is around a place
 _AFTER = r"(?<=[:=\s\"'])"
 _KEYWORD = r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+# Beginnings that tell a secret by themselves, and are kept.
+PREFIXES = ("AKIA", "ASIA", "sk-", "ghp_", "xoxb-", "eyJ")
 SECRET = (
+    rf"(?=[AEaegksx])(?<![\p{{L}}0-9_-])(?:A[KS]IA[0-9A-Z]{{16}}|(?:sk-|ghp_|xoxb-)[A-Za-z0-9_-]{{20,200}}|eyJ[A-Za-z0-9_-]{{8,}}(?:\.[A-Za-z0-9_-]{{8,}}){{1,2}})(?![\p{{L}}0-9_-])|"
     r"(?=[0-9a-fA-F]{32})(?<![\p{L}0-9])[0-9a-fA-F]{32,128}(?![\p{L}0-9])"
     rf"|{_AFTER}(?:(?=[A-Za-z0-9+/_-]{{16}})(?<=(?i:key|token|secret|password|passwd){_KEYWORD}[A-Za-z0-9+/_-]{{16,}}"
     rf"|(?=[!#-&(-~]{{8}})(?=[!-~]{{0,63}}[0-9])(?<=(?i:password|passwd){_KEYWORD}[!#-&(-~]{{8,64}})"
@@ -72,7 +78,7 @@ HINTS = [*FEMALE, *MALE, *NEUTRAL]
 
 def _hinted(text: Column) -> Column:
     """Whether a text may have a mention: plain searches, many times as fast as the pattern."""
-    out = text.rlike("[0-9@]|::") | text.rlike("(?i)key|token|secret|passw")
+    out = text.rlike("[0-9@]|::") | text.rlike("(?i)key|token|secret|passw|sk-|ghp_|xoxb-|eyJ")
     for word in HINTS:
         out = out | text.contains(word)
     return out
@@ -161,7 +167,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     longer = F.when(late, F.substring(h, F.lit(1), attempt - LATE + 1)).otherwise("")
     digits = F.translate(longer, "abcdef", "012345")
     email = F.concat(_spelled(local, h, ALPHABETS), longer, F.lit("@"), _spelled(host, _hex(F.lit(key), F.lit("host"), host), ALPHABETS), top)
-    ip = F.concat(F.concat_ws(".", *[(_number(h, i) % 254 + 1).cast("string") for i in range(4)]), F.when(late, F.concat(F.lit(":"), digits)).otherwise(""))
+    ip = F.concat_ws(".", *[(_number(h, i) % 254 + 1).cast("string") for i in range(4)])  # a form with 4e9 surrogates
     hexed = F.concat(_spelled(entity, h, HEX), longer)
     made = F.concat(_spelled(entity, h, ALPHABETS), digits)
     body = F.substring(made, F.lit(1), F.length(made) - 1)
@@ -170,7 +176,8 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     phone = F.concat(prefix, F.substring(made, F.length(prefix) + 1, F.length(made)))
     country, account = F.substring(entity, 1, 2), F.substring(made, F.lit(5), F.length(made))
     iban = F.concat(country, _check_digits(country, account), account)
-    secret = F.when(entity.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(made)
+    known = F.length(F.regexp_extract(entity, rf"^(?:{'|'.join(PREFIXES)})", 0))
+    secret = F.when(entity.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(F.concat(F.substring(entity, F.lit(1), known), F.substring(made, known + 1, F.length(made))))
     by_kind = {"email": email, "ip": ip, "ipv6": hexed, "iban": iban, "card": card, "phone": phone, "part": _stem(entity, h, attempt), "secret": secret}
     out = made
     for name, value in by_kind.items():
@@ -200,7 +207,16 @@ def _given(mention: Column) -> Column:
 
 def _new_parts(mention: Column, made: Column) -> Column:
     """Their surrogates, in the case of what they replace."""
-    return F.zip_with(_given(mention), F.slice(F.split(made, " "), 2, 8), lambda g, m: F.when((F.length(g) > 1) & (g == F.upper(g)), F.upper(m)).otherwise(F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))))
+    capital = lambda m: F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, F.lit(2), F.length(m)))
+    rest = lambda m, k: F.substring(m, k + 1, F.length(m))
+
+    def one(g: Column, m: Column) -> Column:
+        sign = F.regexp_extract(g, "['-]", 0)
+        k = F.greatest(F.lit(1), F.least(F.instr(g, sign) - 1, F.length(m) - 2))  # where it stands, with a letter or more around it
+        m = F.when(sign == "", capital(m)).otherwise(F.concat(capital(F.substring(m, F.lit(1), k)), sign, capital(rest(m, k))))
+        return F.when((F.length(g) > 1) & (g == F.upper(g)), F.upper(m)).otherwise(m)
+
+    return F.zip_with(_given(mention), F.slice(F.split(made, " "), 2, 8), one)
 
 
 def rendered(kind: Column, mention: Column, made: Column) -> Column:
@@ -261,13 +277,30 @@ def _text_key() -> list[Column]:
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.length("text"), F.crc32(F.col("text").cast("binary")), F.lit(1)).alias("k2")]
 
 
+def ordinary(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(entity, plain): for each distinct titled name (entity, times), those of its parts that are words of the language as
+    well: ``LEAST_PLAIN`` documents or more, and as many as it has mentions with a title, have them in lower case."""
+    parts = names.select("entity", "times", F.explode(F.slice(F.split("entity", " "), 2, 8)).alias("part"))
+    titled = stash(parts.groupBy("part").agg(F.sum("times").alias("titled")), "parts")
+    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}'-])\p{Ll}{2,24}(?![\p{L}'-])"), F.lit(0)))).alias("part"))
+    each = each.join(F.broadcast(titled) if titled.count() <= MOST_PARTS else titled, "part").groupBy("part").agg(F.count("*").alias("n"), F.first("titled").alias("titled"))
+    plain = each.where((F.col("n") >= LEAST_PLAIN) & (F.col("n") >= F.col("titled"))).select("part")
+    return parts.join(plain, "part").groupBy("entity").agg(F.collect_set("part").alias("plain"))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in each text, and n_mentions (long). Who has ``key`` can make the surrogates again."""
+    if not key:
+        raise ValueError("a key is needed")
     docs = docs.drop("n_mentions")
     found = stash(mentions(docs), "mentions")
-    table = keyed(found.select("kind", "entity").distinct(), key)
+    named = stash(found.where("kind = 'name'").groupBy("entity").agg(F.count("*").alias("times")), "names")
+    table = stash(keyed(found.select("kind", "entity").distinct(), key).join(ordinary(docs, named), "entity", "left"), "table")
     ready = found.join(table, ["kind", "entity"])
-    pairs = F.when(F.col("kind") == "name", F.arrays_zip(_given(F.col("mention")).alias("old"), _new_parts(F.col("mention"), F.col("surrogate")).alias("new"))).otherwise(F.array().cast("array<struct<old:string,new:string>>"))
+    # a part that is an ordinary word as well is replaced behind a title only
+    both = F.arrays_zip(_given(F.col("mention")).alias("old"), _new_parts(F.col("mention"), F.col("surrogate")).alias("new"))
+    both = F.filter(both, lambda p: ~F.coalesce(F.array_contains("plain", F.lower(p["old"])), F.lit(False)))
+    pairs = F.when(F.col("kind") == "name", both).otherwise(F.array().cast("array<struct<old:string,new:string>>"))
     ready = ready.select("k1", "k2", "at", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"), pairs.alias("pairs"))
     names = [unused(docs, x) for x in ("new_", "parts_", "k1_", "k2_")]
     new, parts, k1, k2 = names
@@ -281,7 +314,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     gaps = F.transform(F.split("text", PATTERN, -1), lambda g: _again(g, F.col(parts)))
     text = F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     rich = rich.withColumn("n_mentions", F.size(new).cast("long")).withColumn("text", text)
-    return plain.unionByName(rich.select(*[f"`{c}`" for c in plain.columns]))
+    return plain.unionByName(rich.select(*quoted(plain.columns)))
 
 
 def op5_surrogates(spark, sf_dir: str) -> DataFrame:

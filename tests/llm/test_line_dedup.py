@@ -117,3 +117,10 @@ def test_null_ids_repeated_rows_and_own_columns(spark):
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id long, text string, n_deleted int")
     got = sorted(((r.doc_id or 0, r.n_deleted) for r in line_dedup.dedup(df).collect()))
     assert got == [(0, 0), (0, 0), (1, 0), (2, 4), (2, 4), (3, 4)]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "one two three\nfour five six", "x", "y", 3) for i in (1, 2)], "doc_id long, text string, `a.b` string, `c``d` string, c0_ int")
+    out = line_dedup.dedup(df, min_words=4)
+    assert out.columns == [*df.columns, "n_deleted"]
+    assert sorted(map(tuple, out.collect())) == [(1, "one two three\nfour five six", "x", "y", 3, 0), (2, "", "x", "y", 3, 2)]

@@ -85,3 +85,11 @@ def test_own_columns(spark):
     df = spark.createDataFrame([(1, "hello world", "p", 2), (None, None, "p", 2)], "doc_id long, text string, pieces string, `a-b c` int")
     rows = sp.checked(df).collect()
     assert [r["a-b c"] for r in rows] == [2, 2] and all(r.round_trip for r in rows) and sorted(len(r.pieces) > 0 for r in rows) == [False, True]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "hello world", "x", "y", 3)], "doc_id long, text string, `a.b` string, `c``d` string, c0_ int")
+    for out in (sp.encode(df), sp.checked(df), sp.decode(sp.encode(df))):
+        r = out.first()
+        assert out.columns[:5] == df.columns and tuple(r)[:5] == (1, "hello world", "x", "y", 3)
+    assert r["decoded"] == "hello world"
