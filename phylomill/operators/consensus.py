@@ -76,7 +76,7 @@ def consensus_tree(edges: DataFrame, members: DataFrame, clades: DataFrame, refe
     mine = clades.where(F.col("tree_id") == reference).select("node")
     inner = own.select(F.col("parent").alias("node")).distinct().join(own.select(F.col("child").alias("node")), "node", "left_semi")
     drop = inner.join(mine, "node", "left_anti").withColumn("tree_id", F.lit(reference))
-    now = stash(trees.collapsed(own, trees.closure(own), drop).select("tree_id", "parent", "child"), "edges")
+    now = stash(trees.collapsed(own, drop).select("tree_id", "parent", "child"), "edges")
     other = clades.where(F.col("tree_id") != reference).join(members, ["tree_id", "node"]).select(F.concat_ws("/", "tree_id", "node").alias("set_id"), "tip")
     left = stash(other, "sets")
     from phylomill.operators.support import deferred

@@ -77,14 +77,14 @@ def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int, kind: st
     return pairs.select("tree_id", "tip_id", n.cast("long").alias("n")).where(F.col("n") < cutoff)
 
 
-def retained(edges: DataFrame, paths: DataFrame, node_states: DataFrame, outgroups: DataFrame, near: DataFrame, cutoff: int, kind: str = "indel") -> DataFrame:
+def retained(edges: DataFrame, node_states: DataFrame, outgroups: DataFrame, near: DataFrame, cutoff: int, kind: str = "indel") -> DataFrame:
     """(tree_id, node): topmost inner nodes, roots excepted, with ``cutoff`` conflicts or more with every outgroup of
     their tree in ``near`` (tree_id, tip_id)."""
     inner = edges.select("tree_id", F.col("parent").alias("node")).distinct().join(edges.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_semi")
     pairs = inner.join(near.select("tree_id", "tip_id"), "tree_id")
     least = conflicts(node_states, outgroups, pairs, kind).groupBy("tree_id", "node").agg(F.min("n").alias("least"))
     good = inner.join(least, ["tree_id", "node"], "left").where(F.coalesce(F.col("least") >= cutoff, F.lit(True))).select("tree_id", "node")
-    return trees.topmost(paths, good)
+    return trees.topmost(edges, good)
 
 
 def broken(members: DataFrame, kept: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from phylomill.operators import intervals as iv
+from phylomill.operators.trees import topmost
+from phylomill.stash import stash
 
 def clade_keys(members: DataFrame, rooted: bool = True) -> DataFrame:
     """(tree_id, node, size, h1, h2); unrooted: of the side of the split that lacks the tree's least tip."""
@@ -85,19 +88,37 @@ def transfer_distances(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.select("tree_id", "node", F.least("size", F.col("n") - F.col("size")).alias("light"), "other_tree", best.alias("distance"))
 
 
-def maximal_flagged(paths: DataFrame, flagged: DataFrame, below: DataFrame) -> DataFrame:
-    """(tree_id, top, node): flagged nodes under each ``below`` (tree_id, node) with no flagged one in between."""
-    flags = flagged.select("tree_id", "node").distinct()
-    under = paths.join(below.select("tree_id", F.col("node").alias("ancestor")), ["tree_id", "ancestor"]).join(flags, ["tree_id", "node"], "left_semi").select("tree_id", F.col("ancestor").alias("top"), "node")
-    mid = under.select("tree_id", "top", F.col("node").alias("ancestor"))
-    hidden = paths.join(mid, ["tree_id", "ancestor"]).select("tree_id", "top", "node")
-    return under.join(hidden, ["tree_id", "top", "node"], "left_anti")
+def maximal_flagged(edges: DataFrame, flagged: DataFrame, below: DataFrame) -> DataFrame:
+    """(tree_id, top, node): flagged nodes under each ``below`` (tree_id, node) with no flagged one in between.
 
-
-def maximal_nested(edges: DataFrame, members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(tree_id, set_id, node, size): largest clades whose tips all belong to a set (set_id, tip)."""
-    sizes = members.groupBy("tree_id", "node").agg(F.count("*").alias("size"))
-    inside = members.join(chosen, "tip").groupBy("tree_id", "set_id", "node").agg(F.count("*").alias("n")).join(sizes, ["tree_id", "node"]).where("n = size").select("tree_id", "set_id", "node", "size")
+    From every flagged node up, over tops, to the next flagged one; a step for each row that comes out.
+    """
+    flags = flagged.select("tree_id", "node").distinct().withColumn("flag", F.lit(True))
+    tops = below.select("tree_id", "node").distinct().withColumn("top", F.lit(True))
+    both = stash(flags.join(tops, ["tree_id", "node"], "full"), "marks")
+    up = iv.lifted(edges, both).where("above IS NOT NULL").select("tree_id", "node", F.col("above"))
+    up = stash(up.join(both.withColumnRenamed("node", "above"), ["tree_id", "above"]), "steps")
+    now, found = up.join(flags.drop("flag"), ["tree_id", "node"], "left_semi"), None
+    while True:
+        now = stash(now.select("tree_id", "node", "above", "flag", "top"), "climbing")
+        hit = now.where("top").select("tree_id", F.col("above").alias("top"), "node")
+        found = hit if found is None else found.unionByName(hit)
+        going = now.where("flag IS NULL")
+        if going.isEmpty():
+            return found
+        ahead = up.select("tree_id", F.col("node").alias("here"), F.col("above").alias("a2"), F.col("flag").alias("f2"), F.col("top").alias("t2"))
+        going = going.select("tree_id", "node", F.col("above").alias("here")).join(ahead, ["tree_id", "here"])
+        now = going.select("tree_id", "node", F.col("a2").alias("above"), F.col("f2").alias("flag"), F.col("t2").alias("top"))
+
+
+def maximal_nested(edges: DataFrame, spans: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(tree_id, set_id, node, size): largest clades whose tips all belong to a set (set_id, tip).
+
+    A clade belongs to a set if its places lie in one run of the set's places, the run that its first tip is in.
+    """
+    inner = spans.where("leave > enter").select("tree_id", "node", "first", F.col("tips").alias("size"))
+    inside = inner.join(stash(iv.runs_of(spans, chosen), "runs"), ["tree_id", "first"]).where("first + size - 1 <= last").select("tree_id", "set_id", "node", "size")
+    inside = stash(inside, "nested")
     up = edges.select("tree_id", F.col("child").alias("node"), "parent")
     over = inside.join(up, ["tree_id", "node"]).join(inside.select("tree_id", "set_id", F.col("node").alias("parent")), ["tree_id", "set_id", "parent"], "left_semi").select("tree_id", "set_id", "node")
     return inside.join(over, ["tree_id", "set_id", "node"], "left_anti")
@@ -111,9 +132,7 @@ def deferred(sets: DataFrame) -> DataFrame:
     return rows.join(best.select("node", "b.winner"), "node").where("set_id != winner").select("set_id").distinct()
 
 
-def clones(paths: DataFrame, support: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def clones(edges: DataFrame, support: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """(tree_id, node): topmost non-root clades with at least this support."""
-    from phylomill.operators.trees import topmost
-
     good = support.where(F.col("support") >= threshold).select("tree_id", "node").join(roots.withColumnRenamed("root", "node"), ["tree_id", "node"], "left_anti")
-    return topmost(paths, good)
+    return topmost(edges, good)

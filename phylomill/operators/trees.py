@@ -1,5 +1,7 @@
 """Rooted trees as edge tables (tree_id, parent, child[, length]): closure, ancestors' states, lengths and shape.
 
+What needs no pair of a node and each of its ancestors goes by ``intervals``; ``spans`` are its intervals.
+
 Labels are unique within a tree. Everything is keyed by tree_id, so many trees are handled at once.
 """
 
@@ -9,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from phylomill.operators import contraction as ct
+from phylomill.operators import intervals as iv
 from phylomill.stash import stash
 
+DEEP = 24  # levels up to which ancestors are made level by level
+
 
 def closure(edges: DataFrame) -> DataFrame:
     """(tree_id, ancestor, node, distance): all pairs of a node and a proper ancestor, by pointer doubling.
@@ -63,14 +69,24 @@ def binary_ancestors(members: DataFrame, bits: DataFrame) -> DataFrame:
     return n.join(clade_sizes(members), ["tree_id", "node"]).where("n = size").select("tree_id", "node", "site")
 
 
-def levels(edges: DataFrame, paths: DataFrame) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(tree_id, node, depth), the root at 0."""
-    depth = paths.groupBy("tree_id", "node").agg(F.max("distance").alias("depth"))
+    depth = iv.lifted(edges.select("tree_id", "parent", "child")).select("tree_id", "node", F.col("steps").cast("int").alias("depth"))
     return depth.unionByName(roots(edges).select("tree_id", F.col("root").alias("node"), F.lit(0).alias("depth")))
 
 
-def _two_passes(edges: DataFrame, tip_codes: DataFrame, depth: DataFrame, up, down) -> DataFrame:
-    """Level by level: ``up`` makes a node's code of its children's, ``down`` settles a child by its parent's."""
+def _two_passes(edges: DataFrame, tip_codes: DataFrame, depth: DataFrame, rule, settle, mask: int) -> DataFrame:
+    """``rule(both, any)`` makes a node's code of what all and what any of its children allow, ``settle(code, above)`` a
+    child's final one by its parent's. Level by level up to ``DEEP`` levels; deeper trees are contracted, with equal codes."""
+    if (depth.agg(F.max("depth")).first()[0] or 0) > DEEP:
+        return ct.down(edges, ct.up(edges, tip_codes, rule, mask), settle, mask)
+
+    def up(g):
+        return g.agg(rule(F.bit_and("code"), F.bit_or("code")).cast("int").alias("code"))
+
+    def down(rows):
+        return rows.select("tree_id", "node", "site", settle(F.col("code"), F.col("above")).cast("int").alias("code"))
+
     edges = stash(edges.select("tree_id", "parent", "child").join(depth.withColumnRenamed("node", "parent"), ["tree_id", "parent"]), "levels")
     deepest = edges.agg(F.max("depth")).first()[0]
     made = [tip_codes.select("tree_id", F.col("tip").alias("node"), "site", "code")]
@@ -102,15 +118,9 @@ def reversible_ancestors(edges: DataFrame, tip_codes: DataFrame, depth: DataFram
     Up: what all children allow, either where that is nothing. Down: an undecided root is unset, an undecided node
     takes its parent's state.
     """
-
-    def up(g):
-        both = F.bit_and("code")
-        return g.agg(F.when(both == 0, 3).otherwise(both).cast("int").alias("code"))
-
-    def down(rows):
-        return rows.select("tree_id", "node", "site", F.when(F.col("code") != 3, F.col("code")).otherwise(F.coalesce("above", F.lit(1))).cast("int").alias("code"))
-
-    return _two_passes(edges, tip_codes, depth, up, down)
+    rule = lambda both, any_: F.when(both == 0, 3).otherwise(both)
+    settle = lambda code, above: F.when(code != 3, code).otherwise(F.coalesce(above, F.lit(1)))
+    return _two_passes(edges, tip_codes, depth, rule, settle, 3)
 
 
 def dna_ancestors(edges: DataFrame, tip_codes: DataFrame, depth: DataFrame) -> DataFrame:
@@ -119,15 +129,11 @@ def dna_ancestors(edges: DataFrame, tip_codes: DataFrame, depth: DataFrame) -> D
     Up: the bases all children allow, or any child's where that is none. Down: what the parent allows as well, if any.
     """
 
-    def up(g):
-        both = F.bit_and("code")
-        return g.agg(F.when(both != 0, both).otherwise(F.bit_or("code")).cast("int").alias("code"))
-
-    def down(rows):
-        both = F.col("code").bitwiseAND(F.coalesce("above", "code"))
-        return rows.select("tree_id", "node", "site", F.when(both != 0, both).otherwise(F.col("code")).cast("int").alias("code"))
+    def settle(code, above):
+        both = code.bitwiseAND(F.coalesce(above, code))
+        return F.when(both != 0, both).otherwise(code)
 
-    return _two_passes(edges, tip_codes, depth, up, down)
+    return _two_passes(edges, tip_codes, depth, lambda both, any_: F.when(both != 0, both).otherwise(any_), settle, 31)
 
 
 def changes(edges: DataFrame, states: DataFrame, kind: str = "indel") -> DataFrame:
@@ -162,9 +168,9 @@ def events(changed: DataFrame, weights: DataFrame) -> DataFrame:
     return changed.join(weights, "site").groupBy("tree_id").agg(F.count("*").alias("events"), F.sum("weight").alias("weighted"))
 
 
-def collapsed_by_support(edges: DataFrame, paths: DataFrame, support: DataFrame, threshold: float) -> DataFrame:
+def collapsed_by_support(edges: DataFrame, support: DataFrame, threshold: float) -> DataFrame:
     """``collapsed`` at the nodes with less ``support`` (tree_id, node, support) than ``threshold``."""
-    return collapsed(edges, paths, support.where(F.col("support") < threshold))
+    return collapsed(edges, support.where(F.col("support") < threshold))
 
 
 def gained(edges: DataFrame, states: DataFrame) -> DataFrame:
@@ -180,35 +186,30 @@ def origins(gains: DataFrame) -> DataFrame:
     return gains.groupBy("tree_id", "site", "state").agg(F.count("*").alias("n"))
 
 
-def collapsed(edges: DataFrame, paths: DataFrame, dropped: DataFrame) -> DataFrame:
+def collapsed(edges: DataFrame, dropped: DataFrame) -> DataFrame:
     """(tree_id, parent, child, length) without the inner nodes in ``dropped`` (tree_id, node).
 
     A node's new parent is its nearest ancestor that stays, and the lengths of the dropped ones between are added.
     """
-    gone = dropped.select("tree_id", F.col("node").alias("ancestor")).distinct()
-    stay = paths.join(gone, ["tree_id", "ancestor"], "left_anti").groupBy("tree_id", "node").agg(F.min(F.struct("distance", "ancestor")).alias("up"))
-    own = edges.join(gone.withColumnRenamed("ancestor", "child"), ["tree_id", "child"], "left_anti")
-    out = own.join(stay.withColumnRenamed("node", "child"), ["tree_id", "child"]).select("tree_id", "child", "length", "up.ancestor", "up.distance")
-    between = paths.select("tree_id", F.col("node").alias("child"), F.col("ancestor").alias("mid"), F.col("distance").alias("d"))
-    extra = out.join(between, ["tree_id", "child"]).where("d < distance").join(edges.select("tree_id", F.col("child").alias("mid"), F.col("length").alias("more")), ["tree_id", "mid"]).groupBy("tree_id", "child").agg(F.sum("more").alias("more"))
-    return out.join(extra, ["tree_id", "child"], "left").select("tree_id", F.col("ancestor").alias("parent"), "child", (F.col("length") + F.coalesce("more", F.lit(0.0))).alias("length"))
+    gone = dropped.select("tree_id", "node").distinct()
+    stay = edges.select("tree_id", F.col("parent").alias("node")).distinct().join(gone, ["tree_id", "node"], "left_anti")
+    up = iv.lifted(edges, stay).where("above IS NOT NULL").join(gone, ["tree_id", "node"], "left_anti")
+    return up.select("tree_id", F.col("above").alias("parent"), F.col("node").alias("child"), "length")
 
 
-def ultrametric(edges: DataFrame, paths: DataFrame) -> DataFrame:
+def ultrametric(edges: DataFrame) -> DataFrame:
     """Edges whose tip lengths are extended so that all tips of a tree are as deep as its deepest."""
-    own = edges.select("tree_id", F.col("child").alias("node"), "length")
-    above = paths.join(own.withColumnsRenamed({"node": "ancestor", "length": "up"}), ["tree_id", "ancestor"]).groupBy("tree_id", "node").agg(F.sum("up").alias("up"))
-    depth = tips(edges).withColumnRenamed("tip", "node").join(own, ["tree_id", "node"]).join(above, ["tree_id", "node"], "left").select("tree_id", "node", (F.col("length") + F.coalesce("up", F.lit(0.0))).alias("depth"))
+    depth = tips(edges).withColumnRenamed("tip", "node").join(iv.lifted(edges), ["tree_id", "node"]).select("tree_id", "node", F.col("length").alias("depth"))
+    depth = stash(depth, "depths")
     most = depth.groupBy("tree_id").agg(F.max("depth").alias("most"))
     add = depth.join(most, "tree_id").select("tree_id", F.col("node").alias("child"), (F.col("most") - F.col("depth")).alias("add"))
     return edges.join(add, ["tree_id", "child"], "left").select("tree_id", "parent", "child", (F.col("length") + F.coalesce("add", F.lit(0.0))).alias("length"))
 
 
-def subtree(edges: DataFrame, paths: DataFrame, nodes: DataFrame) -> DataFrame:
+def subtree(edges: DataFrame, spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges below the given (tree_id, node), with ``node`` as the sub-tree's id."""
-    at = nodes.select("tree_id", F.col("node").alias("ancestor")).distinct()
-    below = paths.join(at, ["tree_id", "ancestor"]).select("tree_id", F.col("ancestor").alias("subtree"), F.col("node").alias("child"))
-    return edges.join(below, ["tree_id", "child"]).select("tree_id", "subtree", "parent", "child", "length")
+    under = iv.below(spans, nodes).select("tree_id", F.col("ancestor").alias("subtree"), F.col("node").alias("child"))
+    return edges.join(under, ["tree_id", "child"]).select("tree_id", "subtree", "parent", "child", "length")
 
 
 def pure_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,10 +223,10 @@ def ordered_tips(edges: DataFrame, order: DataFrame) -> DataFrame:
     return tips(edges).join(order, "tip").select("tree_id", "tip", F.row_number().over(W.partitionBy("tree_id").orderBy("place")).alias("place"))
 
 
-def topmost(paths: DataFrame, flagged: DataFrame) -> DataFrame:
+def topmost(edges: DataFrame, flagged: DataFrame) -> DataFrame:
     """The flagged (tree_id, node) that have no flagged proper ancestor."""
     nodes = flagged.select("tree_id", "node").distinct()
-    under = paths.join(nodes.withColumnRenamed("node", "ancestor"), ["tree_id", "ancestor"], "left_semi").select("tree_id", "node")
+    under = iv.lifted(edges, nodes).where("above IS NOT NULL").select("tree_id", "node")
     return nodes.join(under, ["tree_id", "node"], "left_anti")
 
 

@@ -295,7 +295,7 @@ def by_segment(spark, d):
     c = stash(fx.table(spark, d, C), "characters")
     states = stash(tr.indel_ancestors(m, c.select(F.concat(F.lit("t:"), "tip_id").alias("tip"), "site", "state")), "states")
     near = og.filtered(states.where("node = 'R'"), c, 2).join(g.select("tree_id", "tip_id"), ["tree_id", "tip_id"], "left_anti")
-    return m, stash(og.retained(edges, p, states, c, stash(near, "near"), 2), "retained")
+    return m, stash(og.retained(edges, states, c, stash(near, "near"), 2), "retained")
 
 
 @query("s47_retained_nodes", f"{_SEGMENTS} SELECT CAST(cluster_id AS STRING) AS tree_id, concat('s:', seg) AS node FROM ok")
@@ -343,7 +343,7 @@ def retained_by_segment(spark, d, kind: str, source: str, cutoff: int):
         below = states[-1].withColumn("node", parent)
     roots = states[1].unionByName(g.select("tree_id", F.lit("R").alias("node"), F.lit(-1).alias("site"), F.lit(so.RULES[kind][2]).alias("state")).distinct())
     near = og.filtered(roots, c, cutoff, kind).join(g.select("tree_id", "tip_id"), ["tree_id", "tip_id"], "left_anti")
-    return og.retained(edges, stash(tr.closure(edges), "paths"), states[0], c, stash(near, "near"), cutoff, kind)
+    return og.retained(edges, states[0], c, stash(near, "near"), cutoff, kind)
 
 
 @query("s47_binary_retained_nodes", _by_kind(fx.CHARACTER_BITS, "2", "2", "true", 2))

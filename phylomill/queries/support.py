@@ -8,7 +8,7 @@ from phylomill import fixtures as fx
 from phylomill.operators import consensus as co
 from phylomill.operators import support as su
 from phylomill.operators import trees as tr
-from phylomill.queries.trees import CLO, edges, members, paths
+from phylomill.queries.trees import CLO, edges, members, spans
 from phylomill.registry import query
 from phylomill.stash import stash
 
@@ -72,11 +72,11 @@ def _(spark, d):
 
 @query("s88_transfer_distances", f"""
 {SETS}, n AS (SELECT tree_id, count(*) AS k FROM t GROUP BY 1), x AS (SELECT a.tree_id, a.node, a.size, n.k, b.tree_id AS other_tree, a.size + b.size - 2 * coalesce((SELECT count(*) FROM m u JOIN m v ON u.tip = v.tip WHERE u.tree_id = a.tree_id AND u.node = a.node AND v.tree_id = b.tree_id AND v.node = b.node), 0) AS d
-FROM q a JOIN q b ON a.tree_id <> b.tree_id JOIN n ON n.tree_id = a.tree_id WHERE a.tree_id = 'A')
+FROM q a JOIN q b ON a.tree_id <> b.tree_id JOIN n ON n.tree_id = a.tree_id)
 SELECT tree_id, node, least(size, k - size) AS light, other_tree, min(least(d, k - d)) AS distance FROM x GROUP BY 1, 2, size, k, other_tree""")
 def _(spark, d):
     m = inner(spark, d)
-    return su.transfer_distances(m, m).where("tree_id = 'A'")
+    return su.transfer_distances(m, m)
 
 
 def _consensus() -> str:
@@ -101,7 +101,7 @@ SELECT p.tree_id, b.node AS top, p.node FROM p JOIN b ON b.tree_id = p.tree_id A
 WHERE NOT EXISTS (SELECT 1 FROM p y JOIN f g ON g.tree_id = y.tree_id AND g.node = y.ancestor JOIN p v ON v.tree_id = y.tree_id AND v.node = y.ancestor AND v.ancestor = b.node WHERE y.tree_id = p.tree_id AND y.node = p.node)""")
 def _(spark, d):
     e = edges(spark, d)
-    return su.maximal_flagged(paths(spark, d), e.where("length = 2 AND child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")), e.where("parent = 'R'").select("tree_id", F.col("child").alias("node")))
+    return su.maximal_flagged(e, e.where("length = 2 AND child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")), e.where("parent = 'R'").select("tree_id", F.col("child").alias("node")))
 
 
 _CHOSEN = "SELECT c_custkey % 4 AS k, concat('t:', CAST(c_custkey AS STRING)) AS tip, concat('x', CAST(c_nationkey % 3 AS STRING)) AS set_id FROM {customer}"
@@ -112,12 +112,12 @@ _CHOSEN = "SELECT c_custkey % 4 AS k, concat('t:', CAST(c_custkey AS STRING)) AS
 i AS (SELECT m.tree_id, c.set_id, m.node, z.size FROM m JOIN c ON c.tip = m.tip JOIN z ON z.tree_id = m.tree_id AND z.node = m.node GROUP BY 1, 2, 3, 4 HAVING count(*) = z.size)
 SELECT tree_id, set_id, node, size FROM i WHERE NOT EXISTS (SELECT 1 FROM e JOIN i j ON j.tree_id = e.tree_id AND j.node = e.parent AND j.set_id = i.set_id WHERE e.tree_id = i.tree_id AND e.child = i.node)""")
 def _(spark, d):
-    return su.maximal_nested(edges(spark, d), members(spark, d), fx.table(spark, d, _CHOSEN).select("tip", "set_id"))
+    return su.maximal_nested(edges(spark, d), spans(spark, d), fx.table(spark, d, _CHOSEN).select("tip", "set_id"))
 
 
 @query("s92_unnested_nodes", f"{CLO}, {_FLAG} SELECT f.tree_id, f.node FROM f WHERE NOT EXISTS (SELECT 1 FROM p JOIN f g ON g.tree_id = p.tree_id AND g.node = p.ancestor WHERE p.tree_id = f.tree_id AND p.node = f.node)")
 def _(spark, d):
-    return tr.topmost(paths(spark, d), edges(spark, d).where("length = 2 AND child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
+    return tr.topmost(edges(spark, d), edges(spark, d).where("length = 2 AND child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
 
 
 def _fitted() -> str:
@@ -164,4 +164,4 @@ def _(spark, d):
 SELECT g.tree_id, g.node FROM g WHERE NOT EXISTS (SELECT 1 FROM p JOIN g h ON h.tree_id = p.tree_id AND h.node = p.ancestor WHERE p.tree_id = g.tree_id AND p.node = g.node)""")
 def _(spark, d):
     s = su.approximate_support(nearest(spark, d), 0.1)
-    return su.clones(paths(spark, d), s, tr.roots(edges(spark, d)), 1.0)
+    return su.clones(edges(spark, d), s, tr.roots(edges(spark, d)), 1.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phylomill import fixtures as fx
+from phylomill.operators import intervals as iv
 from phylomill.operators import outgroup as og
 from phylomill.operators import resample as rs
 from phylomill.operators import rooting as ro
@@ -34,6 +35,10 @@ def paths(spark, d):
     return stash(tr.closure(edges(spark, d)), "closure")
 
 
+def spans(spark, d):
+    return stash(iv.intervals(edges(spark, d)), "spans")
+
+
 def states(spark, d):
     return fx.table(spark, d, STATES)
 
@@ -60,7 +65,7 @@ def _(spark, d):
 
 @query("s75_clade_sizes", f"{CLO} SELECT tree_id, node, count(*) AS size FROM m GROUP BY 1, 2")
 def _(spark, d):
-    return tr.clade_sizes(members(spark, d))
+    return iv.sizes(spans(spark, d))
 
 
 @query("s62_indel_ancestors", f"{ALL} SELECT tree_id, node, site, state FROM a")
@@ -93,7 +98,7 @@ def _down(settle: str, root: str) -> str:
 def _codes(spark, d, code):
     e = edges(spark, d)
     rows = tr.tips(e).join(states(spark, d), "tip").select("tree_id", "tip", "site", code.cast("int").alias("code"))
-    return e, rows, tr.levels(e, paths(spark, d))
+    return e, rows, tr.levels(e)
 
 
 @query("s64_reversible_ancestors", _by_level("CASE WHEN bit_and(q.code) = 0 THEN 3 ELSE bit_and(q.code) END", "CASE WHEN state > 2 THEN 2 ELSE 1 END") + _down("CASE WHEN u.code <> 3 THEN u.code ELSE v.code END", "CASE WHEN code <> 3 THEN code ELSE 1 END"))
@@ -160,21 +165,21 @@ WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.tree_id = e.tree_id AND x.node = e.chi
 @query("s70_collapsed", CLO + "," + _COLLAPSED.replace("{drop}", "child LIKE 'n:%' AND length = 3"))
 def _(spark, d):
     e = edges(spark, d)
-    return tr.collapsed(e, paths(spark, d), e.where("child LIKE 'n:%' AND length = 3").select("tree_id", F.col("child").alias("node")))
+    return tr.collapsed(e, e.where("child LIKE 'n:%' AND length = 3").select("tree_id", F.col("child").alias("node")))
 
 
 @query("s72_collapsed_by_support", CLO + "," + _COLLAPSED.replace("{drop}", "substring(child, 1, 1) IN ('n', 's', 'g', 'm') AND length(child) % 4 < 2"))
 def _(spark, d):
     e = edges(spark, d)
     support = e.where("substring(child, 1, 1) IN ('n', 's', 'g', 'm')").select("tree_id", F.col("child").alias("node"), ((F.length("child") % 4) / 4).alias("support"))
-    return tr.collapsed_by_support(e, paths(spark, d), support, 0.5)
+    return tr.collapsed_by_support(e, support, 0.5)
 
 
 @query("s73_ultrametric", f"""
 {CLO}, z AS (SELECT t.tree_id, t.tip, e.length + coalesce(sum(f.length), 0) AS depth FROM t JOIN e ON e.tree_id = t.tree_id AND e.child = t.tip LEFT JOIN p ON p.tree_id = t.tree_id AND p.node = t.tip LEFT JOIN e f ON f.tree_id = p.tree_id AND f.child = p.ancestor GROUP BY 1, 2, e.length)
 SELECT e.tree_id, e.parent, e.child, e.length + coalesce((SELECT max(y.depth) FROM z y WHERE y.tree_id = e.tree_id) - z.depth, 0) AS length FROM e LEFT JOIN z ON z.tree_id = e.tree_id AND z.tip = e.child""")
 def _(spark, d):
-    return tr.ultrametric(edges(spark, d), paths(spark, d))
+    return tr.ultrametric(edges(spark, d))
 
 
 @query("s74_ordered_tips", f"{CLO} SELECT t.tree_id, t.tip, CAST(row_number() OVER (PARTITION BY t.tree_id ORDER BY c.c_custkey DESC) AS INT) AS place FROM t JOIN {{customer}} c ON concat('t:', CAST(c.c_custkey AS STRING)) = t.tip")
@@ -219,7 +224,7 @@ def _(spark, d):
 @query("s49_subtrees", f"{CLO} SELECT e.tree_id, p.ancestor AS subtree, e.parent, e.child, e.length FROM e JOIN p ON p.tree_id = e.tree_id AND p.node = e.child WHERE p.ancestor LIKE 'n:%'")
 def _(spark, d):
     e = edges(spark, d)
-    return tr.subtree(e, paths(spark, d), e.where("child LIKE 'n:%'").select("tree_id", F.col("child").alias("node")))
+    return tr.subtree(e, spans(spark, d), e.where("child LIKE 'n:%'").select("tree_id", F.col("child").alias("node")))
 
 
 _STITCH = f"e AS (SELECT parent, child, CAST(1 + length(child) % 3 AS DOUBLE) AS length FROM ({fx.TREE_A}) t)"
@@ -254,12 +259,12 @@ def _(spark, d):
 
 @query("s56_root_votes", f"""
 {_N}, o AS (SELECT tip_id, site, CAST(1 AS INT) << CAST(state % 4 AS INT) AS code FROM ({_OUT}) q WHERE tip_id % 50 = 0),
-v AS (SELECT ec.tree_id, o.tip_id, ec.child, count(CASE WHEN ec.code & o.code & 15 <> 0 THEN 1 END) AS shared FROM ec JOIN o ON o.site = ec.site WHERE ec.child NOT LIKE 't:%' GROUP BY 1, 2, 3)
+v AS (SELECT ec.tree_id, o.tip_id, ec.child, count(CASE WHEN ec.code & o.code & 15 <> 0 THEN 1 END) AS shared FROM ec JOIN o ON o.site = ec.site GROUP BY 1, 2, 3)
 SELECT tree_id, tip_id, child, shared FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, tip_id ORDER BY shared DESC, child) AS r FROM v) x WHERE r = 1""")
 def _(spark, d):
-    """Every tip whose id is divisible by 50 votes among the inner edges of every tree."""
+    """Every tip whose id is divisible by 50 votes among the edges of every tree."""
     o = fx.table(spark, d, _OUT).where("tip_id % 50 = 0").select("tip_id", "site", F.expr("shiftleft(1, CAST(state % 4 AS INT))").alias("code"))
-    return ro.root_votes(stash(edge_codes(spark, d), "edge-codes").where("child NOT LIKE 't:%'"), o)
+    return ro.root_votes(stash(edge_codes(spark, d), "edge-codes"), o)
 
 
 @query("s60_unbroken", f"""
@@ -267,7 +272,7 @@ def _(spark, d):
 SELECT e.tree_id, e.child AS node FROM e WHERE EXISTS (SELECT 1 FROM k WHERE k.tree_id = e.tree_id AND k.node = e.parent) AND NOT EXISTS (SELECT 1 FROM k WHERE k.tree_id = e.tree_id AND k.node = e.child)""")
 def _(spark, d):
     e = edges(spark, d)
-    return ro.unbroken(e, paths(spark, d), e.where("child LIKE 's:%' AND length = 2").select("tree_id", F.col("child").alias("node")))
+    return ro.unbroken(e, spans(spark, d), e.where("child LIKE 's:%' AND length = 2").select("tree_id", F.col("child").alias("node")))
 
 
 _AT = f"""
@@ -288,11 +293,11 @@ def new_roots(spark, d):
 @query("s61_rerooted", f"{_AT} SELECT q.tree_id, q.parent, CASE WHEN q.child = 'R' THEN coalesce(l.low, q.child) ELSE q.child END AS child, q.length + CASE WHEN q.child = 'R' THEN coalesce(l.extra, 0) ELSE 0 END AS length FROM q LEFT JOIN lone l ON l.tree_id = q.tree_id WHERE NOT (q.parent = 'R' AND l.tree_id IS NOT NULL)")
 def _(spark, d):
     e, at = new_roots(spark, d)
-    return ro.rerooted(e, paths(spark, d), at)
+    return ro.rerooted(e, spans(spark, d), at)
 
 
 @query("s61_moved_breaks", f"{_AT} SELECT e.tree_id, e.child AS node, CASE WHEN w.node IS NULL THEN e.child WHEN e.parent = 'R' THEN coalesce(l.low, 'R') ELSE e.parent END AS moved FROM e LEFT JOIN way w ON w.tree_id = e.tree_id AND w.node = e.child LEFT JOIN lone l ON l.tree_id = e.tree_id WHERE e.child NOT LIKE 't:%'")
 def _(spark, d):
     """The edge above every inner node is a break."""
     e, at = new_roots(spark, d)
-    return ro.moved_breaks(e, paths(spark, d), at, e.where("child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
+    return ro.moved_breaks(e, spans(spark, d), at, e.where("child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))

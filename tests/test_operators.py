@@ -128,19 +128,19 @@ def test_closure_and_ancestors(spark):
     s = spark.createDataFrame([("a1", 0, 5), ("a2", 0, 5), ("b", 0, 7), ("a1", 1, 3)], "tip string, site int, state int")
     got = {(n, site): x for _, n, site, x in rows(tr.indel_ancestors(tr.clades(e, p), s))}
     assert got == {("y", 0): 5, ("x", 0): 0, ("r", 0): 0, ("y", 1): 3, ("x", 1): 3, ("r", 1): 3}
-    c = tr.collapsed(e, p, spark.createDataFrame([("T", "x"), ("T", "y")], "tree_id string, node string"))
+    c = tr.collapsed(e, spark.createDataFrame([("T", "x"), ("T", "y")], "tree_id string, node string"))
     assert rows(c) == [("T", "r", "a1", 3.0), ("T", "r", "a2", 3.0), ("T", "r", "b", 2.0), ("T", "r", "c", 1.0)]
-    assert {n: x for _, _, n, x in rows(tr.ultrametric(e, p))} == {"x": 1, "y": 1, "a1": 1, "a2": 1, "b": 2, "c": 3}
+    assert {n: x for _, _, n, x in rows(tr.ultrametric(e))} == {"x": 1, "y": 1, "a1": 1, "a2": 1, "b": 2, "c": 3}
 
 
 def test_level_passes(spark):
     e = edges(spark, TREE)
     p = tr.closure(e)
     codes = spark.createDataFrame([("T", "a1", 0, 1), ("T", "a2", 0, 2), ("T", "b", 0, 2), ("T", "c", 0, 1)], "tree_id string, tip string, site int, code int")
-    got = {n: x for _, n, _, x in rows(tr.reversible_ancestors(e, codes, tr.levels(e, p)))}
+    got = {n: x for _, n, _, x in rows(tr.reversible_ancestors(e, codes, tr.levels(e)))}
     assert got == {"r": 1, "x": 2, "y": 2}
     dna = codes.withColumn("code", F.when(F.col("tip") == "c", 4).otherwise(F.col("code")))
-    got = {n: x for _, n, _, x in rows(tr.dna_ancestors(e, dna, tr.levels(e, p)))}
+    got = {n: x for _, n, _, x in rows(tr.dna_ancestors(e, dna, tr.levels(e)))}
     assert got == {"r": 6, "x": 2, "y": 2}
 
 

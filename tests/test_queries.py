@@ -41,12 +41,12 @@ def test_hierarchical_build_is_one_tree(spark):
 def test_rerooting_keeps_tips_and_total_length(spark):
     from pyspark.sql import functions as F
 
-    from phylomill.operators import rooting, trees
+    from phylomill.operators import intervals, rooting, trees
     from phylomill.queries.trees import edges
 
     e = edges(spark, SF).where("tree_id = 'A'").cache()
     at = e.where("child LIKE 'n:%'").groupBy("tree_id").agg(F.min("child").alias("node"))
-    new = rooting.rerooted(e, trees.closure(e), at).cache()
+    new = rooting.rerooted(e, intervals.intervals(e), at).cache()
     tips = lambda x: {r.tip for r in trees.tips(x).collect()}
     assert tips(new) == tips(e)
     assert new.agg(F.sum("length")).first()[0] == e.agg(F.sum("length")).first()[0]
