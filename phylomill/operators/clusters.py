@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from phylomill.operators import neighbors as nb
 from phylomill.operators.components import connected_components
+from phylomill.operators.scans import numbered
 from phylomill.stash import stash
 
 PRODUCT = 2000  # multiplications of a product that take as long as a row of a join
@@ -58,10 +59,10 @@ def components(link: DataFrame, tips: DataFrame) -> DataFrame:
 def regular_ids(members: DataFrame, min_size: int = 1, column: str = "component") -> DataFrame:
     """(tip_id, cluster_id): 1.. by falling size, ties by first tip; clusters under ``min_size`` become 0.
 
-    The ranking runs over one row for each cluster that is large enough.
+    Ranks are places in range partitions, so that no task has all clusters.
     """
     sizes = members.groupBy(column).agg(F.count("*").alias("n"), F.min("tip_id").alias("first")).where(F.col("n") >= min_size)
-    ranked = sizes.withColumn("cluster_id", F.row_number().over(W.orderBy(F.desc("n"), "first")).cast("long"))
+    ranked = numbered(sizes.withColumn("order", -F.col("n")), ["order", "first"], "place").withColumn("cluster_id", F.col("place") + 1)
     return members.join(ranked.select(column, "cluster_id"), column, "left").select("tip_id", F.coalesce("cluster_id", F.lit(0)).alias("cluster_id"))
 
 

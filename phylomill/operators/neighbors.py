@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from phylomill.operators.rooting import sampled_outgroups
 from phylomill.stash import stash
 
 BLOCK = 512  # tips of an alignment block
@@ -163,62 +164,122 @@ def nearest_among(candidates: DataFrame, mutations: DataFrame, k: int, share: fl
     return _nearest(pairs, k, F.floor(F.col("n_own") * share) if unit else F.col("own") * share)
 
 
-def probe(mutations: DataFrame, radius: float, every: int = 50) -> DataFrame:
-    """(n_probed, mean_neighbors): neighbours within the radius of the tips with id % every = 0, against all tips."""
-    picked = mutations.where(F.col("tip_id") % every == 0)
+def picked_tips(tips: DataFrame, every: int, replicates: int | None = None, seed: int = 1) -> DataFrame:
+    """(tip_id): the tips to probe, ``replicates`` of them by a seeded hash, or without that all with tip_id % every = 0."""
+    if replicates is None:
+        return tips.select("tip_id").distinct().where(F.col("tip_id") % every == 0)
+    return sampled_outgroups(tips, 0.0, replicates, seed)
+
+
+def _mean_neighbors(picked: DataFrame, near: DataFrame) -> DataFrame:
+    n = near.groupBy(F.col("a").alias("tip_id")).agg(F.count("*").alias("n"))
+    return picked.join(n, "tip_id", "left").fillna(0, ["n"]).agg(F.count("*").alias("n_probed"), F.avg("n").alias("mean_neighbors"))
+
+
+def probe(mutations: DataFrame, radius: float, every: int = 50, replicates: int | None = None, seed: int = 1) -> DataFrame:
+    """(n_probed, mean_neighbors): neighbours within the radius of some tips (see ``picked_tips``), against all tips."""
+    picked = stash(picked_tips(mutations, every, replicates, seed), "picked")
     other = mutations.select(F.col("tip_id").alias("b"), "mut_id")
-    near = picked.join(other, "mut_id").groupBy("tip_id", "b").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= radius).groupBy("tip_id").agg(F.count("*").alias("n"))
-    tips = picked.select("tip_id").distinct().join(near, "tip_id", "left").fillna(0, ["n"])
-    return tips.agg(F.count("*").alias("n_probed"), F.avg("n").alias("mean_neighbors"))
+    mine = mutations.join(picked, "tip_id", "left_semi").withColumnRenamed("tip_id", "a")
+    near = mine.join(other, "mut_id").groupBy("a", "b").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= radius)
+    return _mean_neighbors(picked, near)
+
+
+def dna_probe(sites: DataFrame, radius: float, every: int = 50, replicates: int | None = None, seed: int = 1, weights: DataFrame | None = None) -> DataFrame:
+    """Like ``probe`` for alignments: blocks of the picked sequences meet all blocks."""
+    picked = stash(picked_tips(sites, every, replicates, seed), "picked")
+    of_site = _site_weights(weights)
+    every_ = _dna_blocks(sites, radius, weights)
+    own = _dna_blocks(sites.join(picked, "tip_id", "left_semi"), radius, weights)
+    blocks = lambda d: F.sequence(F.lit(0).cast("long"), F.lit(d.agg(F.max("block")).first()[0] or 0).cast("long"))
+    left = own.select(F.col("block").alias("x"), F.explode(blocks(every_)).alias("y"), F.col("rows").alias("left"))
+    right = every_.select(F.col("block").alias("y"), F.explode(blocks(own)).alias("x"), F.col("rows").alias("right"))
+    near = left.join(right.hint("shuffle_merge"), ["x", "y"]).mapInArrow(_similar(radius, of_site, False), "a long, b long, shared double")
+    return _mean_neighbors(picked, near)
+
+
+def _site_weights(weights: DataFrame | None) -> np.ndarray | None:
+    """Weights by site, as many as an alignment has sites; a site without one counts 1."""
+    if weights is None:
+        return None
+    given = weights.select("site", "weight").toArrow()
+    site = given.column("site").to_numpy()
+    out = np.ones(int(site.max(initial=-1)) + 1)
+    out[site] = given.column("weight").to_numpy()
+    return out
 
 
-def dna_within_radius(sites: DataFrame, radius: int) -> DataFrame:
-    """(a, b, shared): pairs of sequences with ``radius`` or more compatible sites (a common base; gaps never match).
+def dna_within_radius(sites: DataFrame, radius: float, weights: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared): pairs of sequences with ``radius`` or more compatible sites (a common base; gaps never match);
+    with ``weights`` (site, weight) sites count by these, and ``shared`` is a double.
 
     Similarity of alignments has no selective key, so blocks of sequences meet each other; a block pair is compared
     site by site, 64 at a time, over the sequences that reach there. Sequences with fewer known sites than the radius
     can't be in a pair, and blocks are made of sequences of about one length.
     """
-    known = sites.where("code & 15 != 0")
-    rows = known.groupBy("tip_id").agg(F.collect_list(F.struct("site", F.col("code").cast("tinyint").alias("code"))).alias("cells"), F.count("*").alias("n")).where(F.col("n") >= radius)
+    dealt = _dna_blocks(sites, radius, weights)
+    top = dealt.agg(F.max("block")).first()[0]
+    pairs = _paired(dealt, [], (top if top is not None else 0) + 1)
+    near = pairs.mapInArrow(_similar(radius, _site_weights(weights), True), "a long, b long, shared double")
+    return both_ways(near if weights is not None else near.withColumn("shared", F.col("shared").cast("int")))
+
+
+def _dna_blocks(sites: DataFrame, radius: float, weights: DataFrame | None) -> DataFrame:
+    """(block, rows): sequences that can reach the radius, with their known cells."""
+    known = sites.where("code & 15 != 0").select("tip_id", "site", "code")
+    if weights is not None:
+        known = known.join(weights.select("site", "weight"), "site", "left")
+    own = F.count("*") if weights is None else F.sum(F.coalesce("weight", F.lit(1.0)))
+    rows = known.groupBy("tip_id").agg(F.collect_list(F.struct("site", F.col("code").cast("tinyint").alias("code"))).alias("cells"), F.count("*").alias("n"), own.alias("own")).where(F.col("own") >= radius)
     rows = stash(rows, "sequences")
     # a hash deals the sequences of each length class (a factor of two) into blocks of about BLOCK
     rows = rows.withColumn("size", F.floor(F.log2("n")).cast("int"))
     classes = rows.groupBy("size").agg(F.count("*").alias("c"))
     first = W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)  # one row for each class
     classes = classes.withColumn("own", F.ceil(F.col("c") / BLOCK)).withColumn("before", F.coalesce(F.sum("own").over(first), F.lit(0)))
-    dealt = rows.join(F.broadcast(classes), "size").withColumn("block", F.col("before") + F.pmod(F.xxhash64("tip_id"), F.col("own")))
-    dealt = stash(dealt.groupBy("block").agg(F.collect_list(F.struct("tip_id", "cells")).alias("rows")), "blocks")
-    top = dealt.agg(F.max("block")).first()[0]
-    pairs = _paired(dealt, [], (top if top is not None else 0) + 1)
-
-    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tips, longest first, a matrix of their codes, and how far each reaches."""
-        tip, cells = rows.flatten()
-        size = cells.value_lengths().to_numpy()
-        site, code = (x.to_numpy() for x in cells.flatten().flatten())
-        row = np.repeat(np.arange(len(tip)), size)
-        reach = np.zeros(len(tip), np.int64)
-        np.maximum.at(reach, row, site + 1)
-        order = np.argsort(-reach, kind="stable")
-        place = np.empty(len(tip), np.int64)
-        place[order] = np.arange(len(tip))
-        matrix = np.zeros((len(tip), int(reach.max(initial=0))), np.uint8)
-        matrix[place[row], site] = code & 15
-        return tip.to_numpy()[order], matrix, reach[order]
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    dealt = rows.drop("own").join(F.broadcast(classes), "size").withColumn("block", F.col("before") + F.pmod(F.xxhash64("tip_id"), F.col("own")))
+    return stash(dealt.groupBy("block").agg(F.collect_list(F.struct("tip_id", "cells")).alias("rows")), "blocks")
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tips, longest first, a matrix of their codes, and how far each reaches."""
+    tip, cells = rows.flatten()
+    size = cells.value_lengths().to_numpy()
+    site, code = (x.to_numpy() for x in cells.flatten().flatten())
+    row = np.repeat(np.arange(len(tip)), size)
+    reach = np.zeros(len(tip), np.int64)
+    np.maximum.at(reach, row, site + 1)
+    order = np.argsort(-reach, kind="stable")
+    place = np.empty(len(tip), np.int64)
+    place[order] = np.arange(len(tip))
+    matrix = np.zeros((len(tip), int(reach.max(initial=0))), np.uint8)
+    matrix[place[row], site] = code & 15
+    return tip.to_numpy()[order], matrix, reach[order]
+
+
+def _similar(radius: float, weights: np.ndarray | None, once: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a block pair that reach the radius; ``once``: with a <= b, and within a block only once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                (p, pm, pr), (q, qm, qr) = (unpacked(batch.column(side)[k].values) for side in ("left", "right"))
-                total = np.zeros((len(p), len(q)), np.int32)
+                (p, pm, pr), (q, qm, qr) = (_unpacked(batch.column(side)[k].values) for side in ("left", "right"))
+                total = np.zeros((len(p), len(q)))
                 for i in range(0, min(pm.shape[1], qm.shape[1]), 64):
                     m, n = int((pr > i).sum()), int((qr > i).sum())  # sequences that reach this far come first
                     width = min(i + 64, pm.shape[1], qm.shape[1])
-                    total[:m, :n] += ((pm[:m, None, i:width] & qm[None, :n, i:width]) != 0).sum(2, dtype=np.int32)
+                    met = (pm[:m, None, i:width] & qm[None, :n, i:width]) != 0
+                    if weights is None:
+                        total[:m, :n] += met.sum(2, dtype=np.int32)
+                    else:
+                        own = np.ones(width - i)
+                        own[: max(0, len(weights) - i)] = weights[i:width]
+                        total[:m, :n] += met @ own
                 i, j = np.nonzero(total >= radius)
-                a, b = p[i], q[j]
-                keep = a <= b if batch.column("x")[k].as_py() == batch.column("y")[k].as_py() else np.ones(len(a), bool)
-                yield pa.record_batch({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "shared": total[i, j][keep]})
+                a, b, shared = p[i], q[j], total[i, j]
+                if once:
+                    keep = a <= b if batch.column("x")[k].as_py() == batch.column("y")[k].as_py() else np.ones(len(a), bool)
+                    a, b, shared = np.minimum(a, b)[keep], np.maximum(a, b)[keep], shared[keep]
+                yield pa.record_batch({"a": a, "b": b, "shared": shared})
 
-    return both_ways(pairs.mapInArrow(similar, "a long, b long, shared int"))
+    return run

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from phylomill.operators import trees
 from phylomill.stash import stash
 
-MOST_ROOTS = 10_000
+MOST_BYTES = 64 << 20
 
 
 def in_group(characters: DataFrame, clusters: DataFrame, layer: int, roots: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int, kind: st
     """(tree_id, tip_id, n): outgroups with fewer than ``cutoff`` conflicts (see ``conflicts``) with the root of a tree.
 
     A root and an outgroup are a row each, with arrays of their cells, so a pair is judged where it is made, in time
-    linear in the cells, and only pairs that pass go on. Roots are sent to all executors up to ``MOST_ROOTS``.
+    linear in the cells, and only pairs that pass go on. Roots are sent to all executors, ``MOST_BYTES`` of them at a time.
     """
     site, state = F.col("site").cast("long"), F.col("state").cast("long")
     listed = lambda test, value: F.array_compact(F.collect_list(F.when(test, value)))
@@ -73,8 +73,17 @@ def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int, kind: st
         n = F.size("own_alone") - F.size(F.array_distinct(F.transform(F.array_intersect(F.flatten("own_cells"), F.flatten("has_cells")), lambda x: F.floor(x / 16))))
     roots = stash(root_states.groupBy("tree_id", "node").agg(*[listed(mine, value).alias(f"own_{x}") for x, (mine, _, value) in made.items()]).drop("node"), "roots")
     tips = outgroups.groupBy("tip_id").agg(*[listed(theirs, value).alias(f"has_{x}") for x, (_, theirs, value) in made.items()])
-    pairs = tips.crossJoin(F.broadcast(roots) if roots.count() <= MOST_ROOTS else roots)
-    return pairs.select("tree_id", "tip_id", n.cast("long").alias("n")).where(F.col("n") < cutoff)
+    lists = [c for c in roots.columns if c.startswith("own_")]
+    cells = sum((F.sum(F.size(F.flatten(c)) if dict(roots.dtypes)[c].startswith("array<array") else F.size(c)) for c in lists), F.lit(0))
+    total = roots.agg(F.count("*").alias("k"), cells.alias("cells")).first()
+    parts = max(1, -(-(64 * total.k + 8 * (total.cells or 0)) // MOST_BYTES))
+    tips = stash(tips, "outgroups") if parts > 1 else tips
+    out = None
+    for k in range(parts):
+        part = roots.where(F.pmod(F.xxhash64("tree_id"), F.lit(parts)) == k) if parts > 1 else roots
+        found = tips.crossJoin(F.broadcast(part)).select("tree_id", "tip_id", n.cast("long").alias("n")).where(F.col("n") < cutoff)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def retained(edges: DataFrame, node_states: DataFrame, outgroups: DataFrame, near: DataFrame, cutoff: int, kind: str = "indel") -> DataFrame:

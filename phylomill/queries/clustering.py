@@ -12,7 +12,7 @@ from phylomill.operators import outgroup as og
 from phylomill.operators import rooting as ro
 from phylomill.operators import solve as so
 from phylomill.operators import trees as tr
-from phylomill.plans import lineage
+from phylomill.plans import lineage, workloads
 from phylomill.registry import query
 from phylomill.stash import stash
 
@@ -100,6 +100,28 @@ def _(spark, d):
     return nb.probe(mutations(spark, d), 7)
 
 
+_COMPATIBLE = f"x AS ({fx.DNA_DUCKDB})"
+
+
+@query("s26_dna_radius_probe", f"""
+WITH {_COMPATIBLE}, n AS (SELECT a.tip_id AS a, b.tip_id AS b FROM x a JOIN x b ON a.site = b.site WHERE a.tip_id % 50 = 0 AND a.code & b.code & 15 <> 0 GROUP BY 1, 2 HAVING count(*) >= 200)
+SELECT count(*) AS n_probed, avg(k) AS mean_neighbors FROM (SELECT t.tip_id, count(n.b) AS k FROM (SELECT DISTINCT tip_id FROM x WHERE tip_id % 50 = 0) t LEFT JOIN n ON n.a = t.tip_id GROUP BY 1) y""")
+def _(spark, d):
+    """Every sequence whose id is divisible by 50, against all."""
+    return nb.dna_probe(fx.table(spark, d, fx.DNA), 200)
+
+
+_BASES = f"x AS (SELECT tip_id, site, state AS code, (1 + site * 7 % 16) / 16.0E0 AS w FROM ({fx.CHARACTER_BASES}) b)"
+
+
+@query("s22_weighted_dna_radius", f"WITH {_BASES} SELECT a.tip_id AS a, b.tip_id AS b, sum(a.w) AS shared FROM x a JOIN x b ON a.site = b.site WHERE a.code & b.code & 15 <> 0 GROUP BY 1, 2 HAVING sum(a.w) >= 9")
+def _(spark, d):
+    """Sites count by dyadic weights."""
+    x = fx.table(spark, d, fx.CHARACTER_BASES).withColumnRenamed("state", "code")
+    weights = x.select("site").distinct().withColumn("weight", (1 + F.col("site") * 7 % 16) / 16.0)
+    return nb.dna_within_radius(x, 9.0, weights)
+
+
 @query("s27_links", f"{_BASE}, {_LINKS} SELECT i, j FROM l")
 def _(spark, d):
     return linked(spark, d)[1]
@@ -400,12 +422,33 @@ def _(spark, d):
     return lineage.build(fx.table(spark, d, fx.CHARACTER_BASES), layers(spark, d), 3, 1, "dna")
 
 
+@query("w1_indel_lineage")
+def _(spark, d):
+    return workloads.indel_lineage(fx.table(spark, d, C), 7)
+
+
+@query("w2_bit_support")
+def _(spark, d):
+    return workloads.bit_support(fx.table(spark, d, fx.BITS).select("tip_id", "site"), 4)
+
+
+@query("w3_dna_lineage")
+def _(spark, d):
+    return workloads.dna_lineage(fx.table(spark, d, fx.CHARACTER_BASES).withColumnRenamed("state", "code"), 18, min_size=3)
+
+
 @query("s32_automatic_split")
 def _(spark, d):
     """The radii that the search goes through, from 10 mutations on."""
     return lineage.automatic_split(fx.table(spark, d, M), 10, min_size=3)[2]
 
 
+@query("s32_dna_split")
+def _(spark, d):
+    """The radii of the search over an alignment, from 24 compatible sites on."""
+    return lineage.automatic_split(fx.table(spark, d, fx.CHARACTER_BASES).withColumnRenamed("state", "code"), 24, "dna", step=1, min_size=3, tries=3)[2]
+
+
 @query("s58_vote_shares", f"""
 WITH v AS ({fx.VOTES}), b AS (SELECT cluster_id, max(shared) AS top FROM v GROUP BY 1), e AS (SELECT v.cluster_id, edge_child, sum(size) AS s FROM v JOIN b ON b.cluster_id = v.cluster_id WHERE shared >= top - 20 GROUP BY 1, 2)
 SELECT cluster_id, edge_child, CAST(s AS DOUBLE) / CAST(sum(s) OVER (PARTITION BY cluster_id) AS DOUBLE) AS share, row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, edge_child) = 1 AS is_root,

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phylomill.operators.scans import numbered
+
 _TOKEN = re.compile(r"\s*(?:([(),;])|:\s*([^(),:;\s\[\]{}]+)|'((?:[^']|'')*)'|([^\s(),:;'\[\]{}]+)|(\[[^\]]*\])|\{(\d+)\})")
 
 
@@ -72,8 +74,7 @@ def edges(lines: DataFrame) -> DataFrame:
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
     """Trees of a file, numbered from 1 in order."""
     rows = spark.read.text(path).where("trim(value) != ''").withColumn("id", F.monotonically_increasing_id())
-    order = rows.select("id").orderBy("id").rdd.map(lambda r: r.id).zipWithIndex().toDF(["id", "n"])
-    return edges(rows.join(order, "id").select((F.col("n") + 1).alias("tree_id"), F.col("value").alias("newick")))
+    return edges(numbered(rows, ["id"], "n").select((F.col("n") + 1).alias("tree_id"), F.col("value").alias("newick")))
 
 
 def placements(files: DataFrame) -> DataFrame:
