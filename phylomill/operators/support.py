@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from phylomill.operators import intervals as iv
+from phylomill.operators.scans import numbered
 from phylomill.operators.trees import topmost
 from phylomill.stash import stash
 
@@ -71,19 +72,34 @@ def approximate_support(nearest: DataFrame, threshold: float) -> DataFrame:
     return nearest.groupBy("tree_id", "node", "size").agg(F.sum(hit).alias("s")).crossJoin(F.broadcast(n)).select("tree_id", "node", "size", (F.col("s") / F.col("n")).alias("support"))
 
 
-def transfer_distances(left: DataFrame, right: DataFrame) -> DataFrame:
+def transfer_distances(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
     """(tree_id, node, light, other_tree, distance): least number of tips to move, over both sides of every split.
 
-    min(d, n - d) over the other tree's clades with d the symmetric difference; overlapping clades are joined, and
-    disjoint ones have d = |A| + |B|, of which the least and the greatest |B| decide.
+    min(d, n - d) over the other tree's clades, with d the symmetric difference. Overlapping clades are joined. Of the
+    disjoint ones, with d = |A| + |B|, the least and the largest decide. The least clade of the whole tree does for the
+    first: were it to overlap, its own d is less. The largest disjoint clade hangs off a node that A meets, or off the
+    root: of such a node's children, k of them met, one of the k + 1 largest isn't. ``edges`` are those of ``right``.
     """
     n = left.groupBy("tree_id").agg(F.countDistinct("tip").alias("n"))
-    d = clade_distances(left, right).join(n, "tree_id").groupBy("tree_id", "node", "size", "n", "other_tree").agg(F.min(F.least("distance", F.col("n") - F.col("distance"))).alias("d"))
-    met = left.select("tree_id", "node", "tip").join(right.select(F.col("tree_id").alias("other_tree"), F.col("node").alias("other"), "tip"), "tip").where("tree_id != other_tree").select("tree_id", "node", "other_tree", "other").distinct()
-    sizes = right.groupBy(F.col("tree_id").alias("other_tree"), F.col("node").alias("other")).agg(F.count("*").alias("m"))
-    apart = left.select("tree_id", "node").distinct().join(sizes, F.expr("tree_id != other_tree")).join(met, ["tree_id", "node", "other_tree", "other"], "left_anti")
-    far = apart.groupBy("tree_id", "node", "other_tree").agg(F.min("m").alias("least"), F.max("m").alias("most"))
-    out = d.join(far, ["tree_id", "node", "other_tree"], "left")
+    sizes = stash(right.groupBy("tree_id", "node").agg(F.count("*").alias("m")), "sizes")
+    pairs = stash(clade_distances(left, right).select("tree_id", "node", "other_tree", "other", "distance"), "pairs")
+    own = left.groupBy("tree_id", "node").agg(F.count("*").alias("size")).join(n, "tree_id")
+    least = sizes.groupBy(F.col("tree_id").alias("other_tree")).agg(F.min("m").alias("least"))
+    every = stash(own.join(F.broadcast(least), F.col("tree_id") != F.col("other_tree")), "clades-and-trees")  # a row for each tree
+    near = pairs.join(own, ["tree_id", "node"]).groupBy("tree_id", "node", "other_tree").agg(F.min(F.least("distance", F.col("n") - F.col("distance"))).alias("d"))
+    # children that are clades, the largest first
+    kids = edges.select("tree_id", "parent", F.col("child").alias("node")).join(sizes, ["tree_id", "node"])
+    placed = stash(numbered(kids.withColumn("down", -F.col("m")), ["tree_id", "parent", "down", "node"], "place"), "children")
+    first = placed.groupBy("tree_id", "parent").agg(F.min("place").alias("first"))
+    ranked = placed.join(first, ["tree_id", "parent"]).select(F.col("tree_id").alias("other_tree"), "parent", F.col("node").alias("other"), "m", (F.col("place") - F.col("first") + 1).alias("rank"))
+    up = edges.select(F.col("tree_id").alias("other_tree"), F.col("child").alias("other"), "parent")
+    met = pairs.join(up, ["other_tree", "other"]).groupBy("tree_id", "node", "other_tree", "parent").agg(F.count("*").alias("k"))
+    tops = edges.select(F.col("tree_id").alias("other_tree"), "parent").distinct().join(up.select("other_tree", F.col("other").alias("parent")), ["other_tree", "parent"], "left_anti")
+    over = pairs.select("tree_id", "node", "other_tree", F.col("other").alias("parent")).unionByName(every.select("tree_id", "node", "other_tree").join(tops, "other_tree")).distinct()
+    over = over.join(met, ["tree_id", "node", "other_tree", "parent"], "left").withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("k", F.lit(0)) + 1)))
+    apart = over.join(ranked, ["other_tree", "parent", "rank"]).join(pairs.select("tree_id", "node", "other_tree", "other"), ["tree_id", "node", "other_tree", "other"], "left_anti")
+    far = apart.groupBy("tree_id", "node", "other_tree").agg(F.max("m").alias("most"))
+    out = every.join(near, ["tree_id", "node", "other_tree"], "left").join(far, ["tree_id", "node", "other_tree"], "left")
     best = F.least("d", F.col("size") + F.col("least"), F.col("n") - F.col("size") - F.col("most"))
     return out.select("tree_id", "node", F.least("size", F.col("n") - F.col("size")).alias("light"), "other_tree", best.alias("distance"))
 

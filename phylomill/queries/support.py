@@ -76,7 +76,7 @@ FROM q a JOIN q b ON a.tree_id <> b.tree_id JOIN n ON n.tree_id = a.tree_id)
 SELECT tree_id, node, least(size, k - size) AS light, other_tree, min(least(d, k - d)) AS distance FROM x GROUP BY 1, 2, size, k, other_tree""")
 def _(spark, d):
     m = inner(spark, d)
-    return su.transfer_distances(m, m)
+    return su.transfer_distances(m, m, edges(spark, d))
 
 
 def _consensus() -> str:

@@ -128,3 +128,33 @@ def test_rounds_go_with_the_logarithm(spark, monkeypatch):
     assert spans.count() == 6001 and spans.agg(F.max("depth")).first()[0] == 3000 and len(made) < 20
     made.clear()
     assert iv.lifted(df).agg(F.max("steps")).first()[0] == 3000 and len(made) < 16
+
+
+def test_transfer_distances_equal_all_pairs(spark):
+    """Random trees over the same tips, some of them near stars."""
+    r = random.Random(11)
+    rows = []
+    for t, k in (("A", 9), ("B", 14), ("C", 3)):
+        nodes = ["i0"]
+        for x in range(1, k):
+            rows.append((t, r.choice(nodes), f"i{x}"))
+            nodes.append(f"i{x}")
+        rows += [(t, r.choice(nodes), f"t{x}") for x in range(24)]
+        inner = {p for u, p, _ in rows if u == t}
+        rows = [e for e in rows if e[0] != t or e[2][0] == "t" or e[2] in inner]
+    df = spark.createDataFrame(rows, "tree_id string, parent string, child string").cache()
+    clades = {}
+    for (t, x), w in above([(*e, 0) for e in rows]).items():
+        if x[0] == "t":
+            for a in w[:-1]:
+                clades.setdefault((t, a), set()).add(x)
+    own = spark.createDataFrame([(t, a, x) for (t, a), v in clades.items() for x in v], "tree_id string, node string, tip string").cache()
+    got = {(x.tree_id, x.node, x.other_tree): (x.light, x.distance) for x in su.transfer_distances(own, own, df).collect()}
+    size = {t: len(set().union(*(v for (u, _), v in clades.items() if u == t))) for t in "ABC"}
+    want = {}
+    for (t, a), v in clades.items():
+        for o in "ABC":
+            if o != t:
+                d = [len(v ^ w) for (u, _), w in clades.items() if u == o]
+                want[t, a, o] = (min(len(v), size[t] - len(v)), min(min(x, size[t] - x) for x in d))
+    assert got == want
