@@ -1,6 +1,7 @@
 """Trees as intervals, with rows linear in the nodes however deep a tree is.
 
-Each edge is walked down and up once in a tour of its tree. List ranking by pointer jumping tells how much of the tour is
+Trees of up to ``DEEP`` levels are counted level by level, up for what is below a node and down for its place, so that a
+node is read and written a few times. In deeper ones each edge is walked down and up once in a tour of its tree. List ranking by pointer jumping tells how much of the tour is
 left at every half-edge, and with it a node's place in the order of the tour, the last place below it, its tips' places
 and its depth. A clade is then a range of tip places, and "below" a range of node places.
 """
@@ -12,15 +13,78 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylomill.operators.scans import numbered, running
+from phylomill.operators.scans import numbered, running, running_sums
 from phylomill.stash import discard, stash
 
 BLOCK = 256  # places that a range is dealt by
+DEEP = 24  # levels up to which places are counted level by level
 
 
 def intervals(edges: DataFrame) -> DataFrame:
     """(tree_id, node, enter, leave, first, tips, depth): the nodes below are those with a place in (enter, leave], the
     tips below those with one in [first, first + tips). Children go by their labels; the root has place and depth 0."""
+    levels = _levels(edges)
+    return _toured(edges) if levels is None else _counted_down(*levels)
+
+
+def _levels(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]] | None:
+    """Roots (tree_id, node), and the edges of each level from there down; none for trees of over ``DEEP`` levels."""
+    inner = edges.select("tree_id", F.col("parent").alias("node")).distinct()
+    # only edges between inner nodes, mostly few, lead to a further level
+    ways = stash(edges.select("tree_id", "parent", "child").join(inner.withColumnRenamed("node", "child"), ["tree_id", "child"], "left_semi"), "inner-edges")
+    if _deeper(ways):
+        return None
+    roots = stash(inner.join(edges.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_anti"), "roots")
+    at, depths = roots, []
+    while not at.isEmpty():
+        depths.append(at.withColumn("depth", F.lit(len(depths))))
+        at = stash(ways.join(at.withColumnRenamed("node", "parent"), ["tree_id", "parent"]).select("tree_id", F.col("child").alias("node")), "level")
+    if not depths:
+        return roots, []
+    depth = depths[0]
+    for d in depths[1:]:
+        depth = depth.unionByName(d)
+    whole = stash(edges.select("tree_id", "parent", "child").join(depth.withColumnRenamed("node", "parent"), ["tree_id", "parent"]), "levels")
+    return roots, [whole.where(F.col("depth") == d).drop("depth") for d in range(len(depths))]
+
+
+def _deeper(ways: DataFrame) -> bool:
+    """Whether some inner node has ``DEEP`` nodes above it, by paths of 8, 16 and 24 edges."""
+    longer = lambda a, b: a.join(b.select("tree_id", F.col("child").alias("parent"), F.col("parent").alias("top")), ["tree_id", "parent"]).select("tree_id", F.col("top").alias("parent"), "child")
+    two = longer(ways, ways)
+    four = longer(two, two)
+    eight = longer(four, four)
+    if eight.isEmpty():
+        return False
+    return not longer(longer(eight, eight), eight).isEmpty()
+
+
+def _counted_down(roots: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Nodes and tips below are summed up from the last level; a node comes after what its earlier siblings hold."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    held, below = [], None
+    for edges in reversed(levels):
+        size = edges.select("tree_id", "parent", "child")
+        if below is None:
+            size = size.select("*", one.alias("n"), one.alias("t"))
+        else:
+            size = size.join(below.withColumnRenamed("parent", "child"), ["tree_id", "child"], "left").select("tree_id", "parent", "child", (1 + F.coalesce("n", none)).alias("n"), F.coalesce("t", one).alias("t"))
+        held.insert(0, running_sums(size, ["tree_id", "parent"], ["child"], {"n0": F.col("n"), "t0": F.col("t")}))
+        below = stash(size.groupBy("tree_id", "parent").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "sums")
+    top = roots if below is None else roots.join(below.withColumnRenamed("parent", "node"), ["tree_id", "node"])
+    top = top.select("tree_id", "node", none.alias("enter"), (F.col("n") if below is not None else none).alias("leave"), none.alias("first"), (F.col("t") if below is not None else none).alias("tips"), none.alias("depth"))
+    out = [stash(top, "places")]
+    for edges in held:
+        above = out[-1].select("tree_id", F.col("node").alias("parent"), F.col("enter").alias("e"), F.col("first").alias("f"), "depth")
+        enter = F.col("e") + 1 + F.col("n0")
+        out.append(stash(edges.join(above, ["tree_id", "parent"]).select("tree_id", F.col("child").alias("node"), enter.alias("enter"), (enter + F.col("n") - 1).alias("leave"), (F.col("f") + F.col("t0")).alias("first"), F.col("t").alias("tips"), (F.col("depth") + 1).alias("depth")), "places"))
+    every = out[0]
+    for level in out[1:]:
+        every = every.unionByName(level)
+    return every
+
+
+def _toured(edges: DataFrame) -> DataFrame:
     e = stash(numbered(edges.select("tree_id", "parent", "child"), ["tree_id", "parent", "child"], "r"), "tour-edges")
     kids = stash(e.groupBy("tree_id", "parent").agg(F.min("r").alias("low"), F.max("r").alias("high")), "children")
     own = kids.select("tree_id", F.col("parent").alias("child"), "low")

@@ -158,3 +158,13 @@ def test_transfer_distances_equal_all_pairs(spark):
                 d = [len(v ^ w) for (u, _), w in clades.items() if u == o]
                 want[t, a, o] = (min(len(v), size[t] - len(v)), min(min(x, size[t] - x) for x in d))
     assert got == want
+
+
+def test_shallow_trees_get_the_places_of_the_tour_without_it(spark, forest, monkeypatch):
+    """The same places both ways, and rows written that don't go with the rounds of list ranking."""
+    _, df = forest
+    df = df.where("tree_id IN ('A', 'C')")
+    want = sorted(map(tuple, iv._toured(df).select("tree_id", "node", "enter", "leave", "first", "tips", "depth").collect()))
+    monkeypatch.setattr(iv, "_toured", None)
+    assert sorted(map(tuple, iv.intervals(df).select("tree_id", "node", "enter", "leave", "first", "tips", "depth").collect())) == want
+    assert iv.intervals(df.limit(0)).count() == 0
