@@ -63,6 +63,18 @@ def indel_ancestors(members: DataFrame, states: DataFrame) -> DataFrame:
     return found.select("tree_id", "node", "site", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(0).alias("state"))
 
 
+def indel_states(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """``indel_ancestors`` of all inner nodes of ``edges``: tips are summed up in their parents first, and only these sums
+    go to the nodes above."""
+    inner = stash(edges.select("tree_id", "parent").distinct(), "inner-nodes")
+    ways = edges.select("tree_id", "parent", "child").join(inner.withColumnRenamed("parent", "child"), ["tree_id", "child"], "left_semi")
+    at = edges.select("tree_id", F.col("parent").alias("node"), F.col("child").alias("tip")).join(inner.withColumnRenamed("parent", "tip"), ["tree_id", "tip"], "left_anti")
+    own = stash(at.join(states, "tip").groupBy("tree_id", "node", "site").agg(F.min("state").alias("low"), F.max("state").alias("high")), "own-tips")
+    above = own.join(closure(ways), ["tree_id", "node"]).select("tree_id", F.col("ancestor").alias("node"), "site", "low", "high")
+    found = own.unionByName(above).groupBy("tree_id", "node", "site").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.select("tree_id", "node", "site", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(0).alias("state"))
+
+
 def binary_ancestors(members: DataFrame, bits: DataFrame) -> DataFrame:
     """(tree_id, node, site) of irreversible bits: set in an ancestor if set in all tips below."""
     n = members.join(bits, "tip").groupBy("tree_id", "node", "site").agg(F.count("*").alias("n"))

@@ -20,11 +20,11 @@ NEAR = f"{DIST}, w AS (SELECT tree_id, node, size, other_tree, other, distance F
 
 
 def keys(spark, d):
-    return stash(su.clade_keys(members(spark, d)), "keys")
+    return stash(su.clade_keys(members(edges(spark, d))), "keys")
 
 
 def inner(spark, d):
-    return stash(members(spark, d).where("node != 'R'").select("tree_id", "node", "tip"), "clades")
+    return stash(members(edges(spark, d)).where("node != 'R'").select("tree_id", "node", "tip"), "clades")
 
 
 def distances(spark, d):
@@ -112,12 +112,14 @@ _CHOSEN = "SELECT c_custkey % 4 AS k, concat('t:', CAST(c_custkey AS STRING)) AS
 i AS (SELECT m.tree_id, c.set_id, m.node, z.size FROM m JOIN c ON c.tip = m.tip JOIN z ON z.tree_id = m.tree_id AND z.node = m.node GROUP BY 1, 2, 3, 4 HAVING count(*) = z.size)
 SELECT tree_id, set_id, node, size FROM i WHERE NOT EXISTS (SELECT 1 FROM e JOIN i j ON j.tree_id = e.tree_id AND j.node = e.parent AND j.set_id = i.set_id WHERE e.tree_id = i.tree_id AND e.child = i.node)""")
 def _(spark, d):
-    return su.maximal_nested(edges(spark, d), spans(spark, d), fx.table(spark, d, _CHOSEN).select("tip", "set_id"))
+    e = edges(spark, d)
+    return su.maximal_nested(e, spans(e), fx.table(spark, d, _CHOSEN).select("tip", "set_id"))
 
 
 @query("s92_unnested_nodes", f"{CLO}, {_FLAG} SELECT f.tree_id, f.node FROM f WHERE NOT EXISTS (SELECT 1 FROM p JOIN f g ON g.tree_id = p.tree_id AND g.node = p.ancestor WHERE p.tree_id = f.tree_id AND p.node = f.node)")
 def _(spark, d):
-    return tr.topmost(edges(spark, d), edges(spark, d).where("length = 2 AND child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
+    e = edges(spark, d)
+    return tr.topmost(e, e.where("length = 2 AND child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
 
 
 def _fitted() -> str:
@@ -137,7 +139,7 @@ now{r + 1} AS (SELECT set_id, n, child AS up FROM here{r} WHERE i >= (1 - 0.2) *
 @query("s93_fitted_clades", _fitted())
 def _(spark, d):
     e = edges(spark, d)
-    m = stash(members(spark, d), "clades")
+    m = stash(members(e), "clades")
     sets = m.where("tree_id = 'D' AND node LIKE 'n:%'").select(F.col("node").alias("set_id"), "tip")
     return co.fitted(e.where("tree_id = 'A'"), m.where("tree_id = 'A'"), sets, 0.2)
 
@@ -155,7 +157,7 @@ def _(spark, d):
 @query("s95_consensus_tree")
 def _(spark, d):
     e = edges(spark, d)
-    m = stash(members(spark, d), "clades")
+    m = stash(members(e), "clades")
     return co.consensus_tree(e, m, co.consensus_clades(nearest(spark, d), 0.1, co.ordered(e)), "A", 0.2)
 
 
@@ -164,4 +166,5 @@ def _(spark, d):
 SELECT g.tree_id, g.node FROM g WHERE NOT EXISTS (SELECT 1 FROM p JOIN g h ON h.tree_id = p.tree_id AND h.node = p.ancestor WHERE p.tree_id = g.tree_id AND p.node = g.node)""")
 def _(spark, d):
     s = su.approximate_support(nearest(spark, d), 0.1)
-    return su.clones(edges(spark, d), s, tr.roots(edges(spark, d)), 1.0)
+    e = edges(spark, d)
+    return su.clones(e, s, tr.roots(e), 1.0)

@@ -28,34 +28,34 @@ CHANGED = f"{ALL}, c AS (SELECT e.tree_id, e.parent, e.child, x.site, x.state AS
 
 
 def edges(spark, d):
-    return fx.table(spark, d, EDGES)
+    """Written: made of sixteen selections, and read many times by a query."""
+    return stash(fx.table(spark, d, EDGES), "edges")
 
 
-def paths(spark, d):
-    return stash(tr.closure(edges(spark, d)), "closure")
+def states(spark, d):
+    """Written: a join of the largest tables."""
+    return stash(fx.table(spark, d, STATES), "tip-states")
 
 
-def spans(spark, d):
-    return stash(iv.intervals(edges(spark, d)), "spans")
+def both(spark, d):
+    return edges(spark, d), states(spark, d)
 
 
-def states(spark, d):
-    return fx.table(spark, d, STATES)
+def spans(e):
+    return stash(iv.intervals(e), "spans")
 
 
-def members(spark, d, p=None):
-    return tr.clades(edges(spark, d), paths(spark, d) if p is None else p)
+def members(e):
+    return tr.clades(e, stash(tr.closure(e), "closure"))
 
 
-def node_states(spark, d, m=None):
-    e, s = edges(spark, d), states(spark, d)
-    a = tr.indel_ancestors(members(spark, d) if m is None else m, s)
+def node_states(e, s):
     own = tr.tips(e).join(s, "tip").select("tree_id", F.col("tip").alias("node"), "site", "state")
-    return stash(a.unionByName(own), "states")
+    return stash(tr.indel_states(e, s).unionByName(own), "states")
 
 
-def changed(spark, d):
-    return stash(tr.changes(edges(spark, d), node_states(spark, d)), "changed")
+def changed(e, s):
+    return stash(tr.changes(e, node_states(e, s)), "changed")
 
 
 @query("s75_closure", f"{CLO} SELECT tree_id, ancestor, node, distance FROM p")
@@ -65,17 +65,17 @@ def _(spark, d):
 
 @query("s75_clade_sizes", f"{CLO} SELECT tree_id, node, count(*) AS size FROM m GROUP BY 1, 2")
 def _(spark, d):
-    return iv.sizes(spans(spark, d))
+    return iv.sizes(spans(edges(spark, d)))
 
 
 @query("s62_indel_ancestors", f"{ALL} SELECT tree_id, node, site, state FROM a")
 def _(spark, d):
-    return tr.indel_ancestors(members(spark, d), states(spark, d))
+    return tr.indel_states(*both(spark, d))
 
 
 @query("s63_binary_ancestors", f"{CLO}, z AS (SELECT tree_id, node, count(*) AS k FROM m GROUP BY 1, 2) SELECT m.tree_id, m.node, s.site FROM m JOIN s ON s.tip = m.tip JOIN z ON z.tree_id = m.tree_id AND z.node = m.node GROUP BY 1, 2, 3, z.k HAVING count(*) = z.k")
 def _(spark, d):
-    return tr.binary_ancestors(members(spark, d), states(spark, d).select("tip", "site"))
+    return tr.binary_ancestors(members(edges(spark, d)), states(spark, d).select("tip", "site"))
 
 
 def _by_level(rule: str, gap: str) -> str:
@@ -96,8 +96,8 @@ def _down(settle: str, root: str) -> str:
 
 
 def _codes(spark, d, code):
-    e = edges(spark, d)
-    rows = tr.tips(e).join(states(spark, d), "tip").select("tree_id", "tip", "site", code.cast("int").alias("code"))
+    e, s = both(spark, d)
+    rows = tr.tips(e).join(s, "tip").select("tree_id", "tip", "site", code.cast("int").alias("code"))
     return e, rows, tr.levels(e)
 
 
@@ -113,12 +113,13 @@ def _(spark, d):
 
 @query("s66_branch_lengths", f"{CHANGED} SELECT e.tree_id, e.parent, e.child, count(c.site) AS length FROM e LEFT JOIN c ON c.tree_id = e.tree_id AND c.child = e.child GROUP BY 1, 2, 3")
 def _(spark, d):
-    return tr.branch_lengths(edges(spark, d), changed(spark, d))
+    e, s = both(spark, d)
+    return tr.branch_lengths(e, changed(e, s))
 
 
 @query("s67_changes_per_site", f"{CHANGED} SELECT tree_id, site, count(*) AS n FROM c GROUP BY 1, 2")
 def _(spark, d):
-    return tr.changes_per_site(changed(spark, d))
+    return tr.changes_per_site(changed(*both(spark, d)))
 
 
 GAINED = f"{ALL}, g AS (SELECT e.tree_id, e.child, y.site, y.state FROM e JOIN n y ON y.tree_id = e.tree_id AND y.node = e.child WHERE y.state > 0 AND NOT EXISTS (SELECT 1 FROM n x WHERE x.tree_id = e.tree_id AND x.node = e.parent AND x.site = y.site AND x.state = y.state))"
@@ -126,30 +127,34 @@ GAINED = f"{ALL}, g AS (SELECT e.tree_id, e.child, y.site, y.state FROM e JOIN n
 
 @query("s68_gained_mutations", f"{GAINED} SELECT tree_id, child, site, state FROM g")
 def _(spark, d):
-    return tr.gained(edges(spark, d), node_states(spark, d))
+    e, s = both(spark, d)
+    return tr.gained(e, node_states(e, s))
 
 
 @query("s68_origins", f"{GAINED} SELECT tree_id, site, state, count(*) AS n FROM g GROUP BY 1, 2, 3")
 def _(spark, d):
-    return tr.origins(tr.gained(edges(spark, d), node_states(spark, d)))
+    e, s = both(spark, d)
+    return tr.origins(tr.gained(e, node_states(e, s)))
 
 
 @query("s69_evolution_events", f"{CHANGED} SELECT tree_id, count(*) AS events, CAST(sum(1 + site % 2) AS BIGINT) AS weighted FROM c GROUP BY 1")
 def _(spark, d):
-    weights = states(spark, d).select("site").distinct().withColumn("weight", (1 + F.col("site") % 2).cast("long"))
-    return tr.events(changed(spark, d), weights)
+    e, s = both(spark, d)
+    weights = s.select("site").distinct().withColumn("weight", (1 + F.col("site") % 2).cast("long"))
+    return tr.events(changed(e, s), weights)
 
 
 @query("s67_inner_changes_per_site", f"{CHANGED} SELECT tree_id, site, count(*) AS n FROM c WHERE child NOT LIKE 't:%' AND s_parent <> 4 AND s_child <> 4 GROUP BY 1, 2")
 def _(spark, d):
     """Changes on edges to inner nodes; state 4 stands for a gap."""
-    e = edges(spark, d)
-    return tr.changes_per_site(changed(spark, d), e.select("tree_id", F.col("parent").alias("node")), 4)
+    e, s = both(spark, d)
+    return tr.changes_per_site(changed(e, s), e.select("tree_id", F.col("parent").alias("node")), 4)
 
 
 @query("s81_homoplasy_weights", f"{GAINED}, o AS (SELECT tree_id, site, state, count(*) AS n FROM g GROUP BY 1, 2, 3) SELECT tree_id, site, state, round(1.0E0 / n / avg(1.0E0 / n) OVER (PARTITION BY tree_id), 9) AS weight FROM o")
 def _(spark, d):
-    o = stash(tr.origins(tr.gained(edges(spark, d), node_states(spark, d))), "origins")
+    e, s = both(spark, d)
+    o = stash(tr.origins(tr.gained(e, node_states(e, s))), "origins")
     return rs.homoplasy_weights(o).withColumn("weight", F.round("weight", 9))
 
 
@@ -191,7 +196,7 @@ def _(spark, d):
 @query("s77_pure_nodes", f"{CLO} SELECT m.tree_id, m.node, CASE WHEN min(c.c_mktsegment) = max(c.c_mktsegment) THEN min(c.c_mktsegment) ELSE '0' END AS identity FROM m JOIN {{customer}} c ON concat('t:', CAST(c.c_custkey AS STRING)) = m.tip GROUP BY 1, 2")
 def _(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("t:"), "c_custkey").alias("tip"), F.col("c_mktsegment").alias("label"))
-    return tr.pure_nodes(members(spark, d), c)
+    return tr.pure_nodes(members(edges(spark, d)), c)
 
 
 @query("s39_states_from_ancestors", f"""
@@ -202,10 +207,9 @@ WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.tip = f.tip AND s.site = f.site)""")
 def _(spark, d):
     from phylomill.operators.impute import from_ancestors
 
-    m = members(spark, d).where("tree_id = 'A'")
-    s = states(spark, d)
-    own = s.join(tr.tips(edges(spark, d)).where("tree_id = 'A'").select("tip"), "tip", "left_semi")
-    return from_ancestors(m, own, tr.indel_ancestors(m, s).select("node", "site", "state"))
+    e, s = edges(spark, d).where("tree_id = 'A'"), states(spark, d)
+    own = s.join(tr.tips(e).select("tip"), "tip", "left_semi")
+    return from_ancestors(members(e), own, tr.indel_states(e, s).select("node", "site", "state"))
 
 
 _OUT = f"SELECT CAST(tip_id AS BIGINT) AS tip_id, site, state FROM ({fx.CHARACTERS}) c"
@@ -216,7 +220,7 @@ _OUT = f"SELECT CAST(tip_id AS BIGINT) AS tip_id, site, state FROM ({fx.CHARACTE
 SELECT r.tree_id, r.node, r.tip_id, (SELECT count(*) FROM a JOIN o ON o.site = a.site WHERE a.tree_id = r.tree_id AND a.node = r.node AND o.tip_id = r.tip_id AND a.state > 0 AND a.state <> o.state) AS n FROM r""")
 def _(spark, d):
     """Every tip whose id is divisible by 50 is held against every inner node."""
-    a = stash(tr.indel_ancestors(members(spark, d), states(spark, d)), "ancestors")
+    a = stash(tr.indel_states(*both(spark, d)), "ancestors")
     out = fx.table(spark, d, _OUT).where("tip_id % 50 = 0")
     return og.conflicts(a, out, a.select("tree_id", "node").distinct().crossJoin(out.select("tip_id").distinct()))
 
@@ -224,7 +228,7 @@ def _(spark, d):
 @query("s49_subtrees", f"{CLO} SELECT e.tree_id, p.ancestor AS subtree, e.parent, e.child, e.length FROM e JOIN p ON p.tree_id = e.tree_id AND p.node = e.child WHERE p.ancestor LIKE 'n:%'")
 def _(spark, d):
     e = edges(spark, d)
-    return tr.subtree(e, spans(spark, d), e.where("child LIKE 'n:%'").select("tree_id", F.col("child").alias("node")))
+    return tr.subtree(e, spans(e), e.where("child LIKE 'n:%'").select("tree_id", F.col("child").alias("node")))
 
 
 _STITCH = f"e AS (SELECT parent, child, CAST(1 + length(child) % 3 AS DOUBLE) AS length FROM ({fx.TREE_A}) t)"
@@ -248,8 +252,9 @@ _N = f"{ALL}, k AS (SELECT tree_id, node, site, CAST(1 AS INT) << CAST(state % 4
 
 
 def edge_codes(spark, d):
-    k = node_states(spark, d).select("tree_id", "node", "site", F.expr("shiftleft(1, CAST(state % 4 AS INT))").alias("code"))
-    return ro.edge_states(edges(spark, d), k)
+    e, s = both(spark, d)
+    k = node_states(e, s).select("tree_id", "node", "site", F.expr("shiftleft(1, CAST(state % 4 AS INT))").alias("code"))
+    return ro.edge_states(e, k)
 
 
 @query("s55_edge_states", f"{_N} SELECT tree_id, child, site, CAST(code AS INT) AS code FROM ec")
@@ -272,7 +277,7 @@ def _(spark, d):
 SELECT e.tree_id, e.child AS node FROM e WHERE EXISTS (SELECT 1 FROM k WHERE k.tree_id = e.tree_id AND k.node = e.parent) AND NOT EXISTS (SELECT 1 FROM k WHERE k.tree_id = e.tree_id AND k.node = e.child)""")
 def _(spark, d):
     e = edges(spark, d)
-    return ro.unbroken(e, spans(spark, d), e.where("child LIKE 's:%' AND length = 2").select("tree_id", F.col("child").alias("node")))
+    return ro.unbroken(e, spans(e), e.where("child LIKE 's:%' AND length = 2").select("tree_id", F.col("child").alias("node")))
 
 
 _AT = f"""
@@ -293,11 +298,11 @@ def new_roots(spark, d):
 @query("s61_rerooted", f"{_AT} SELECT q.tree_id, q.parent, CASE WHEN q.child = 'R' THEN coalesce(l.low, q.child) ELSE q.child END AS child, q.length + CASE WHEN q.child = 'R' THEN coalesce(l.extra, 0) ELSE 0 END AS length FROM q LEFT JOIN lone l ON l.tree_id = q.tree_id WHERE NOT (q.parent = 'R' AND l.tree_id IS NOT NULL)")
 def _(spark, d):
     e, at = new_roots(spark, d)
-    return ro.rerooted(e, spans(spark, d), at)
+    return ro.rerooted(e, spans(e), at)
 
 
 @query("s61_moved_breaks", f"{_AT} SELECT e.tree_id, e.child AS node, CASE WHEN w.node IS NULL THEN e.child WHEN e.parent = 'R' THEN coalesce(l.low, 'R') ELSE e.parent END AS moved FROM e LEFT JOIN way w ON w.tree_id = e.tree_id AND w.node = e.child LEFT JOIN lone l ON l.tree_id = e.tree_id WHERE e.child NOT LIKE 't:%'")
 def _(spark, d):
     """The edge above every inner node is a break."""
     e, at = new_roots(spark, d)
-    return ro.moved_breaks(e, spans(spark, d), at, e.where("child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
+    return ro.moved_breaks(e, spans(e), at, e.where("child NOT LIKE 't:%'").select("tree_id", F.col("child").alias("node")))
