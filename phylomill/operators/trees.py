@@ -83,37 +83,48 @@ def binary_ancestors(members: DataFrame, bits: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """(tree_id, node, depth), the root at 0."""
-    depth = iv.lifted(edges.select("tree_id", "parent", "child")).select("tree_id", "node", F.col("steps").cast("int").alias("depth"))
-    return depth.unionByName(roots(edges).select("tree_id", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    edges, found = edges.select("tree_id", "parent", "child"), iv._levels(edges)
+    if found is None:
+        depth = iv.lifted(edges).select("tree_id", "node", F.col("steps").cast("int").alias("depth"))
+        return depth.unionByName(roots(edges).select("tree_id", F.col("root").alias("node"), F.lit(0).alias("depth")))
+    top, below = found
+    return _union([top.select("tree_id", "node", F.lit(0).alias("depth")), *[x.select("tree_id", F.col("child").alias("node"), F.lit(d).alias("depth")) for d, x in enumerate(below, 1)]])
 
 
 def _two_passes(edges: DataFrame, tip_codes: DataFrame, depth: DataFrame, rule, settle, mask: int) -> DataFrame:
     """``rule(both, any)`` makes a node's code of what all and what any of its children allow, ``settle(code, above)`` a
-    child's final one by its parent's. Level by level up to ``DEEP`` levels; deeper trees are contracted, with equal codes."""
-    if (depth.agg(F.max("depth")).first()[0] or 0) > DEEP:
-        return ct.down(edges, ct.up(edges, tip_codes, rule, mask), settle, mask)
+    child's final one by its parent's. Level by level up to ``DEEP`` levels; deeper trees are contracted, with equal codes.
 
-    def up(g):
-        return g.agg(rule(F.bit_and("code"), F.bit_or("code")).cast("int").alias("code"))
+    Tips are summed up in their parents first, and only these sums and inner nodes' codes go through the levels. Tip
+    codes that have their ``parent`` need not be joined with the edges for it."""
+    if (depth.agg(F.max("depth")).first()[0] or 0) > DEEP:
+        return ct.down(edges, ct.up(edges, tip_codes.drop("parent"), rule, mask), settle, mask)
 
     def down(rows):
         return rows.select("tree_id", "node", "site", settle(F.col("code"), F.col("above")).cast("int").alias("code"))
 
-    edges = stash(edges.select("tree_id", "parent", "child").join(depth.withColumnRenamed("node", "parent"), ["tree_id", "parent"]), "levels")
-    deepest = edges.agg(F.max("depth")).first()[0]
-    made = [tip_codes.select("tree_id", F.col("tip").alias("node"), "site", "code")]
-    known = made[0]
+    edges = edges.select("tree_id", "parent", "child")
+    if "parent" not in tip_codes.columns:
+        tip_codes = tip_codes.join(edges.withColumnRenamed("child", "tip"), ["tree_id", "tip"])
+    own = stash(tip_codes.groupBy("tree_id", F.col("parent").alias("node"), "site").agg(F.bit_and("code").alias("both"), F.bit_or("code").alias("any")), "own-codes")
+    inner = edges.select("tree_id", F.col("parent").alias("node")).distinct()
+    at = stash(depth.join(inner, ["tree_id", "node"], "left_semi").select("tree_id", "node", "depth"), "inner-depths")
+    ways = stash(edges.withColumnRenamed("child", "node").join(at, ["tree_id", "node"]), "ways")
+    own = stash(own.join(at, ["tree_id", "node"]), "own-levels")
+    deepest = at.agg(F.max("depth")).first()[0] or 0
+    made: list[DataFrame] = []  # from the root down
     for d in range(deepest, -1, -1):
-        at = edges.where(F.col("depth") == d).select("tree_id", "parent", F.col("child").alias("node"))
-        level = stash(up(at.join(known, ["tree_id", "node"]).groupBy("tree_id", F.col("parent").alias("node"), "site")), "up")
-        made.append(level)
-        known = level if d == 0 else stash(made[0].unionByName(_union(made[1:])), "known")
-    final = stash(down(made[-1].withColumn("above", F.lit(None).cast("int"))), "down")
-    out = [final]
-    for d in range(0, deepest + 1):
-        at = edges.where(F.col("depth") == d).select("tree_id", F.col("parent"), F.col("child").alias("node"))
-        below = at.join(_union(made[1:]), ["tree_id", "node"]).join(out[-1].select("tree_id", F.col("node").alias("parent"), "site", F.col("code").alias("above")), ["tree_id", "parent", "site"])
-        out.append(stash(down(below.select("tree_id", "node", "site", "code", "above")), "down"))
+        here = own.where(F.col("depth") == d).select("tree_id", "node", "site", "both", "any")
+        if made:
+            step = ways.where(F.col("depth") == d + 1).select("tree_id", "parent", "node")
+            under = made[0].join(step, ["tree_id", "node"]).select("tree_id", F.col("parent").alias("node"), "site", F.col("code").alias("both"), F.col("code").alias("any"))
+            here = here.unionByName(under).groupBy("tree_id", "node", "site").agg(F.bit_and("both").alias("both"), F.bit_or("any").alias("any"))
+        made.insert(0, stash(here.select("tree_id", "node", "site", rule(F.col("both"), F.col("any")).cast("int").alias("code")), "up"))
+    out = [stash(down(made[0].withColumn("above", F.lit(None).cast("int"))), "down")]
+    for d in range(1, deepest + 1):
+        step = ways.where(F.col("depth") == d).select("tree_id", "parent", "node")
+        above = out[-1].select("tree_id", F.col("node").alias("parent"), "site", F.col("code").alias("above"))
+        out.append(stash(down(made[d].join(step, ["tree_id", "node"]).join(above, ["tree_id", "parent", "site"])), "down"))
     return _union(out)
 
 

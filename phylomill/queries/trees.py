@@ -97,7 +97,8 @@ def _down(settle: str, root: str) -> str:
 
 def _codes(spark, d, code):
     e, s = both(spark, d)
-    rows = tr.tips(e).join(s, "tip").select("tree_id", "tip", "site", code.cast("int").alias("code"))
+    at = e.withColumnRenamed("child", "tip").join(tr.tips(e), ["tree_id", "tip"], "left_semi")
+    rows = at.join(s, "tip").select("tree_id", "parent", "tip", "site", code.cast("int").alias("code"))
     return e, rows, tr.levels(e)
 
 
