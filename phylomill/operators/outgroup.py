@@ -13,6 +13,7 @@ from phylomill.operators import trees
 from phylomill.stash import stash
 
 MOST_BYTES = 64 << 20
+MOST_SITES = 1024  # sites up to which bits are held as words of 64
 
 
 def in_group(characters: DataFrame, clusters: DataFrame, layer: int, roots: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int, kind: st
     """(tree_id, tip_id, n): outgroups with fewer than ``cutoff`` conflicts (see ``conflicts``) with the root of a tree.
 
     A root and an outgroup are a row each, with arrays of their cells, so a pair is judged where it is made, in time
-    linear in the cells, and only pairs that pass go on. Roots are sent to all executors, ``MOST_BYTES`` of them at a time.
+    linear in the cells, and only pairs that pass go on. Bits of few sites are words instead of arrays. Roots are sent to
+    all executors, ``MOST_BYTES`` of them at a time.
     """
     site, state = F.col("site").cast("long"), F.col("state").cast("long")
     listed = lambda test, value: F.array_compact(F.collect_list(F.when(test, value)))
@@ -71,10 +73,19 @@ def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int, kind: st
         bits = F.filter(F.transform(F.array(*[F.lit(b) for b in (1, 2, 4, 8)]), lambda b: F.when(state.bitwiseAND(b.cast("long")) != 0, site * 16 + b)), lambda x: x.isNotNull())
         made = {"cells": (state != 16, state != 16, bits), "alone": (state.isin(1, 2, 4, 8), F.lit(False), site)}
         n = F.size("own_alone") - F.size(F.array_distinct(F.transform(F.array_intersect(F.flatten("own_cells"), F.flatten("has_cells")), lambda x: F.floor(x / 16))))
-    roots = stash(root_states.groupBy("tree_id", "node").agg(*[listed(mine, value).alias(f"own_{x}") for x, (mine, _, value) in made.items()]).drop("node"), "roots")
-    tips = outgroups.groupBy("tip_id").agg(*[listed(theirs, value).alias(f"has_{x}") for x, (_, theirs, value) in made.items()])
-    lists = [c for c in roots.columns if c.startswith("own_")]
-    cells = sum((F.sum(F.size(F.flatten(c)) if dict(roots.dtypes)[c].startswith("array<array") else F.size(c)) for c in lists), F.lit(0))
+    words = _words(root_states) if kind == "binary" else 0
+    if words:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (site % 64).cast("int"))
+        held = lambda side: [F.coalesce(F.bit_or(F.when((state == 2) & (F.floor(site / 64) == w), bit)), F.lit(0).cast("long")).alias(f"{side}_{w}") for w in range(words)]
+        n = sum((F.bit_count(F.col(f"own_{w}").bitwiseAND(F.bitwise_not(f"has_{w}"))) for w in range(words)), F.lit(0))
+        mine, theirs, cells = held("own"), held("has"), F.count("*") * words
+    else:
+        mine, theirs = [listed(own, value).alias(f"own_{x}") for x, (own, _, value) in made.items()], [listed(has, value).alias(f"has_{x}") for x, (_, has, value) in made.items()]
+    roots = stash(root_states.groupBy("tree_id", "node").agg(*mine).drop("node"), "roots")
+    tips = outgroups.groupBy("tip_id").agg(*theirs)
+    if not words:
+        lists = [c for c in roots.columns if c.startswith("own_")]
+        cells = sum((F.sum(F.size(F.flatten(c)) if dict(roots.dtypes)[c].startswith("array<array") else F.size(c)) for c in lists), F.lit(0))
     total = roots.agg(F.count("*").alias("k"), cells.alias("cells")).first()
     parts = max(1, -(-(64 * total.k + 8 * (total.cells or 0)) // MOST_BYTES))
     tips = stash(tips, "outgroups") if parts > 1 else tips
@@ -86,6 +97,12 @@ def filtered(root_states: DataFrame, outgroups: DataFrame, cutoff: int, kind: st
     return out
 
 
+def _words(root_states: DataFrame) -> int:
+    """Words of 64 bits that hold all set sites of the roots; 0 where arrays are to be used."""
+    ends = root_states.where("state = 2").agg(F.min("site").alias("low"), F.max("site").alias("high")).first()
+    return 0 if ends.low is None or ends.low < 0 or ends.high >= MOST_SITES else ends.high // 64 + 1
+
+
 def retained(edges: DataFrame, node_states: DataFrame, outgroups: DataFrame, near: DataFrame, cutoff: int, kind: str = "indel") -> DataFrame:
     """(tree_id, node): topmost inner nodes, roots excepted, with ``cutoff`` conflicts or more with every outgroup of
     their tree in ``near`` (tree_id, tip_id)."""
