@@ -206,11 +206,11 @@ SELECT tip, site, state FROM s WHERE tip IN (SELECT tip FROM t WHERE tree_id = '
 SELECT f.tip, f.site, a.state FROM f JOIN m ON m.tip = f.tip AND m.distance = f.distance AND m.tree_id = 'A' JOIN a ON a.tree_id = 'A' AND a.node = m.node AND a.site = f.site
 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.tip = f.tip AND s.site = f.site)""")
 def _(spark, d):
-    from phylomill.operators.impute import from_ancestors
+    from phylomill.operators.impute import from_parents
 
     e, s = edges(spark, d).where("tree_id = 'A'"), states(spark, d)
     own = s.join(tr.tips(e).select("tip"), "tip", "left_semi")
-    return from_ancestors(members(e), own, tr.indel_states(e, s).select("node", "site", "state"))
+    return from_parents(e, own, tr.indel_states(e, s))
 
 
 _OUT = f"SELECT CAST(tip_id AS BIGINT) AS tip_id, site, state FROM ({fx.CHARACTERS}) c"
