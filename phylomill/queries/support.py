@@ -138,7 +138,7 @@ now{r + 1} AS (SELECT set_id, n, child AS up FROM here{r} WHERE i >= (1 - 0.2) *
 
 @query("s93_fitted_clades", _fitted())
 def _(spark, d):
-    e = edges(spark, d)
+    e = edges(spark, d).where("tree_id IN ('A', 'D')")
     m = stash(members(e), "clades")
     sets = m.where("tree_id = 'D' AND node LIKE 'n:%'").select(F.col("node").alias("set_id"), "tip")
     return co.fitted(e.where("tree_id = 'A'"), m.where("tree_id = 'A'"), sets, 0.2)
